@@ -177,7 +177,7 @@ def search(
     without connections rather than passing nonstops off as the whole answer; ``empty``
     says whether its date could have been searched. Equal requests are solved once.
     """
-    asked = normalise_requests(requests, served).withColumn("spec", _spec_key())
+    asked = normalise_requests(requests, served)
     built = connections.select("flightdate").distinct().withColumn("searchable", F.lit(True))
     asked = asked.join(built, "flightdate", "left").withColumn(
         "searchable", F.coalesce("searchable", F.lit(False))
@@ -187,6 +187,10 @@ def search(
         "status",
         F.when(F.col("error").isNotNull(), "bad_request").when(refused, "not_built").otherwise("ok"),
     )
+    # A refused request gets a key of its own: it matches nothing and the many of them
+    # do not pile up under one key.
+    own = F.concat(F.lit("!"), F.col("request_id").cast("string"))
+    asked = asked.withColumn("spec", F.when(F.col("status") == "ok", _spec_key()).otherwise(own))
     specs = asked.filter(F.col("status") == "ok").select("spec", *SPEC).distinct()
     answers = solve_specs(specs, legs, connections)
     joined = asked.select("request_id", "spec", "status", "error", "searchable").join(answers, "spec", "left")

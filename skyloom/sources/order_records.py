@@ -32,8 +32,10 @@ def _pick(values, index: Column) -> Column:
     return F.try_element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def _true_offset(nation: Column) -> Column:
-    return 60 * F.pmod(nation * 7, F.lit(24)) - 660
+def _true_offset(nation: Column, weekday: Column) -> Column:
+    """Whole hours in (-720, 720]; every third station moves its clock on the fifth date."""
+    moved = F.when((nation % 3 == 0) & (weekday >= 4), 60).otherwise(0)
+    return 60 * F.pmod(nation * 7, F.lit(24)) - 660 + moved
 
 
 def _clock(minute: Column) -> Column:
@@ -63,8 +65,9 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, d = F.col("s_nationkey"), F.col("c_nationkey")
     carrier = F.floor(pk / 100)
     block = 45 + 15 * F.abs(o - d)
+    weekday = F.pmod(ok, F.lit(DATES))
     dep = F.pmod(pk * 37 + ln * 113, F.lit(288)) * 5
-    arr = dep - _true_offset(o) + block + _true_offset(d)
+    arr = dep - _true_offset(o, weekday) + block + _true_offset(d, weekday)
     dep_delay = F.pmod(pk + ln * 7, F.lit(61)) - 10
     arr_delay = dep_delay + F.pmod(F.col("sk"), F.lit(21)) - 10
     cancelled = (
@@ -73,7 +76,7 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit(0.0))
     )
     flown = F.col("qty") != 50
-    day = F.date_add(F.lit(FIRST_DATE).cast("date"), F.pmod(ok, F.lit(DATES)).cast("int"))
+    day = F.date_add(F.lit(FIRST_DATE).cast("date"), weekday.cast("int"))
 
     return line.select(
         F.year(day).alias("year"),

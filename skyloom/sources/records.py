@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from skyloom.functions.times import hhmm_to_time, strict_date
 from skyloom.schema import RECORD_TYPES, REQUIRED_IDS, record_schema
+from skyloom.storage import path_exists
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
@@ -104,9 +105,7 @@ def new_months(records: DataFrame, stored: DataFrame | None) -> DataFrame:
 def append_new_months(records: DataFrame, path: str) -> None:
     """Write only the months not yet under ``path``; a repeated run adds nothing."""
     spark = records.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    stored = spark.read.parquet(path) if exists else None
+    stored = spark.read.parquet(path) if path_exists(spark, path) else None
     new_months(records, stored).write.mode("append").partitionBy("year", "month").parquet(path)
 
 

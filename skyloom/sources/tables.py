@@ -17,19 +17,23 @@ def one_per_key(df: DataFrame, key=LEG_KEY) -> DataFrame:
     return picked.select(*[F.col(c) if c in key else F.col(f"row.{c}").alias(c) for c in df.columns])
 
 
-def upsert_dates(df: DataFrame, path: str, key=LEG_KEY) -> None:
-    """Replace the dates present in ``df``, one row per key; other dates stay.
+def upsert_legs(df: DataFrame, path: str, key=LEG_KEY) -> None:
+    """Merge rows into the stored dates by key: a new row replaces the stored one, stored
+    rows of the same dates stay, other dates are not touched.
 
-    Dynamic partition overwrite makes a repeated load, or a task rerun, change nothing.
+    Dates are replaced whole, so a repeated load, or a retried task, changes nothing.
     """
-    (
-        one_per_key(df, key)
-        .hint("rebalance", "flightdate")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("flightdate")
-        .parquet(path)
-    )
+    from skyloom.storage import path_exists, stage
+
+    df = one_per_key(df, key)
+    spark = df.sparkSession
+    if path_exists(spark, path):
+        stored = spark.read.schema(df.schema).parquet(path)
+        touched = df.select("flightdate").distinct()
+        kept = stored.join(touched, "flightdate", "left_semi")
+        kept = kept.join(df.select(*key), list(key), "left_anti")
+        df = stage(df.unionByName(kept), "merge")  # the target is read, so write elsewhere first
+    replace_dates(df, path)
 
 
 def replace_dates(df: DataFrame, path: str) -> None:

@@ -37,3 +37,8 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     else:
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -1,18 +1,16 @@
 """Incremental load: pick up month files that were not loaded yet.
 
-The stream's checkpoint remembers the files, so a month is read once; the sink replaces
-whole dates, so a batch that is retried after a lost executor changes nothing.
+The stream's checkpoint remembers the files, so a month is read once; the sink merges by
+key, so a batch that is retried after a failure changes nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skyloom.operators.legs import project_legs, valid_legs
-from skyloom.schema import LEG_KEY
 from skyloom.sources.records import type_records
-from skyloom.sources.tables import upsert_dates
+from skyloom.sources.tables import upsert_legs
 
 
 def load_new_files(
@@ -27,7 +25,7 @@ def load_new_files(
 
     def load(batch: DataFrame, _epoch: int) -> None:
         legs = project_legs(valid_legs(type_records(batch), strict))
-        upsert_dates(_with_stored_dates(legs, target), target, LEG_KEY)
+        upsert_legs(legs, target)
 
     query = (
         text.writeStream.foreachBatch(load)
@@ -36,17 +34,3 @@ def load_new_files(
         .start()
     )
     query.awaitTermination()
-
-
-def _with_stored_dates(legs: DataFrame, target: str) -> DataFrame:
-    """The batch plus what is stored for its dates, so that a late file adds to a date."""
-    from skyloom.storage import stage
-
-    spark = legs.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return legs
-    stored = spark.read.schema(legs.schema).parquet(target)
-    touched = legs.select(F.col("flightdate")).distinct()
-    kept = stored.join(touched, "flightdate", "left_semi")
-    return stage(legs.unionByName(kept), "month-merge")
