@@ -16,25 +16,33 @@ from pyspark.sql import functions as F
 from skyloom.functions import leg_id, minutes_between
 from skyloom.functions.codes import carrier_family
 from skyloom.operators.requests import normalise_requests
+from skyloom.storage import stage
 
 SPEC = ["flightdate", "origin", "dest", "depart_after", "arrive_before", "min_stops", "max_stops", "limit"]
+SEP = ">"
 
 
 def first_legs(legs: DataFrame, starts: DataFrame) -> DataFrame:
-    """Paths of one leg from each start, not before its earliest bound."""
+    """Paths of one leg from each start, not before its earliest bound.
+
+    A path keeps its lists as joined text, half as wide in a shuffle as arrays of strings:
+    ``legs`` AA|12>AA|90, ``route`` >LGA>ATL>DFW>, ``waits`` 55.
+    """
     earliest = F.col("earliest")
     begin = starts.select(
         F.col("flightdate").alias("start_date"), F.col("origin").alias("start"), "earliest", "deepest"
     )
     return (
-        legs.join(begin, (F.col("flightdate") == F.col("start_date")) & (F.col("origin") == F.col("start")))
+        legs.join(begin, (F.col("origin") == F.col("start")) & (F.col("flightdate") == F.col("start_date")))
         .filter(earliest.isNull() | (F.col("scheduled_departure_time") >= earliest))
         .select(
             "flightdate",
             "start",
             "deepest",
-            F.array(leg_id()).alias("legs"),
-            F.array("origin", "dest").alias("route"),
+            F.concat_ws(
+                "|", "reporting_airline", F.col("flight_number_reporting_airline").cast("string")
+            ).alias("legs"),
+            F.concat(F.lit(SEP), "origin", F.lit(SEP), "dest", F.lit(SEP)).alias("route"),
             leg_id().alias("last"),
             F.col("dest").alias("at"),
             F.col("scheduled_departure_time").alias("departs"),
@@ -42,17 +50,25 @@ def first_legs(legs: DataFrame, starts: DataFrame) -> DataFrame:
             F.col("scheduled_arrival_time").alias("arrives"),
             F.col("scheduled_arrival_utc").alias("arrives_utc"),
             F.col("scheduled_duration_minutes").alias("air_minutes"),
-            F.array().cast("array<int>").alias("layover_minutes"),
+            F.lit("").alias("waits"),
             F.lit(0).alias("waiting"),
         )
     )
 
 
+def revisits(route: Column, airport: Column) -> Column:
+    return F.contains(route, F.concat(F.lit(SEP), airport, F.lit(SEP)))
+
+
 def extend(paths: DataFrame, connections: DataFrame, acyclic: bool = True) -> DataFrame:
-    """One more leg on every path."""
+    """One more leg on every path.
+
+    The leg comes before the date in the join key: its first bytes tell rows apart, so the
+    sort of a sort-merge join is decided on the key prefix.
+    """
     hop = connections.select(
-        "flightdate",
         F.col("from_leg").alias("last"),
+        "flightdate",
         "to_leg",
         "to_dest",
         F.col("layover_minutes").alias("wait"),
@@ -60,15 +76,16 @@ def extend(paths: DataFrame, connections: DataFrame, acyclic: bool = True) -> Da
         "to_arrives",
         "to_arrives_utc",
     )
-    out = paths.join(hop, ["flightdate", "last"])
+    out = paths.join(hop, ["last", "flightdate"])
     if acyclic:
-        out = out.filter(~F.array_contains("route", F.col("to_dest")))
+        out = out.filter(~revisits(F.col("route"), F.col("to_dest")))
+    wait = F.col("wait").cast("string")
     return out.select(
         "flightdate",
         "start",
         "deepest",
-        F.array_append("legs", F.col("to_leg")).alias("legs"),
-        F.array_append("route", F.col("to_dest")).alias("route"),
+        F.concat_ws(SEP, "legs", F.substring_index("to_leg", "|", 2)).alias("legs"),
+        F.concat("route", "to_dest", F.lit(SEP)).alias("route"),
         F.col("to_leg").alias("last"),
         F.col("to_dest").alias("at"),
         "departs",
@@ -76,17 +93,18 @@ def extend(paths: DataFrame, connections: DataFrame, acyclic: bool = True) -> Da
         F.col("to_arrives").alias("arrives"),
         F.col("to_arrives_utc").alias("arrives_utc"),
         (F.col("air_minutes") + F.col("to_block")).alias("air_minutes"),
-        F.array_append("layover_minutes", F.col("wait")).alias("layover_minutes"),
+        F.when(F.col("waits") == "", wait).otherwise(F.concat_ws(SEP, "waits", wait)).alias("waits"),
         (F.col("waiting") + F.col("wait")).alias("waiting"),
     )
 
 
 def chains(
-    starts: DataFrame, wanted: DataFrame, legs: DataFrame, connections: DataFrame, max_stops: int, acyclic=True
+    starts: DataFrame, wanted: DataFrame, legs: DataFrame, connections: DataFrame, max_stops: int, mixed: bool
 ) -> list[DataFrame]:
-    """Paths by number of stops, 0..max_stops, ending at a wanted (date, dest) or extendable.
+    """Acyclic paths by number of stops, 0..max_stops.
 
-    The last hop only reads connections that land where somebody wants to go.
+    A level that is both answered from and extended is written once. The last hop only
+    reads connections that land where somebody wants to go.
     """
     ends = wanted.select("flightdate", F.col("dest").alias("to_dest")).distinct()
     level = first_legs(legs, starts)
@@ -95,21 +113,25 @@ def chains(
         hops = connections
         if stops == max_stops:
             hops = hops.join(ends, ["flightdate", "to_dest"], "left_semi")
-        level = extend(level.filter(F.col("deepest") >= stops), hops, acyclic)
+        if mixed:
+            level = level.filter(F.col("deepest") >= stops)
+        level = extend(level, hops)
+        if stops < max_stops:
+            level = stage(level, f"paths-{stops}")
         levels.append(level)
     return levels
 
 
 def solve_specs(specs: DataFrame, legs: DataFrame, connections: DataFrame) -> DataFrame:
-    """Ranked itineraries of distinct, valid request specs (``spec`` is their text key)."""
-    bounds = specs.agg(F.max("max_stops"), F.max("limit")).first()
-    max_stops, max_limit = bounds[0] or 0, bounds[1] or 1
+    """Ranked itineraries of distinct, valid request specs (``spec`` is their number)."""
+    bounds = specs.agg(F.max("max_stops"), F.min("max_stops"), F.max("limit")).first()
+    max_stops, mixed, max_limit = bounds[0] or 0, bounds[0] != bounds[1], bounds[2] or 1
     # A start without any bound on one of its requests must keep all its legs.
     starts = specs.groupBy("flightdate", "origin").agg(
         F.when(F.count("depart_after") == F.count("*"), F.min("depart_after")).alias("earliest"),
         F.max("max_stops").alias("deepest"),
     )
-    levels = chains(starts, specs, legs, connections, max_stops)
+    levels = chains(starts, specs, legs, connections, max_stops, mixed)
     ask = specs.select(
         "spec",
         "flightdate",
@@ -128,42 +150,45 @@ def solve_specs(specs: DataFrame, legs: DataFrame, connections: DataFrame) -> Da
             & (F.col("depart_after").isNull() | (F.col("departs") >= F.col("depart_after")))
             & (F.col("arrive_before").isNull() | (F.col("arrives") < F.col("arrive_before")))
         )
-        found = paths.join(ask, ["flightdate", "start", "at"]).filter(fits)
-        return found.withColumn("stops", F.lit(stops))
+        found = paths.drop("last", "deepest").join(ask, ["start", "at", "flightdate"]).filter(fits)
+        return found.drop("depart_after", "arrive_before", "min_stops", "max_stops").withColumn(
+            "stops", F.lit(stops)
+        )
 
     found = reduce(DataFrame.unionByName, [answers(k, paths) for k, paths in enumerate(levels)])
     found = found.withColumn("total_minutes", F.col("air_minutes") + F.col("waiting"))
     # The literal bound lets Spark cut each task's share before the shuffle, so a request
     # with millions of paths never gathers them in one task.
     best = Window.partitionBy("spec").orderBy(
-        F.col("total_minutes").asc_nulls_last(),
-        F.col("departs_utc").asc_nulls_last(),
-        F.array_join("legs", ">"),
+        F.col("total_minutes").asc_nulls_last(), F.col("departs_utc").asc_nulls_last(), "legs", "route"
     )
     ranked = found.withColumn("rank", F.row_number().over(best))
     ranked = ranked.filter(F.col("rank") <= max_limit).filter(F.col("rank") <= F.col("limit"))
-    code = F.transform("legs", lambda x: F.split_part(x, F.lit("|"), F.lit(1)))
-    label = F.transform(
-        "legs",
-        lambda x: F.concat(F.split_part(x, F.lit("|"), F.lit(1)), F.split_part(x, F.lit("|"), F.lit(2))),
-    )
+    leg_list = F.split("legs", SEP)
     return ranked.select(
         "spec",
         "rank",
         "stops",
-        label.alias("flights"),
-        "route",
-        code.alias("carriers"),
+        F.transform(leg_list, lambda x: F.replace(x, F.lit("|"), F.lit(""))).alias("flights"),
+        _route_list().alias("route"),
+        F.transform(leg_list, lambda x: F.split_part(x, F.lit("|"), F.lit(1))).alias("carriers"),
         "departs",
         "arrives",
         "departs_utc",
         "arrives_utc",
         "air_minutes",
-        "layover_minutes",
+        F.when(F.col("waits") == "", F.array())
+        .otherwise(F.split("waits", SEP))
+        .cast("array<int>")
+        .alias("layover_minutes"),
         "total_minutes",
     )
 
 
+def _route_list() -> Column:
+    return F.split(F.btrim("route", F.lit(SEP)), SEP)
+
+
 def _spec_key() -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in SPEC])
 
@@ -187,15 +212,26 @@ def search(
         "status",
         F.when(F.col("error").isNotNull(), "bad_request").when(refused, "not_built").otherwise("ok"),
     )
-    # A refused request gets a key of its own: it matches nothing and the many of them
-    # do not pile up under one key.
-    own = F.concat(F.lit("!"), F.col("request_id").cast("string"))
-    asked = asked.withColumn("spec", F.when(F.col("status") == "ok", _spec_key()).otherwise(own))
-    specs = asked.filter(F.col("status") == "ok").select("spec", *SPEC).distinct()
+    # Both tables are stored: every level of the search reads the specs, and a stored table
+    # has a known size, so Spark can tell whether it may be broadcast. The spec number is
+    # drawn in the writing task itself, so a retried task cannot leave two numberings.
+    asked = stage(asked.withColumn("key", F.when(F.col("status") == "ok", _spec_key())), "requests")
+    ok = asked.filter(F.col("key").isNotNull())
+    specs = ok.select("key", *SPEC).distinct()
+    specs = stage(specs.withColumn("spec", F.monotonically_increasing_id()), "specs")
     answers = solve_specs(specs, legs, connections)
-    joined = asked.select("request_id", "spec", "status", "error", "searchable").join(answers, "spec", "left")
+    numbered = ok.join(specs.select("key", "spec"), "key").join(answers, "spec", "left")
+    # Refused requests skip the join, where they would all share one null key.
+    refused = asked.filter(F.col("key").isNull())
+    out = numbered.unionByName(refused, allowMissingColumns=True)
     empty = (F.col("status") == "ok") & F.col("rank").isNull()
-    return joined.withColumn("status", F.when(empty, "empty").otherwise(F.col("status"))).drop("spec")
+    return out.select(
+        "request_id",
+        F.when(empty, "empty").otherwise(F.col("status")).alias("status"),
+        "error",
+        "searchable",
+        *[c for c in answers.columns if c != "spec"],
+    )
 
 
 def by_stops(itineraries: DataFrame) -> DataFrame:
@@ -247,19 +283,20 @@ def chain_check(legs: DataFrame, connections: DataFrame, max_stops: int = 3) ->
     counts = []
     for stops in range(1, max_stops + 1):
         level = extend(level, connections, acyclic=False)
-        ends = F.transform("legs", lambda x: F.split_part(x, F.lit("|"), F.lit(4)))
-        begins = F.transform("legs", lambda x: F.split_part(x, F.lit("|"), F.lit(3)))
-        n = F.size("legs")
-        joined = F.zip_with(
-            F.slice(ends, F.lit(1), n - 1), F.slice(begins, F.lit(2), n - 1), lambda a, b: a == b
-        )
         counts.append(
-            level.agg(F.count("*").alias("chains"), F.count_if(~F.forall(joined, lambda x: x)).alias("broken"))
+            level.agg(F.count("*").alias("chains"), F.count_if(~_contiguous()).alias("broken"))
             .withColumn("stops", F.lit(stops))
         )
     return reduce(DataFrame.unionByName, counts)
 
 
+def _contiguous() -> Column:
+    """The ends each leg states for itself, against the route the path collected."""
+    route = _route_list()
+    ends = F.concat_ws(SEP, F.split_part("last", F.lit("|"), F.lit(3)), F.split_part("last", F.lit("|"), F.lit(4)))
+    return F.concat_ws(SEP, F.slice(route, -2, 2)) == ends
+
+
 def cyclic_census(
     legs: DataFrame, connections: DataFrame, max_stops: int = 3, origin: str | None = None, dest: str | None = None
 ) -> DataFrame:
@@ -277,12 +314,13 @@ def cyclic_census(
     counts = []
     for stops, level in enumerate(levels):
         rows = level.filter(F.col("at") == dest) if dest else level
-        again = F.array_contains(F.slice("route", 2, stops + 1), F.col("start"))
+        route = _route_list()
+        again = F.array_contains(F.slice(route, 2, stops + 1), F.col("start"))
         counts.append(
             rows.groupBy("flightdate")
             .agg(
                 F.count("*").alias("chains"),
-                F.count_if(F.size("route") != F.size(F.array_distinct("route"))).alias("cyclic"),
+                F.count_if(F.size(route) != F.size(F.array_distinct(route))).alias("cyclic"),
                 F.count_if(again).alias("back_to_origin"),
             )
             .withColumn("stops", F.lit(stops))

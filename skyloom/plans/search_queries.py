@@ -12,7 +12,7 @@ POOL = f"""pool AS (SELECT o AS code FROM loaded GROUP BY o ORDER BY count(*) DE
 built AS (SELECT DISTINCT dd FROM edge),
 ask AS (SELECT a.code AS o, b.code AS d, dd FROM pool a, pool b, built WHERE a.code <> b.code)"""
 
-RANK = "row_number() OVER (PARTITION BY a.o, a.d, a.dd ORDER BY p.air + p.waits NULLS LAST, p.dep_u NULLS LAST, p.ids)"
+RANK = "row_number() OVER (PARTITION BY a.o, a.d, a.dd ORDER BY p.air + p.waits NULLS LAST, p.dep_u NULLS LAST, p.ids, p.route)"
 
 
 def itineraries_sql(max_stops: int, where: str = "true", rank: str = RANK, limit: int = 20) -> str:
@@ -155,7 +155,7 @@ def request_normalisation(t):
       CASE WHEN error IS NOT NULL THEN 'bad_request' WHEN max_stops > 0 AND b.dd IS NULL THEN 'not_built'
            ELSE 'ok' END AS st FROM normal n LEFT JOIN built b ON n.dd = b.dd),
     hit AS (SELECT a.request_id, p.air + p.waits AS total,
-      row_number() OVER (PARTITION BY a.request_id ORDER BY p.air + p.waits NULLS LAST, p.dep_u NULLS LAST, p.ids)
+      row_number() OVER (PARTITION BY a.request_id ORDER BY p.air + p.waits NULLS LAST, p.dep_u NULLS LAST, p.ids, p.route)
         AS rank, a.lim
       FROM asked a JOIN path p ON a.st = 'ok' AND p.dd = a.dd AND p.start = a.o AND p.at = a.d
        AND p.stops BETWEEN a.min_stops AND a.max_stops AND (a.after IS NULL OR p.dep_l >= a.after)

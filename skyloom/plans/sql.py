@@ -87,14 +87,14 @@ def path_ctes(max_stops: int) -> str:
     """Acyclic chains of 0..max_stops connections."""
     out = f"""{EDGES},
 p0 AS (
-  SELECT dd, o AS start, d AS at, lid AS last, lid AS ids, flight AS flights, o || '>' || d AS route,
+  SELECT dd, o AS start, d AS at, lid AS last, car || '|' || num AS ids, flight AS flights, o || '>' || d AS route,
          car AS carriers, dep_l, dep_u, arr_l, arr_u, blk AS air, '' AS lays, 0 AS waits, 0 AS stops
   FROM leg)"""
     for k in range(1, max_stops + 1):
         sep = "" if k == 1 else "p.lays || '>' || "
         out += f""",
 p{k} AS (
-  SELECT p.dd, p.start, e.td AS at, e.t AS last, p.ids || '>' || e.t AS ids, p.flights || '>' || e.tf AS flights,
+  SELECT p.dd, p.start, e.td AS at, e.t AS last, p.ids || '>' || split_part(e.t, '|', 1) || '|' || split_part(e.t, '|', 2) AS ids, p.flights || '>' || e.tf AS flights,
          p.route || '>' || e.td AS route, p.carriers || '>' || e.tc AS carriers, p.dep_l, p.dep_u,
          e.t_arr_l AS arr_l, e.t_arr_u AS arr_u, p.air + e.tb AS air, {sep}CAST(e.lay AS VARCHAR) AS lays,
          p.waits + e.lay AS waits, {k} AS stops
