@@ -106,7 +106,7 @@ def overnight_layover_range(column) -> Column:
 def speed_range(distance, minutes) -> Column:
     """Block speed by distance band, and the least time of very short and very long legs."""
     miles, mins = _c(distance), _c(minutes)
-    mph = miles / mins * 60
+    mph = F.try_divide(miles, mins) * 60
     low = F.when(miles < 300, 100).when(miles < 1000, 150).otherwise(200)
     long_enough = F.when(miles > 2000, mins >= 240).when(miles < 500, mins >= 45).otherwise(F.lit(True))
     return (mins > 0) & mph.between(low, F.lit(700)) & long_enough

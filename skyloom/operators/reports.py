@@ -69,7 +69,9 @@ def request_rollup(log: DataFrame) -> DataFrame:
     base = log.groupBy("name").agg(
         F.count("*").alias("requests"),
         F.count_if("failed").alias("failures"),
-        (F.sum(F.round(F.col("response_ms") * 100).cast("bigint")) / 100 / F.count("response_ms")).alias("mean_ms"),
+        F.try_divide(
+            F.sum(F.round(F.col("response_ms") * 100).cast("bigint")) / 100, F.count("response_ms")
+        ).alias("mean_ms"),
     )
     tails = exact_percentiles(log, ["name"], "response_ms", {"p95_ms": 0.95, "p99_ms": 0.99})
     return (

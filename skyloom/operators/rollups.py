@@ -37,7 +37,7 @@ def below_floors(counts: DataFrame, floors: dict[str, int]) -> DataFrame:
 def day_density(legs: DataFrame) -> DataFrame:
     return legs.agg(
         F.count("*").alias("legs"), F.count_distinct("flightdate").alias("days")
-    ).withColumn("legs_per_day", F.col("legs") / F.col("days"))
+    ).withColumn("legs_per_day", F.try_divide("legs", "days"))
 
 
 def flights_per_date(legs: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def thin_hubs(connections: DataFrame, below: int = 100) -> DataFrame:
             F.sum(F.when(thin, F.col("connections")).otherwise(0)).alias("thin_connections"),
             F.sum("connections").alias("connections"),
         )
-        .withColumn("share", F.col("thin_connections") / F.col("connections"))
+        .withColumn("share", F.try_divide("thin_connections", "connections"))
     )
 
 
@@ -143,7 +143,7 @@ def distance_bands(legs: DataFrame) -> DataFrame:
     span = legs.agg(F.min(miles).alias("low"), F.max(miles).alias("high"))
     width = (F.col("high") - F.col("low")) / len(BANDS)
     band = F.least(
-        F.greatest(F.ceil((miles - F.col("low")) / width), F.lit(1)), F.lit(len(BANDS))
+        F.greatest(F.ceil(F.try_divide(miles - F.col("low"), width)), F.lit(1)), F.lit(len(BANDS))
     )
     name = F.try_element_at(F.array(*[F.lit(b) for b in BANDS]), band.cast("int"))
     return (

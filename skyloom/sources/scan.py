@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> li
     hadoop = spark._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path if path.endswith(".parquet") else f"{path}/{pattern}")
     found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
-    return sorted(s.getPath().toString() for s in (found or []))
+    paths = [s.getPath() for s in (found or [])]
+    return sorted(p.toString() for p in paths if not p.getName().startswith(("_", ".")))
 
 
 def scan_strict(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
@@ -95,7 +97,7 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
         merged = scan_merged(spark, path)
         strict = scan_strict(spark, path)
         return strict if strict.schema == merged.schema else merged
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         if not any(mark in str(error) for mark in SCHEMA_CLASH):
             raise
     return scan_each(spark, path)[0]
