@@ -97,7 +97,9 @@ def build_connections(
         epoch_minute("scheduled_departure_utc").alias("leaves"),
     ).withColumn("slot", F.floor(F.col("leaves") / width))
 
-    key = ["flightdate", "hub", "carrier", "slot"]
+    # The slot leads: it is a number that tells dates and hours apart, so the sort of the
+    # join is mostly decided on the key prefix.
+    key = ["slot", "hub", "carrier", "flightdate"]
     hot = _hot_groups(arrivals, departures, key, hot_rows)
     arrivals = _split(arrivals, hot, key, "a", "d").withColumnRenamed("leg", "from_leg")
     departures = _split(departures, hot, key, "d", "a").withColumnRenamed("leg", "to_leg")

@@ -14,8 +14,6 @@ from skyloom.functions import flight_label, minutes_between
 from skyloom.functions.times import epoch_minute
 from skyloom.schema import MAX_LAYOVER, MIN_LAYOVER
 
-FOREVER = 1_000_000
-
 
 def one_stop(
     legs: DataFrame,
@@ -71,47 +69,68 @@ def one_stop(
     )
 
 
-def _histogram(legs: DataFrame, hub: str, other: str, clock: str, flag: str) -> DataFrame:
-    """Legs per date, hub, far end and local minute."""
-    return (
-        legs.groupBy(
-            "flightdate", F.col(hub).alias("hub"), F.col(other).alias("other"), epoch_minute(clock).alias("minute")
-        )
-        .agg(F.count("*").alias(flag))
+def _histogram(legs: DataFrame, hubs: list[str] | None = None) -> DataFrame:
+    """Per date, hub, far end and local minute: legs that land and legs that leave.
+
+    A leg is one arrival at its destination and one departure at its origin; both are
+    counted in one pass.
+    """
+    landing = F.struct(
+        F.col("dest").alias("hub"),
+        F.col("origin").alias("other"),
+        epoch_minute("scheduled_arrival_time").alias("minute"),
+        F.lit(1).alias("landed"),
+        F.lit(0).alias("left"),
+    )
+    leaving = F.struct(
+        F.col("origin").alias("hub"),
+        F.col("dest").alias("other"),
+        epoch_minute("scheduled_departure_time").alias("minute"),
+        F.lit(0).alias("landed"),
+        F.lit(1).alias("left"),
+    )
+    events = (
+        legs.filter(F.col("origin") != F.col("dest"))
+        .select("flightdate", F.explode(F.array(landing, leaving)).alias("e"))
+        .select("flightdate", "e.*")
         .filter(F.col("minute").isNotNull())
     )
+    if hubs:
+        events = events.filter(F.col("hub").isin(*hubs))
+    return events.groupBy("flightdate", "hub", "other", "minute").agg(
+        F.sum("landed").alias("landed"), F.sum("left").alias("left")
+    )
 
 
-def _meetings(arrivals: DataFrame, departures: DataFrame, key: list[str], low: int, high: int) -> DataFrame:
-    """Per date and hub: pairs whose departure is low..high minutes after the arrival."""
-    arrivals = arrivals.groupBy(*key, "minute").agg(F.sum("landed").alias("landed"), F.lit(0).alias("left"))
-    departures = departures.groupBy(*key, "minute").agg(F.lit(0).alias("landed"), F.sum("left").alias("left"))
+def _meetings(histogram: DataFrame, key: list[str], low: int | None, high: int | None) -> DataFrame:
+    """Per date and hub: pairs whose departure is low..high minutes after the arrival; None
+    leaves that end open."""
+    low = Window.unboundedPreceding if low is None else low
+    high = Window.unboundedFollowing if high is None else high
     ahead = Window.partitionBy(*key).orderBy("minute").rangeBetween(low, high)
-    both = arrivals.unionByName(departures)
-    met = both.withColumn("met", F.col("landed") * F.coalesce(F.sum("left").over(ahead), F.lit(0)))
-    return met.groupBy("flightdate", "hub").agg(F.sum("met").alias("pairs"))
-
+    met = F.col("landed") * F.coalesce(F.sum("left").over(ahead), F.lit(0))
+    return histogram.withColumn("met", met).groupBy("flightdate", "hub").agg(F.sum("met").alias("pairs"))
 
-def hub_pair_counts(
-    legs: DataFrame, low: int = MIN_LAYOVER, high: int = MAX_LAYOVER, hubs: list[str] | None = None
-) -> DataFrame:
-    """Any-carrier pairs per date and hub, with different start and end airports.
 
-    All pairs at the hub, less those that lead back to where they began.
-    """
-    legs = legs.filter(F.col("origin") != F.col("dest"))
-    inbound, outbound = legs, legs
-    if hubs:
-        inbound, outbound = legs.filter(F.col("dest").isin(*hubs)), legs.filter(F.col("origin").isin(*hubs))
-    arrivals = _histogram(inbound, "dest", "origin", "scheduled_arrival_time", "landed")
-    departures = _histogram(outbound, "origin", "dest", "scheduled_departure_time", "left")
-    every = _meetings(arrivals, departures, ["flightdate", "hub"], low, high)
-    back = _meetings(arrivals, departures, ["flightdate", "hub", "other"], low, high)
-    return every.join(back.withColumnRenamed("pairs", "back"), ["flightdate", "hub"]).select(
+def _pairs(histogram: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """All pairs at the hub, less those that lead back to where they began."""
+    hub_minutes = histogram.groupBy("flightdate", "hub", "minute").agg(
+        F.sum("landed").alias("landed"), F.sum("left").alias("left")
+    )
+    every = _meetings(hub_minutes, ["flightdate", "hub"], low, high)
+    back = _meetings(histogram, ["flightdate", "hub", "other"], low, high).withColumnRenamed("pairs", "back")
+    return every.join(back, ["flightdate", "hub"]).select(
         "flightdate", "hub", (F.col("pairs") - F.col("back")).alias("pairs")
     )
 
 
+def hub_pair_counts(
+    legs: DataFrame, low: int | None = MIN_LAYOVER, high: int | None = MAX_LAYOVER, hubs: list[str] | None = None
+) -> DataFrame:
+    """Any-carrier pairs per date and hub, with different start and end airports."""
+    return _pairs(_histogram(legs, hubs), low, high)
+
+
 def hub_connections(legs: DataFrame, low: int = MIN_LAYOVER, high: int = MAX_LAYOVER) -> DataFrame:
     """Any-carrier connections in the local window, per date and hub."""
     return hub_pair_counts(legs, low, high).filter(F.col("pairs") > 0)
@@ -119,8 +138,8 @@ def hub_connections(legs: DataFrame, low: int = MIN_LAYOVER, high: int = MAX_LAY
 
 def negative_layovers(legs: DataFrame) -> DataFrame:
     """What the join yields without the time-order predicate: all pairs, and impossible ones."""
-    total = hub_pair_counts(legs, -FOREVER, FOREVER).withColumnRenamed("pairs", "total")
-    negative = hub_pair_counts(legs, -FOREVER, -1).withColumnRenamed("pairs", "negative")
+    total = hub_pair_counts(legs, None, None).withColumnRenamed("pairs", "total")
+    negative = hub_pair_counts(legs, None, -1).withColumnRenamed("pairs", "negative")
     return (
         total.join(negative, ["flightdate", "hub"])
         .groupBy("flightdate")
@@ -136,39 +155,31 @@ def hub_layover_stats(legs: DataFrame, hubs: list[str], low: int = 45, high: int
     than that are enough: one of the two does not lead back to where the arrival came from.
     The longest layover is the same question on the reversed clock.
     """
-    legs = legs.filter(F.col("origin") != F.col("dest"))
-    arrivals = _histogram(legs.filter(F.col("dest").isin(*hubs)), "dest", "origin", "scheduled_arrival_time", "landed")
-    departures = _histogram(
-        legs.filter(F.col("origin").isin(*hubs)), "origin", "dest", "scheduled_departure_time", "left"
-    )
-    shortest = _nearest(arrivals, departures, low, high).groupBy("flightdate", "hub").agg(
-        F.min("gap").alias("min_layover")
-    )
-    mirrored = [df.withColumn("minute", -F.col("minute")) for df in (arrivals, departures)]
-    longest = _nearest(*mirrored, -high, -low).groupBy("flightdate", "hub").agg(
-        (-F.min("gap")).alias("max_layover")
-    )
-    pairs = hub_pair_counts(legs, low, high, hubs)
-    return shortest.join(longest, ["flightdate", "hub"]).join(pairs, ["flightdate", "hub"])
-
-
-def _nearest(arrivals: DataFrame, departures: DataFrame, low: int, high: int) -> DataFrame:
-    """Per arrival minute and start airport: minutes to the first departure elsewhere."""
-    order = Window.partitionBy("flightdate", "hub").orderBy("minute", "other")
+    histogram = _histogram(legs, hubs)
+    reversed_clock = histogram.withColumn("minute", -F.col("minute"))
+    shortest = _shortest_gap(histogram, low, high).withColumnRenamed("gap", "min_layover")
+    longest = _shortest_gap(reversed_clock, -high, -low).withColumn("max_layover", -F.col("gap")).drop("gap")
+    key = ["flightdate", "hub"]
+    return shortest.join(longest, key).join(_pairs(histogram, low, high), key)
+
+
+def _shortest_gap(histogram: DataFrame, low: int, high: int) -> DataFrame:
+    """Per date and hub: fewest minutes from an arrival to a departure elsewhere."""
+    hub = ["flightdate", "hub"]
+    order = Window.partitionBy(*hub).orderBy("minute", "other")
     turned = F.lag("other").over(order) != F.col("other")
-    departures = departures.withColumn("turn", F.when(turned, F.col("minute")))
+    departures = histogram.filter(F.col("left") > 0).withColumn("turn", F.when(turned, F.col("minute")))
     later = order.rowsBetween(1, Window.unboundedFollowing)
     departures = departures.withColumn("next_other", F.min("turn").over(later))
-    per_minute = departures.groupBy("flightdate", "hub", "minute").agg(
+    per_minute = departures.groupBy(*hub, "minute").agg(
         F.min(F.struct("minute", "other", "next_other")).alias("first")
     )
-    rows = arrivals.select("flightdate", "hub", "minute", F.col("other").alias("start")).unionByName(
-        per_minute, allowMissingColumns=True
-    )
-    ahead = Window.partitionBy("flightdate", "hub").orderBy("minute").rangeBetween(low, high)
+    arrivals = histogram.filter(F.col("landed") > 0).select(*hub, "minute", F.col("other").alias("start"))
+    rows = arrivals.unionByName(per_minute, allowMissingColumns=True)
+    ahead = Window.partitionBy(*hub).orderBy("minute").rangeBetween(low, high)
     rows = rows.withColumn("ahead", F.min("first").over(ahead)).filter(F.col("start").isNotNull())
     elsewhere = F.when(F.col("ahead.other") != F.col("start"), F.col("ahead.minute")).otherwise(
         F.col("ahead.next_other")
     )
     gap = elsewhere - F.col("minute")
-    return rows.select("flightdate", "hub", gap.alias("gap")).filter(F.col("gap").between(low, high))
+    return rows.filter(gap.between(low, high)).groupBy(*hub).agg(F.min(gap).alias("gap"))

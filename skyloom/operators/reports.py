@@ -6,52 +6,81 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUMMARY_ROWS = ("Aggregated", "Total")
-BLOCKS = 1000
+SKETCH_ACCURACY = 10_000
 
 
 def exact_percentiles(df: DataFrame, group: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact interpolated percentiles per group, one column each.
 
-    Equal values are merged first. Each group's range is cut into blocks; the running count
-    over the blocks tells which of them hold the wanted ranks, and only those are sorted.
-    No task sees all values of a group, as ``percentile`` would.
+    ``percentile`` would gather every distinct value of a group in one task. Here a sketch,
+    merged map-side, brackets each percentile; only the values inside the bracket (a few in
+    ten thousand) are ordered, and the rest are just counted. The bracket is checked against
+    the true ranks and falls back to the group's whole range, so the result is exact
+    whatever the sketch said.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("v"))
-    counts = counts.agg(F.count("*").alias("n"))
-    span = counts.groupBy(*group).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("rows"))
-    width = F.greatest((F.col("high") - F.col("low")) / BLOCKS, F.lit(1e-12))
-    block = F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(BLOCKS - 1))
-    placed = counts.join(span, group).withColumn("block", block)
-
-    order = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = placed.groupBy(*group, "block").agg(F.sum("n").alias("held"), F.first("rows").alias("rows"))
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("held").over(order), F.lit(0)))
-
-    ranks = {}
-    for name, p in probabilities.items():
-        exact = F.lit(p) * (F.col("rows") - 1)
-        ranks[name] = (F.floor(exact), F.ceil(exact), exact - F.floor(exact))
-
-    def holds(rank: Column, start: Column, held: Column) -> Column:
-        return (start <= rank) & (rank < start + held)
-
-    wanted = F.lit(False)
-    for low, high, _ in ranks.values():
-        for rank in (low, high):
-            wanted = wanted | holds(rank, F.col("before"), F.col("held"))
-    hit = blocks.filter(wanted).select(*group, "block", "before")
-    inside = Window.partitionBy(*group, "block").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    rows = placed.join(hit, [*group, "block"]).withColumn(
-        "start", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    rows = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("v"))
+    margin = 2 / SKETCH_ACCURACY
+    points = [x for p in probabilities.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = rows.groupBy(*group).agg(
+        F.count("*").alias("total"),
+        F.min("v").alias("least"),
+        F.max("v").alias("most"),
+        F.percentile_approx("v", points, SKETCH_ACCURACY).alias("points"),
+    )
+    per_point = sketch.select(
+        *group,
+        "total",
+        "least",
+        "most",
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(name).alias("which"),
+                        F.lit(p).alias("p"),
+                        F.col("points")[2 * i].alias("low"),
+                        F.col("points")[2 * i + 1].alias("high"),
+                    )
+                    for i, (name, p) in enumerate(probabilities.items())
+                ]
+            )
+        ).alias("q"),
+    ).select(*group, "total", "least", "most", "q.*")
+    exact = F.col("p") * (F.col("total") - 1)
+    per_point = per_point.withColumn("first_rank", F.floor(exact)).withColumn("last_rank", F.ceil(exact))
+
+    counts = rows.groupBy(*group, "v").agg(F.count("*").alias("n"))
+    spread = counts.join(per_point, group)
+    placed = spread.groupBy(*group, "which").agg(
+        F.sum(F.when(F.col("v") < F.col("low"), F.col("n")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("v") <= F.col("high"), F.col("n")).otherwise(0)).alias("up_to"),
+    )
+    held = (F.col("below") <= F.col("first_rank")) & (F.col("last_rank") < F.col("up_to"))
+    bracket = per_point.join(placed, [*group, "which"]).select(
+        *group,
+        "which",
+        "first_rank",
+        "last_rank",
+        (exact - F.floor(exact)).alias("part"),
+        F.when(held, F.col("low")).otherwise(F.col("least")).alias("low"),
+        F.when(held, F.col("high")).otherwise(F.col("most")).alias("high"),
+        F.when(held, F.col("below")).otherwise(0).alias("below"),
+    )
+    inside = counts.join(bracket, group).filter(F.col("v").between(F.col("low"), F.col("high")))
+    before = Window.partitionBy(*group, "which").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("start", F.col("below") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+    def at(rank: str) -> Column:
+        here = (F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("start") + F.col("n"))
+        return F.max(F.when(here, F.col("v")))
+
+    found = inside.groupBy(*group, "which").agg(
+        at("first_rank").alias("a"), at("last_rank").alias("b"), F.first("part").alias("t")
+    )
+    value_at = F.col("a") + (F.col("b") - F.col("a")) * F.col("t")
+    return found.groupBy(*group).agg(
+        *[F.max(F.when(F.col("which") == name, value_at)).alias(name) for name in probabilities]
     )
-    picks, outputs = [], []
-    for name, (low, high, part) in ranks.items():
-        at_low = F.max(F.when(holds(low, F.col("start"), F.col("n")), F.col("v")))
-        at_high = F.max(F.when(holds(high, F.col("start"), F.col("n")), F.col("v")))
-        picks += [at_low.alias(f"{name}_low"), at_high.alias(f"{name}_high"), F.first(part).alias(f"{name}_part")]
-        a, b, t = F.col(f"{name}_low"), F.col(f"{name}_high"), F.col(f"{name}_part")
-        outputs.append((a + (b - a) * t).alias(name))
-    return rows.groupBy(*group).agg(*picks).select(*group, *outputs)
 
 
 def grade(value: Column, good: float, ok: float) -> Column:

@@ -145,6 +145,7 @@ def distance_bands(legs: DataFrame) -> DataFrame:
     band = F.least(
         F.greatest(F.ceil(F.try_divide(miles - F.col("low"), width)), F.lit(1)), F.lit(len(BANDS))
     )
+    band = F.when(width == 0, len(BANDS) // 2 + 1).otherwise(band)
     name = F.try_element_at(F.array(*[F.lit(b) for b in BANDS]), band.cast("int"))
     return (
         legs.join(F.broadcast(span))
