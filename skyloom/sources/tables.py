@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.schema import LEG_KEY
+from skyloom.storage import drop_path, path_exists, stage
 
 
 def one_per_key(df: DataFrame, key=LEG_KEY) -> DataFrame:
@@ -23,8 +24,6 @@ def upsert_legs(df: DataFrame, path: str, key=LEG_KEY) -> None:
 
     Dates are replaced whole, so a repeated load, or a retried task, changes nothing.
     """
-    from skyloom.storage import path_exists, stage
-
     df = one_per_key(df, key)
     spark = df.sparkSession
     if path_exists(spark, path):
@@ -36,8 +35,12 @@ def upsert_legs(df: DataFrame, path: str, key=LEG_KEY) -> None:
     replace_dates(df, path)
 
 
-def replace_dates(df: DataFrame, path: str) -> None:
-    """Write a derived table (connections, offsets) so that its dates are rebuilt whole."""
+def replace_dates(df: DataFrame, path: str, dates: list[str] | None = None) -> None:
+    """Write a table so that its dates are rebuilt whole.
+
+    ``dates`` names what was rebuilt: a date among them that came out empty loses its old
+    rows too, which a partition overwrite alone would leave behind.
+    """
     (
         df.hint("rebalance", "flightdate")
         .write.mode("overwrite")
@@ -45,6 +48,10 @@ def replace_dates(df: DataFrame, path: str) -> None:
         .partitionBy("flightdate")
         .parquet(path)
     )
+    if dates:
+        filled = {str(r.flightdate) for r in df.select("flightdate").distinct().collect()}
+        for day in set(map(str, dates)) - filled:
+            drop_path(df.sparkSession, f"{path}/flightdate={day}")
 
 
 def verify_written(spark: SparkSession, path: str) -> int:
