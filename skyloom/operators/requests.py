@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from skyloom.schema import DEFAULT_LIMIT, DEFAULT_MAX_STOPS, SERVED_MAX_LIMIT, SERVED_MAX_STOPS
 
-CLOCK = r"^([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?$"
-STAMP = r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})T([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?$"
-SPACED = r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}) ([0-9]{1,2}):([0-9]{1,2})$"
+DATE = "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+CLOCK = "^[0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2})?$"
+STAMP = f"^{DATE}T[0-9]{{1,2}}:[0-9]{{1,2}}(:[0-9]{{1,2}})?$"
+SPACED = f"^{DATE} [0-9]{{1,2}}:[0-9]{{1,2}}$"
 
 
 def _airport(column: str) -> Column:
@@ -20,35 +21,28 @@ def _airport(column: str) -> Column:
 
 def _day(text: Column) -> Column:
     """Year-month-day with one- or two-digit parts, else null."""
-    text = F.trim(text)
-    good = text.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$")
-    return F.when(good, F.try_to_date(text, "yyyy-M-d"))
+    return F.when(text.rlike(f"^{DATE}$"), F.try_to_date(text, "yyyy-M-d"))
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found == "", F.lit("0")).otherwise(found).cast("int")
-
-
-def _moment(day: Column, text: Column, pattern: str, first: int, seconds: bool = True) -> Column:
-    sec = _part(text, pattern, first + 2) if seconds else F.lit(0)
-    hour, minute = _part(text, pattern, first), _part(text, pattern, first + 1)
-    ok = (hour < 24) & (minute < 60) & (sec < 60)
-    return F.when(
-        ok, F.make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), hour, minute, sec)
-    )
-
-
-def _bound(column: str, day: Column) -> Column:
-    """A clock reading on the search date, or a full local time; never rolled past midnight."""
+def _stamp_text(column: str) -> Column:
+    """A bound as full date-and-time text: a clock reading is put on the search date, never
+    rolled past midnight."""
     text = F.trim(F.col(column))
+    on_day = F.concat(F.date_format("flightdate", "yyyy-MM-dd"), F.lit("T"), text)
     return (
-        F.when(text.rlike(CLOCK), _moment(day, text, CLOCK, 1))
-        .when(text.rlike(STAMP), _moment(_day(F.regexp_extract(text, STAMP, 1)), text, STAMP, 2))
-        .when(text.rlike(SPACED), _moment(_day(F.regexp_extract(text, SPACED, 1)), text, SPACED, 2, False))
+        F.when(text.rlike(CLOCK), on_day)
+        .when(text.rlike(SPACED), F.translate(text, " ", "T"))
+        .when(text.rlike(STAMP), text)
     )
 
 
+def _moment(column: str) -> Column:
+    """The local time a full text states; null for a day or clock reading that does not exist."""
+    parts = F.transform(F.split(column, "[-T:]"), lambda x: x.cast("int"))
+    second = F.coalesce(F.get(parts, F.lit(5)), F.lit(0))
+    return F.try_make_timestamp_ntz(*[F.get(parts, F.lit(i)) for i in range(5)], second)
+
+
 def normalise_requests(requests: DataFrame, served: bool = False) -> DataFrame:
     """Typed request columns plus ``error``: the first fault found, null if none.
 
@@ -65,14 +59,15 @@ def normalise_requests(requests: DataFrame, served: bool = False) -> DataFrame:
     for name, value in optional.items():
         if name not in requests.columns:
             requests = requests.withColumn(name, value)
-    day = _day(F.col("date"))
-    df = requests.select(
+    df = requests.withColumn("flightdate", _day(F.trim("date")))
+    df = df.withColumns({f"{c}_text": _stamp_text(c) for c in ("depart_after", "arrive_before")})
+    df = df.select(
         "request_id",
         _airport("origin").alias("origin"),
         _airport("dest").alias("dest"),
-        day.alias("flightdate"),
-        _bound("depart_after", day).alias("depart_after"),
-        _bound("arrive_before", day).alias("arrive_before"),
+        "flightdate",
+        _moment("depart_after_text").alias("depart_after"),
+        _moment("arrive_before_text").alias("arrive_before"),
         F.coalesce(F.col("min_stops").cast("int"), F.lit(0)).alias("min_stops"),
         F.coalesce(F.col("max_stops").cast("int"), F.lit(DEFAULT_MAX_STOPS)).alias("max_stops"),
         F.coalesce(F.col("limit").cast("int"), F.lit(DEFAULT_LIMIT)).alias("limit"),
