@@ -84,6 +84,11 @@ def connecting_hubs(connections: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
+def unexpected_hubs(hubs: DataFrame, known: DataFrame) -> DataFrame:
+    """Hubs that are not in the list of known ones."""
+    return hubs.join(known.select(F.col("code").alias("hub")), "hub", "left_anti")
+
+
 def carrier_hubs(connections: DataFrame, top: int = 4) -> DataFrame:
     """Each carrier's largest connecting airports, by the carrier of the first leg."""
     per = connections.groupBy(F.col("from_carrier").alias("carrier"), "hub").agg(F.count("*").alias("connections"))

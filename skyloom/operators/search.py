@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions import leg_id, minutes_between
+from skyloom.functions import iso, leg_id, minutes_between
 from skyloom.functions.codes import carrier_family
 from skyloom.operators.requests import normalise_requests
 from skyloom.storage import stage
@@ -144,18 +144,16 @@ def solve_specs(specs: DataFrame, legs: DataFrame, connections: DataFrame) -> Da
         "limit",
     )
 
-    def answers(stops: int, paths: DataFrame) -> DataFrame:
-        fits = (
-            (F.lit(stops).between(F.col("min_stops"), F.col("max_stops")))
-            & (F.col("depart_after").isNull() | (F.col("departs") >= F.col("depart_after")))
-            & (F.col("arrive_before").isNull() | (F.col("arrives") < F.col("arrive_before")))
-        )
-        found = paths.drop("last", "deepest").join(ask, ["start", "at", "flightdate"]).filter(fits)
-        return found.drop("depart_after", "arrive_before", "min_stops", "max_stops").withColumn(
-            "stops", F.lit(stops)
-        )
-
-    found = reduce(DataFrame.unionByName, [answers(k, paths) for k, paths in enumerate(levels)])
+    paths = reduce(
+        DataFrame.unionByName,
+        [level.drop("last", "deepest").withColumn("stops", F.lit(k)) for k, level in enumerate(levels)],
+    )
+    fits = (
+        F.col("stops").between(F.col("min_stops"), F.col("max_stops"))
+        & (F.col("depart_after").isNull() | (F.col("departs") >= F.col("depart_after")))
+        & (F.col("arrive_before").isNull() | (F.col("arrives") < F.col("arrive_before")))
+    )
+    found = paths.join(ask, ["start", "at", "flightdate"]).filter(fits)
     found = found.withColumn("total_minutes", F.col("air_minutes") + F.col("waiting"))
     # The literal bound lets Spark cut each task's share before the shuffle, so a request
     # with millions of paths never gathers them in one task.
@@ -234,6 +232,31 @@ def search(
     )
 
 
+def as_text(itineraries: DataFrame) -> DataFrame:
+    """Times as ISO text, ready for JSON."""
+    times = ("departs", "arrives", "departs_utc", "arrives_utc")
+    return itineraries.withColumns({c: iso(c) for c in times})
+
+
+def itinerary_counts(legs: DataFrame, connections: DataFrame, max_stops: int = 2) -> DataFrame:
+    """Acyclic itineraries per date, pair and number of stops, and the shortest journey."""
+    starts = legs.select("flightdate", "origin").distinct()
+    starts = starts.withColumn("earliest", F.lit(None).cast("timestamp_ntz")).withColumn(
+        "deepest", F.lit(max_stops)
+    )
+    wanted = legs.select("flightdate", "dest").distinct()
+    counts = [
+        level.groupBy("flightdate", F.col("start").alias("origin"), F.col("at").alias("dest"))
+        .agg(
+            F.count("*").alias("itineraries"),
+            F.min(F.col("air_minutes") + F.col("waiting")).alias("best_minutes"),
+        )
+        .withColumn("stops", F.lit(stops))
+        for stops, level in enumerate(chains(starts, wanted, legs, connections, max_stops, mixed=False))
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def by_stops(itineraries: DataFrame) -> DataFrame:
     """Re-rank each request's itineraries by stops first, then journey time."""
     order = Window.partitionBy("request_id").orderBy(

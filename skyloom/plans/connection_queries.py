@@ -93,6 +93,21 @@ def connecting_hubs(t):
     return rollups.connecting_hubs(t.connections)
 
 
+@query(
+    "unexpected_hubs",
+    f"""WITH {EDGES}, top AS (SELECT hub, count(*) AS connections FROM edge GROUP BY hub
+      ORDER BY connections DESC, hub LIMIT 10)
+    SELECT hub, connections FROM top WHERE hub NOT IN
+      (SELECT o FROM loaded GROUP BY o ORDER BY count(*) DESC, o LIMIT 10)""",
+)
+def unexpected_hubs(t):
+    """Top connecting airports that are not among the ten busiest."""
+    from skyloom.operators.requests import busiest_origins
+
+    top = rollups.connecting_hubs(t.connections).select("hub", "connections")
+    return rollups.unexpected_hubs(top, busiest_origins(t.loaded, top=10))
+
+
 @query(
     "carrier_hubs",
     f"""WITH {EDGES}, c AS (SELECT fc AS carrier, hub, count(*) AS connections FROM edge GROUP BY fc, hub)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from skyloom.operators import legs as leg
 from skyloom.operators import quality, rollups
 from skyloom.plans.registry import query
-from skyloom.plans.sql import LEGS, RECORDS, ROUTES, EDGES, day, fam, ts
+from skyloom.plans.sql import EDGES, LEGS, RECORDS, day, fam, ts
 from skyloom.functions import carrier_family
 from skyloom.sources import scan, tables as sinks
 

@@ -32,6 +32,17 @@ def itinerary_search(t):
     return _answers(t.answers(max_stops=2))
 
 
+@query(
+    "itineraries_0_2",
+    f"""WITH {path_ctes(2)} SELECT {day()} AS flightdate, path.start AS origin, path.at AS dest, stops,
+    count(*) AS itineraries, CAST(min(air + waits) AS BIGINT) AS best_minutes
+    FROM path GROUP BY dd, path.start, path.at, stops""",
+)
+def itineraries_0_2(t):
+    """How many itineraries of each depth every pair has on every date."""
+    return srch.itinerary_counts(t.legs, t.connections, 2)
+
+
 @query("itineraries_0_1", itineraries_sql(1))
 def itineraries_0_1(t):
     return _answers(t.answers(max_stops=1))

@@ -170,7 +170,7 @@ def test_one_stop_spills_into_the_next_day(make_legs):
     assert layovers.one_stop(legs, "LGA", "DFW", DAY, limit=1).count() == 1
 
 
-def test_rollups_over_connections(make_legs):
+def test_rollups_over_connections(spark, make_legs):
     legs = make_legs(schedule(300, days=1), OFFSETS)
     edges = conn.build_connections(legs)
     total = edges.count()
@@ -178,6 +178,13 @@ def test_rollups_over_connections(make_legs):
     assert sum(r.connections for r in top) == total and abs(sum(r.share for r in top) - 1) < 1e-9
     assert rollups.thin_hubs(edges, below=10**9).first().share == 1.0
     assert all(r["rank"] <= 2 for r in rollups.carrier_hubs(edges, top=2).collect())
+    known = spark.createDataFrame([(r.hub,) for r in top[1:]], "code string")
+    assert [r.hub for r in rollups.unexpected_hubs(rollups.connecting_hubs(edges), known).collect()] == [top[0].hub]
+    counts = rollups.entity_counts(legs, network.routes(legs), edges)
+    got = {r.entity: r.n for r in counts.collect()}
+    assert got["legs"] == got["departs_from"] == got["operated_by"] == 300 and got["connections"] == total
+    low = rollups.below_floors(counts, {"legs": 301, "connections": total, "airports": 5}).collect()
+    assert [r.entity for r in low] == ["legs"]
     pairs = network.two_stop_counts(edges).collect()
     by_leg = {}
     for r in edges.collect():

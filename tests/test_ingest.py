@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from skyloom.functions import hhmm_to_time, strict_date
 from skyloom.schema import RECORD_TYPES, record_schema

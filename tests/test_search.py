@@ -168,6 +168,20 @@ def test_null_block_ranks_last(spark, make_legs):
     assert [(r.flights, r.total_minutes) for r in got] == [(["AA1"], 150), (["AA2"], None)]
 
 
+def test_counts_and_text(spark, world, rows):
+    legs, edges = world
+    got = {(r.flightdate, r.origin, r.dest, r.stops): r.itineraries for r in srch.itinerary_counts(legs, edges, 2).collect()}
+    by_leg, paths = brute_paths(rows, 2)
+    want = {}
+    for path, route, _ in paths:
+        key = (by_leg[path[0]][6], route[0], route[-1], len(path) - 1)
+        want[key] = want.get(key, 0) + 1
+    assert got == want
+    found = srch.search(requests(spark, [("x", "LGA", "DFW", str(DAY), None, None, 1, 0, 1)]), legs, edges)
+    row, text = found.first(), srch.as_text(found).first()
+    assert text.departs == row.departs.isoformat() and text.arrives_utc == row.arrives_utc.isoformat()
+
+
 def test_rankings(spark, world):
     legs, edges = world
     found = stage(srch.search(requests(spark, [("x", "LGA", "DFW", str(DAY), None, None, 2)]), legs, edges), "f")
