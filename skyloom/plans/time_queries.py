@@ -49,9 +49,31 @@ def true_offsets(t):
     return t.offsets
 
 
-@query("offset_issues", f"WITH {LEGS} SELECT 'none' AS issue, 0 AS n FROM loaded WHERE false")
+@query(
+    "offset_issues",
+    f"""WITH {LEGS} SELECT DISTINCT {day()} AS flightdate, 'no_anchor' AS issue, 'XXX' AS detail
+    FROM loaded WHERE blk IS NOT NULL
+    UNION ALL SELECT {day("d")}, 'no_pairs', '' FROM (SELECT unnest([7, 8]) AS d)""",
+)
 def offset_issues(t):
-    return t.solution.issues.groupBy("issue").agg(F.count("*").alias("n"))
+    """An anchor that does not fly, and two requested dates that are not loaded."""
+    deltas = offsets.offset_deltas(t.loaded)
+    return offsets.solve_offsets(deltas, ("XXX", 0), _nine_dates(t)).issues
+
+
+@query(
+    "offset_issues_found",
+    f"""WITH {LEGS} SELECT {day("d")} AS flightdate, 'no_pairs' AS issue, '' AS detail
+    FROM (SELECT unnest([7, 8]) AS d)""",
+)
+def offset_issues_found(t):
+    """Nothing but the two dates that are not loaded: no conflict, nothing disconnected."""
+    return offsets.solve_offsets(offsets.offset_deltas(t.loaded), dates=_nine_dates(t)).issues
+
+
+def _nine_dates(t):
+    first = F.lit("2025-07-14").cast("date")
+    return t.spark.range(0, 9).select(F.date_add(first, F.col("id").cast("int")).alias("flightdate"))
 
 
 @query(
@@ -131,10 +153,7 @@ def overnight_audit(t):
     FROM want LEFT JOIN got ON want.dd = got.dd""",
 )
 def utc_coverage(t):
-    wanted = t.spark.range(0, 9).select(
-        F.date_add(F.lit("2025-07-14").cast("date"), F.col("id").cast("int")).alias("flightdate")
-    )
-    return offsets.utc_coverage(t.legs, wanted)
+    return offsets.utc_coverage(t.legs, _nine_dates(t))
 
 
 @query(
@@ -164,7 +183,9 @@ def offset_changes(t):
 @query(
     "airports_without_offset",
     f"""WITH {LEGS}, a AS (SELECT dd, o AS code, blk FROM loaded UNION ALL SELECT dd, d, blk FROM loaded)
-    SELECT {day()} AS flightdate, code FROM a GROUP BY dd, code HAVING count(blk) = 0""",
+    SELECT {day()} AS flightdate, code FROM a GROUP BY dd, code HAVING dd >= 3 OR count(blk) = 0""",
 )
 def airports_without_offset(t):
-    return offsets.airports_without_offset(t.loaded, t.offsets)
+    """With only the first three dates solved, every airport of the others lacks one."""
+    solved = t.offsets.filter(F.col("flightdate") < F.lit("2025-07-17").cast("date"))
+    return offsets.airports_without_offset(t.loaded, solved)
