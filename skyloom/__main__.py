@@ -19,9 +19,10 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--master")
     job = top.add_subparsers(dest="job", required=True)
 
-    ingest = job.add_parser("ingest", help="CSV month files to typed Parquet")
+    ingest = job.add_parser("ingest", help="CSV month files to typed Parquet; stored months are skipped")
     ingest.add_argument("source")
     ingest.add_argument("target")
+    ingest.add_argument("--overwrite", action="store_true", help="write all months anew")
 
     load = job.add_parser("load", help="Parquet records to legs, airports, carriers, routes")
     load.add_argument("source")
@@ -58,7 +59,11 @@ def main(argv=None) -> None:
     spark = get_session("skyloom", args.master)
     root = args.root
     if args.job == "ingest":
-        records.write_records(records.read_records_csv(spark, args.source), args.target)
+        df = records.read_records_csv(spark, args.source)
+        if args.overwrite:
+            records.write_records(df, args.target)
+        else:
+            records.append_new_months(df, args.target)
     elif args.job == "load":
         for name, rows in jobs.load(spark, args.source, root, args.file, args.strict).items():
             print(f"{name}: {rows}")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from skyloom.functions.times import hhmm_to_time, strict_date
 from skyloom.schema import RECORD_TYPES, REQUIRED_IDS, record_schema
-from skyloom.storage import path_exists
+from skyloom.storage import as_uri, file_table, list_files, path_exists
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
@@ -47,9 +47,42 @@ def type_records(text_df: DataFrame) -> DataFrame:
     return df.dropna(subset=required) if required else df
 
 
-def read_records_csv(spark: SparkSession, path) -> DataFrame:
+def _read_headers(batches):
+    import pandas as pd
+    import pyarrow.fs as fs
+
+    for batch in batches:
+        rows = []
+        for file in batch["file"]:
+            store, where = fs.FileSystem.from_uri(as_uri(file))
+            with store.open_input_stream(where) as stream:
+                rows.append((file, _first_line(stream)))
+        yield pd.DataFrame(rows, columns=["file", "header"])
+
+
+def _first_line(stream) -> str:
+    text = b""
+    while b"\n" not in text and (block := stream.read(65536)):
+        text += block
+    return text.split(b"\n", 1)[0].decode("utf-8", "replace").strip()
+
+
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Every cell of the CSV files as text, matched by column name.
+
+    Spark matches a folder's files by position to the first header it meets. Months whose
+    header differs are therefore read apart, one scan per distinct header.
+    """
+    files = list_files(spark, path, "*.csv")
+    headers = file_table(spark, files).mapInPandas(_read_headers, "file string, header string")
+    groups = headers.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
+    reader = spark.read.option("header", True).option("escape", '"')
+    return union_by_name([normalise_names(reader.csv(sorted(g.files))) for g in groups])
+
+
+def read_records_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read every cell as text (no inference pass over the data) and type it."""
-    return type_records(spark.read.option("header", True).option("escape", '"').csv(path))
+    return type_records(read_text_csv(spark, path))
 
 
 def conversion_losses(text_df: DataFrame) -> DataFrame:
@@ -106,7 +139,7 @@ def append_new_months(records: DataFrame, path: str) -> None:
     """Write only the months not yet under ``path``; a repeated run adds nothing."""
     spark = records.sparkSession
     stored = spark.read.parquet(path) if path_exists(spark, path) else None
-    new_months(records, stored).write.mode("append").partitionBy("year", "month").parquet(path)
+    new_months(declared_only(records), stored).write.mode("append").partitionBy("year", "month").parquet(path)
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.schema import CRITICAL_COLUMNS
 from skyloom.sources.records import declared_only, union_by_name
+from skyloom.storage import as_uri, file_table, list_files
 
 
 class NoReadableFile(RuntimeError):
@@ -28,15 +29,6 @@ SCHEMA_CLASH = (
 )
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> list[str]:
-    """Names of the data files, from the file listing only; no data is read."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path if path.endswith(".parquet") else f"{path}/{pattern}")
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
-    paths = [s.getPath() for s in (found or [])]
-    return sorted(p.toString() for p in paths if not p.getName().startswith(("_", ".")))
-
-
 def scan_strict(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
     """One schema for all files; ``file`` names a single one."""
     reader = spark.read.option("mergeSchema", "false")
@@ -56,7 +48,7 @@ def _read_footers(batches):
         rows = []
         for file in batch["file"]:
             try:
-                store, where = fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1))
+                store, where = fs.FileSystem.from_uri(as_uri(file))
                 rows += [(file, f.name, str(f.type), None) for f in pq.read_schema(where, filesystem=store)]
             except Exception as error:  # an unreadable file is a finding, not a failure
                 rows.append((file, None, None, str(error)[:200]))
@@ -65,10 +57,7 @@ def _read_footers(batches):
 
 def footers(spark: SparkSession, path: str) -> DataFrame:
     """(file, column, type, error), read by the executors, one row per file and column."""
-    files = list_files(spark, path)
-    names = spark.createDataFrame([(f,) for f in files], "file string")
-    slices = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
-    return names.repartition(slices).mapInPandas(
+    return file_table(spark, list_files(spark, path)).mapInPandas(
         _read_footers, "file string, column string, type string, error string"
     )
 

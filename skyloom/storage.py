@@ -47,3 +47,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def drop_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> list[str]:
+    """Names of the data files, from the file listing only; no data is read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path if path.endswith(pattern.lstrip("*")) else f"{path}/{pattern}")
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    paths = [s.getPath() for s in (found or [])]
+    return sorted(p.toString() for p in paths if not p.getName().startswith(("_", ".")))
+
+
+def file_table(spark: SparkSession, files: list[str]) -> DataFrame:
+    """File names as rows, spread over tasks that each open a few."""
+    slices = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame([(f,) for f in files], "file string").repartition(slices)
+
+
+def as_uri(file: str) -> str:
+    return file.replace("file:/", "file:///", 1) if file.startswith("file:/") else file

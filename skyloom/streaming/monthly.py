@@ -21,7 +21,9 @@ def load_new_files(
     ``columns`` is the header of the files. Runs until no file is left, then stops.
     """
     schema = ", ".join(f"`{c}` string" for c in columns)
-    text = spark.readStream.schema(schema).option("header", True).csv(source)
+    # Header names are compared with ``columns``: a file laid out differently fails the
+    # batch instead of filling the wrong columns.
+    text = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).csv(source)
 
     def load(batch: DataFrame, _epoch: int) -> None:
         legs = project_legs(valid_legs(type_records(batch), strict))

@@ -84,12 +84,21 @@ def test_widened_sink(spark, tmp_path):
 
 def test_months_are_loaded_once(spark, tmp_path):
     path = str(tmp_path / "months")
-    july = spark.createDataFrame([(2025, 7, "a")], "year int, month int, v string")
+    july = spark.createDataFrame([(2025, 7, "a")], "year int, month int, origin string")
     both = july.union(spark.createDataFrame([(2025, 8, "b")], july.schema))
     rec.append_new_months(july, path)
     rec.append_new_months(both, path)
     rec.append_new_months(both, path)
-    assert sorted(r.v for r in spark.read.parquet(path).collect()) == ["a", "b"]
+    assert sorted(r.origin for r in spark.read.parquet(path).collect()) == ["a", "b"]
+
+
+def test_months_with_another_column_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Origin,Dest,Distance\nLGA,DFW,1\nLGA,ATL,2\n")
+    (tmp_path / "b.csv").write_text("Distance,Dest,Origin,Tail_Number\r\n3,ORD,DEN,N1\r\n")
+    (tmp_path / "c.csv").write_text("Origin,Dest,Distance\nJFK,BOS,4\n")
+    rows = rec.read_records_csv(spark, str(tmp_path)).collect()
+    got = sorted((r.origin, r.dest, r.distance, r.tail_number) for r in rows)
+    assert got == [("DEN", "ORD", 3.0, "N1"), ("JFK", "BOS", 4.0, None), ("LGA", "ATL", 2.0, None), ("LGA", "DFW", 1.0, None)]
 
 
 def month_file(spark, path, name, df):
