@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from skyloom import jobs
@@ -11,6 +12,7 @@ from skyloom.operators import connections as conn
 from skyloom.schema import DEFAULT_LIMIT, DEFAULT_MAX_STOPS, MAX_LAYOVER, MIN_LAYOVER
 from skyloom.session import get_session
 from skyloom.sources import records, scan
+from skyloom.storage import clear_stages
 
 
 def parser() -> argparse.ArgumentParser:
@@ -56,7 +58,16 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv=None) -> None:
     args = parser().parse_args(argv)
+    shared = SparkSession.getActiveSession() is not None
     spark = get_session("skyloom", args.master)
+    try:
+        run(spark, args)
+    finally:
+        if not shared:
+            clear_stages(spark)
+
+
+def run(spark, args) -> None:
     root = args.root
     if args.job == "ingest":
         df = records.read_records_csv(spark, args.source)

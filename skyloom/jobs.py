@@ -19,7 +19,6 @@ from skyloom.operators.search import search
 from skyloom.schema import MAX_LAYOVER, MIN_LAYOVER
 from skyloom.sources import scan
 from skyloom.sources.tables import replace_dates, upsert_legs, verify_written
-from skyloom.storage import stage
 
 ENTITIES = ("airports", "carriers", "routes")
 
@@ -82,9 +81,11 @@ def connect_dates(
     """Rebuild the connections of the dates; their offsets must be solved."""
     legs = _of_dates(table(spark, root, "legs"), dates)
     wanted = _date_table(spark, legs, dates)
-    edges = stage(conn.build_connections(legs, min_layover, max_layover, strict_carrier), "edges", "flightdate")
-    conn.require_built(edges, legs, wanted)
-    replace_dates(edges, f"{root}/connections", dates)
+    named = dates or [str(r.flightdate) for r in wanted.collect()]
+    edges = conn.build_connections(legs, min_layover, max_layover, strict_carrier)
+    replace_dates(edges, f"{root}/connections", named)
+    stored = spark.read.schema(edges.schema).parquet(f"{root}/connections")
+    conn.require_built(stored, legs, wanted)
 
 
 def search_table(spark: SparkSession, root: str, requests: DataFrame, served: bool = False) -> DataFrame:

@@ -38,9 +38,12 @@ def upsert_legs(df: DataFrame, path: str, key=LEG_KEY) -> None:
 def replace_dates(df: DataFrame, path: str, dates: list[str] | None = None) -> None:
     """Write a table so that its dates are rebuilt whole.
 
-    ``dates`` names what was rebuilt: a date among them that came out empty loses its old
-    rows too, which a partition overwrite alone would leave behind.
+    ``dates`` names what is being rebuilt. Their old rows go first, because a partition
+    overwrite alone would leave those of a date that comes out empty. ``df`` must not read
+    from ``path``. If the job dies in between, the date is absent, not half old.
     """
+    for day in dates or []:
+        drop_path(df.sparkSession, f"{path}/flightdate={day}")
     (
         df.hint("rebalance", "flightdate")
         .write.mode("overwrite")
@@ -48,10 +51,6 @@ def replace_dates(df: DataFrame, path: str, dates: list[str] | None = None) -> N
         .partitionBy("flightdate")
         .parquet(path)
     )
-    if dates:
-        filled = {str(r.flightdate) for r in df.select("flightdate").distinct().collect()}
-        for day in set(map(str, dates)) - filled:
-            drop_path(df.sparkSession, f"{path}/flightdate={day}")
 
 
 def verify_written(spark: SparkSession, path: str) -> int:

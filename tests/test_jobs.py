@@ -79,3 +79,12 @@ def test_load_solve_connect_search(spark, folder, capsys):
     main(["--root", root, "dates"])
     out = capsys.readouterr().out
     assert "2025-07-19" in out
+
+    header = "Year,Month,FlightDate,Flight_Number_Reporting_Airline,DOT_ID_Reporting_Airline,Reporting_Airline,Origin,Dest"
+    (base / "csv").mkdir()
+    (base / "csv" / "m7.csv").write_text(f"{header}\n2025,7,2025-07-18,1,19805,AA,LGA,DFW\n")
+    for _ in range(2):  # the second run finds the month stored
+        main(["--root", root, "ingest", f"{base}/csv", f"{base}/typed"])
+    main(["--root", root, "summary", f"{base}/typed"])
+    assert spark.read.parquet(f"{base}/typed").count() == 1
+    assert "2025-07" in capsys.readouterr().out

@@ -73,3 +73,9 @@ def test_ranking_is_cut_before_the_shuffle(spark, stored):
 def test_routes_aggregate_before_the_shuffle(stored):
     text = plan(network.routes(stored[0]))
     assert "partial_count" in text and text.count("Exchange hashpartitioning") <= 2
+
+
+def test_stage_tables_live_in_the_shared_folder(spark, stored):
+    from skyloom.storage import shared_root
+
+    assert all(f.startswith(f"file://{shared_root(spark)}/skyloom/") for f in stored[1].inputFiles())
