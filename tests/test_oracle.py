@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
+from skyloom.plans.registry import ORACLES, QUERIES
 from tools.check import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -18,10 +19,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_result(spark, con, name):
     state, _, _, _, note = compare(spark, con, name, SF)
     assert state == "ok", note
