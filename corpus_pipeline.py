@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import read
+from skyloom.llm.common import fresh, read
 from skyloom.llm.decontaminate import decontaminate
-from skyloom.llm.language_id import held_out, predict, train
+from skyloom.llm.language_id import held_out, keep_accepted, train
 from skyloom.llm.line_dedup import dedup_lines
 from skyloom.llm.near_dedup import WORD, drop_near_duplicates
 from skyloom.llm.packing import pack_documents
@@ -23,15 +23,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those that their most likely language explains
     badly. Learns from the documents that aren't held out."""
     model = train(docs.filter(~held_out()))
-    return predict(docs, model).filter("accepted").select(*docs.columns)
+    return keep_accepted(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated runs of lines out; a document that loses all its words goes. ``n_chars`` is
     that of the text that is left."""
-    cleaned = dedup_lines(docs)
-    left = cleaned.filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+    removed = fresh(docs, "n_removed")
+    cleaned = dedup_lines(docs, removed=removed)
+    left = cleaned.filter((F.col(removed) == 0) | F.col("text").rlike(WORD))
+    changed = F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.withColumn("n_chars", F.coalesce(changed, "n_chars")).select(*docs.columns)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,32 @@ def batches(rows: Iterator, size: int = 2_000_000) -> Iterator[list]:
         yield held
 
 
+def carried(batch: pa.RecordBatch, names: list[str], rows: list[int] | None = None, **new: pa.Array) -> pa.RecordBatch:
+    """Columns of an Arrow batch (its rows in the given order, if any) beside new ones. Arrow
+    keeps 64-bit ids exact where a column holds nulls; pandas would make them doubles."""
+    old = [batch.column(batch.schema.get_field_index(n)) for n in names]
+    if rows is not None:
+        old = [c.take(pa.array(rows, pa.int64())) for c in old]
+    return pa.RecordBatch.from_arrays([*old, *new.values()], names=[*names, *new])
+
+
+def column(batch: pa.RecordBatch, name: str) -> list:
+    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def schema_of(df: DataFrame, **new: str) -> str:
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    return ", ".join(fields + [f"`{n}` {t}" for n, t in new.items()])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ordinary(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Only the named columns, so that others may have any name; a missing one is null."""
     have = {c.lower(): c for c in df.columns}

@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from skyloom.llm.common import mixed, ordinary, words_of
+from skyloom.llm.common import carried, column, mixed, ordinary, schema_of, words_of
 
 MIN_MATCH = 5
 COVERAGE = 0.6
@@ -154,23 +155,26 @@ def _load(spark: SparkSession, part: DataFrame):
     return spark.sparkContext.broadcast(Block([tuple(r) for r in part.collect()]))
 
 
-def _report(shared, coverage: float) -> Callable:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [
-                (doc, *leak)
-                for doc, text in zip(frame.doc_id, frame.text, strict=True)
-                for leak in shared.value.leaks(text, coverage)
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage", "matched"])
+def _report(shared, coverage: float, item_kind) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, leak) for i, t in enumerate(column(batch, "text")) for leak in shared.value.leaks(t, coverage)]
+            yield carried(
+                batch,
+                ["doc_id"],
+                [i for i, _ in found],
+                item_id=pa.array([leak[0] for _, leak in found], item_kind),
+                coverage=pa.array([leak[1] for _, leak in found], pa.float64()),
+                matched=pa.array([leak[2] for _, leak in found], pa.int32()),
+            )
 
     return run
 
 
 def _keep(shared, coverage: float) -> Callable:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame[[not shared.value.leaks(t, coverage) for t in frame["text"]]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not shared.value.leaks(t, coverage) for t in column(batch, "text")], pa.bool_()))
 
     return run
 
@@ -186,11 +190,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
     scan without a shuffle; the tiling of a document happens where it was read.
     """
     rows, items = ordinary(documents, ("doc_id", "text")), ordinary(benchmark, ("item_id", "text"))
-    kind = {"d": rows.schema["doc_id"].dataType.simpleString(), "i": items.schema["item_id"].dataType.simpleString()}
-    schema = f"doc_id {kind['d']}, item_id {kind['i']}, coverage double, matched int"
+    item = items.schema["item_id"].dataType
+    schema = schema_of(rows.select("doc_id"), item_id=item.simpleString(), coverage="double", matched="int")
     out = None
     for part in benchmark_blocks(items):
-        found = rows.mapInPandas(_report(_load(documents.sparkSession, part), coverage), schema)
+        found = rows.mapInArrow(_report(_load(documents.sparkSession, part), coverage, to_arrow_type(item)), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -198,5 +202,5 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
 def decontaminate(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``documents`` without the rows that leak an item; all columns stay."""
     for part in benchmark_blocks(ordinary(benchmark, ("item_id", "text"))):
-        documents = documents.mapInPandas(_keep(_load(documents.sparkSession, part), coverage), documents.schema)
+        documents = documents.mapInArrow(_keep(_load(documents.sparkSession, part), coverage), documents.schema)
     return documents

@@ -12,9 +12,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.llm.common import carried, column, schema_of
 from skyloom.llm.url_filters import host_of
 from skyloom.storage import stage
 
@@ -204,12 +206,11 @@ def _vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(votes, columns=["host", "path"], dtype=object)
 
 
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        text = [extract(page, paths) for page, paths in zip(frame.html, frame.paths, strict=True)]
-        yield pd.DataFrame(
-            {"page_id": frame.page_id, "url": frame.url, "text": text, "n_chars": [len(t) for t in text]}
-        )
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = [extract(page, paths) for page, paths in zip(column(batch, "html"), column(batch, "paths"), strict=True)]
+        sizes = pa.array([len(t) for t in text], pa.int64())
+        yield carried(batch, ["page_id", "url"], text=pa.array(text, pa.string()), n_chars=sizes)
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -238,10 +239,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host that holds many of them.
     """
     pages = pages.select("page_id", "url", "html")
-    kind = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     winners = stage(host_paths(pages), "host-paths")
     return (
         pages.withColumn("host", host_of(F.col("url")))
         .join(winners, "host", "left")
-        .mapInPandas(_extract, f"page_id {kind['page_id']}, url string, text string, n_chars long")
+        .mapInArrow(_extract, schema_of(pages.drop("html"), text="string", n_chars="long"))
     )

@@ -13,10 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import batches, ordinary
+from skyloom.llm.common import batches, carried, column, ordinary, schema_of
 
 #: Symbols: 0 is everything but letters, 1-26 are a-z, the others hold hashed letters. A 4-gram
 #: then has 24 bits, so that a language has at most 2**24 grams however large the corpus is.
@@ -26,7 +27,7 @@ UNKNOWN = "und"
 #: Standard deviations of a text's mean that are not yet a reason to reject it.
 DEVIATIONS = 6.0
 
-RESULT = "lang_pred string, score double, cross_entropy double, accepted boolean"
+RESULT = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "accepted": "boolean"}
 
 
 @lru_cache(1)
@@ -186,26 +187,36 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     """All columns of ``documents`` but clashing ones, then lang_pred, score, cross_entropy and
     accepted. Null texts and texts without a letter get ``und``, score 0 and are not accepted, as
     does every text if no language was learned. Ties go to the first language by name."""
-    names = [f.name for f in _result_fields(documents)]
-    schema = documents.select(*names).schema.simpleString()[len("struct<") : -1]
+    rows = documents.drop(*[c for c in documents.columns if c.lower() in RESULT])
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.select(*names).mapInPandas(_judge(shared, names), f"{schema}, {RESULT}")
+    return rows.mapInArrow(_judge(shared, rows.columns), schema_of(rows, **RESULT))
 
 
-def _result_fields(documents: DataFrame):
-    mine = {"lang_pred", "score", "cross_entropy", "accepted"}
-    return [f for f in documents.schema.fields if f.name.lower() not in mine]
+def keep_accepted(documents: DataFrame, model: Model) -> DataFrame:
+    """``documents`` without the rows that are not accepted; all columns stay as they are."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return documents.mapInArrow(_keep(shared), documents.schema)
+
+
+def _verdicts(shared, batch: pa.RecordBatch) -> list[tuple]:
+    return [v for part in batches(enumerate(column(batch, "text"))) for v in shared.value.judge([t for _, t in part])]
 
 
 def _judge(shared, names: list[str]) -> Callable:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            verdicts: list[tuple] = []
-            for part in batches(enumerate(frame["text"])):
-                verdicts += shared.value.judge([t for _, t in part])
-            out = frame[names].reset_index(drop=True)
-            found = pd.DataFrame(verdicts, columns=["lang_pred", "score", "cross_entropy", "accepted"])
-            yield pd.concat([out, found.astype({"score": float, "cross_entropy": float, "accepted": bool})], axis=1)
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            verdicts = _verdicts(shared, batch)
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+            new = {n: pa.array([v[i] for v in verdicts], kinds[i]) for i, n in enumerate(RESULT)}
+            yield carried(batch, names, **new)
+
+    return run
+
+
+def _keep(shared) -> Callable:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            yield batch.filter(pa.array([v[3] for v in _verdicts(shared, batch)], pa.bool_()))
 
     return run
 

@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import text_hash
+from skyloom.llm.common import carried, column, fresh, schema_of, text_hash
 from skyloom.storage import stage
 
 MIN_WORDS = 50
@@ -75,33 +75,31 @@ def windows_of(text: str, least: int) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _windows(least: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [
-                (doc, key, *w)
-                for doc, key, text in zip(frame.doc_id, frame.text_key, frame.text, strict=True)
-                for w in windows_of(text, least)
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "fingerprint", "content", "first", "last"])
+    names = ("fingerprint", "content", "first", "last")
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, w) for i, text in enumerate(column(batch, "text")) for w in windows_of(text, least)]
+            new = {n: pa.array([w[k] for _, w in found], kinds[k]) for k, n in enumerate(names)}
+            yield carried(batch, ["doc_id", "text_key"], [i for i, _ in found], **new)
 
     return run
 
 
-def _cut(names: list[str]):
-    def clean(text, runs):
-        if runs is None:
-            return text, 0
-        gone = {i for run in runs for i in range(run["first"], run["last"] + 1)}
-        lines = text.split("\n")
-        return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
+def _cut(names: list[str], text: str, runs: str, removed: str):
+    def clean(body, gone):
+        if not gone:
+            return body, 0
+        gone = {i for run in gone for i in range(run["first"], run["last"] + 1)}
+        return "\n".join(x for i, x in enumerate(body.split("\n")) if i not in gone), len(gone)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [clean(t, r) for t, r in zip(frame["text"], frame["__runs"], strict=True)]
-            out = frame[names].reset_index(drop=True)
-            out["text"] = [t for t, _ in done]
-            out["n_removed"] = [n for _, n in done]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(text)
+        for batch in batches:
+            done = [clean(t, r) for t, r in zip(column(batch, text), column(batch, runs), strict=True)]
+            out = carried(batch, names, **{removed: pa.array([n for _, n in done], pa.int32())})
+            yield out.set_column(at, text, pa.array([t for t, _ in done], pa.string()))
 
     return run
 
@@ -109,10 +107,10 @@ def _cut(names: list[str]):
 def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_key, first, last: the lines of every window that occurred before, in the
     order of doc_id (nulls first), text hash and line."""
-    keyed = documents.select("doc_id", "text", text_hash().alias("text_key")).filter(F.col("text").isNotNull())
+    keyed = documents.select("doc_id", F.col("text").cast("string").alias("text"), text_hash().alias("text_key")).filter(F.col("text").isNotNull())
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_key long, fingerprint long, content long, first int, last int"
-    windows = stage(keyed.mapInPandas(_windows(min_words), schema), "line-windows")
+    windows = stage(keyed.mapInArrow(_windows(min_words), schema), "line-windows")
     place = F.struct("doc_id", "text_key", "first", "last")
     # Twice somewhere: the smallest place isn't the largest. Both are kept by partial sums.
     shared = (
@@ -136,8 +134,8 @@ def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     )
 
 
-def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows and columns of ``documents`` with the cleaned ``text``, and ``n_removed``, the
+def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, removed: str = "n_removed") -> DataFrame:
+    """The rows and columns of ``documents`` with the cleaned ``text``, and ``removed``, the
     number of lines taken out (a column of that name in the input is replaced).
 
     A line goes if it lies in a run of whole lines with at least ``min_words`` words that stands
@@ -146,16 +144,14 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     other letters in lower case. Blank lines inside a run go with it. Rows equal in doc_id and
     text are one document and share its outcome; null and empty texts stay as they are.
     """
-    names = [c for c in documents.columns if c.lower() not in ("n_removed", "__runs", "__key", "__doc")]
+    rows = documents.drop(removed)
+    doc, key, runs = (fresh(rows, n) for n in ("run_doc", "run_key", "runs"))
     gone = (
         repeated_runs(documents, min_words)
         .groupBy("doc_id", "text_key")
-        .agg(F.collect_set(F.struct("first", "last")).alias("__runs"))
-        .select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "__runs")
-    )
-    rows = documents.select(*names)
-    kept = rows.join(
-        gone, (text_hash() == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left"
+        .agg(F.collect_set(F.struct("first", "last")).alias(runs))
+        .select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), runs)
     )
-    schema = rows.schema.simpleString()[len("struct<") : -1]
-    return kept.select(*names, "__runs").mapInPandas(_cut(names), f"{schema}, n_removed int")
+    same = (text_hash() == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc))
+    kept = rows.join(gone, same, "left").select(*rows.columns, runs)
+    return kept.mapInArrow(_cut(rows.columns, "text", runs, removed), schema_of(rows, **{removed: "int"}))

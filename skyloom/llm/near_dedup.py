@@ -25,10 +25,23 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import batches, mixed, ordinary, shingles, text_hash, word_hashes, words_of
+from skyloom.llm.common import (
+    batches,
+    carried,
+    column,
+    fresh,
+    mixed,
+    ordinary,
+    schema_of,
+    shingles,
+    text_hash,
+    word_hashes,
+    words_of,
+)
 from skyloom.llm.components import components
 from skyloom.storage import stage
 
@@ -65,18 +78,23 @@ def signature(h: np.ndarray) -> np.ndarray:
 
 
 def _describe(size: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
-        for frame in frames:
-            rows = []
-            for doc, key, text in zip(frame.doc_id, frame.text_key, frame.text, strict=True):
+        for batch in found:
+            sizes, nodes, tokens = [], [], []
+            for text in column(batch, "text"):
                 h = shingles(words_of(text), size, cache)
-                if len(h):
-                    rows.append((doc, key, len(h), md5(h.tobytes()).digest(), signature(h)))
-                else:
-                    rows.append((doc, key, 0, None, None))
+                sizes.append(len(h))
+                nodes.append(md5(h.tobytes()).digest() if len(h) else None)
+                tokens.append(signature(h) if len(h) else None)
                 cache.trim()
-            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_shingles", "node", "tokens"])
+            yield carried(
+                batch,
+                ["doc_id", "text_key"],
+                n_shingles=pa.array(sizes, pa.int64()),
+                node=pa.array(nodes, pa.binary()),
+                tokens=pa.array(tokens, pa.list_(pa.int64())),
+            )
 
     return run
 
@@ -96,9 +114,8 @@ def _sets(size: int):
 def describe(documents: DataFrame, size: int) -> DataFrame:
     """doc_id, text_key, n_shingles, node (digest of the shingle set), tokens. Stored."""
     rows = ordinary(documents, ("doc_id", "text")).withColumn("text_key", text_hash())
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_key long, n_shingles long, node binary, tokens array<long>"
-    return stage(rows.mapInPandas(_describe(size), schema), "signatures")
+    schema = schema_of(rows.select("doc_id", "text_key"), n_shingles="long", node="binary", tokens="array<long>")
+    return stage(rows.mapInArrow(_describe(size), schema), "signatures")
 
 
 def stars(classes: DataFrame, percent: int) -> DataFrame:
@@ -301,25 +318,26 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80)
     """One row of each component, that of smallest doc_id (nulls last), then text hash; rows
     equal in both are copies, of which one stays. Rows without words all stay. All columns stay."""
     judged = stage(_judged(documents, size, percent), "judged")
+    chosen_doc, chosen_key, n_copies = (fresh(documents, n) for n in ("chosen_doc", "chosen_key", "copies"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     firsts = (
         judged.filter("n_shingles > 0")
         .groupBy("root")
         .agg(F.min(order).alias("first"))
-        .select(F.col("first.doc_id").alias("__doc"), F.col("first.text_key").alias("__chosen"))
+        .select(F.col("first.doc_id").alias(chosen_doc), F.col("first.text_key").alias(chosen_key))
     )
-    copies = judged.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("__copies"))
+    copies = judged.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias(n_copies))
     chosen = stage(
         firsts.join(
-            copies, F.col("__doc").eqNullSafe(F.col("doc_id")) & (F.col("__chosen") == F.col("text_key"))
-        ).select("__doc", "__chosen", "__copies"),
+            copies, F.col(chosen_doc).eqNullSafe(F.col("doc_id")) & (F.col(chosen_key) == F.col("text_key"))
+        ).select(chosen_doc, chosen_key, n_copies),
         "chosen",
     )
-    mine = documents.columns
-    keyed = documents.withColumn("__key", text_hash())
-    same = (F.col("__key") == F.col("__chosen")) & F.col("doc_id").eqNullSafe(F.col("__doc"))
+    mine, key = documents.columns, fresh(documents, "row_key")
+    keyed = documents.withColumn(key, text_hash())
+    same = (F.col(key) == F.col(chosen_key)) & F.col("doc_id").eqNullSafe(F.col(chosen_doc))
     worded = keyed.filter(F.col("text").rlike(WORD))
-    single = worded.join(chosen.filter("__copies = 1"), same, "left_semi")
-    repeated = worded.join(chosen.filter("__copies > 1"), same, "left_semi").dropDuplicates(["doc_id", "__key"])
+    single = worded.join(chosen.filter(f"`{n_copies}` = 1"), same, "left_semi")
+    repeated = worded.join(chosen.filter(f"`{n_copies}` > 1"), same, "left_semi").dropDuplicates(["doc_id", key])
     wordless = keyed.filter(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
     return single.unionByName(repeated).unionByName(wordless).select(*mine)

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +77,19 @@ def pack(lengths: list[int], capacities=CAPACITIES, overhead: int = OVERHEAD) ->
 
 
 def _shard(capacities, overhead):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n_tokens", "doc_id", "piece", "ordinal"], ascending=[False, True, True, True])
-        bins, offsets, sizes = pack(frame.n_tokens.tolist(), capacities, overhead)
-        first = int(frame.shard.iat[0]) << 32
-        return frame.assign(
-            bin_id=[first + b for b in bins], offset=offsets, capacity=[sizes[b] for b in bins]
-        )[["doc_id", "piece", "start", "n_tokens", "bin_id", "offset", "capacity"]]
+    def run(table: pa.Table) -> pa.Table:
+        n, ordinal, piece = (table.column(c).to_numpy() for c in ("n_tokens", "ordinal", "piece"))
+        order = np.lexsort((piece, ordinal, -n))
+        bins, offsets, sizes = pack(n[order].tolist(), capacities, overhead)
+        first = table.column("shard")[0].as_py() << 32
+        out = table.select(["doc_id", "piece", "start", "n_tokens"]).take(pa.array(order))
+        for name, values, kind in (
+            ("bin_id", [first + b for b in bins], pa.int64()),
+            ("offset", offsets, pa.int32()),
+            ("capacity", [sizes[b] for b in bins], pa.int32()),
+        ):
+            out = out.append_column(name, pa.array(values, kind))
+        return out
 
     return run
 
@@ -119,7 +126,7 @@ def pack_documents(documents: DataFrame, capacities=CAPACITIES, overhead: int =
         pieces.filter("n_tokens > 0")
         .withColumn("shard", F.pmod(F.xxhash64("ordinal", "piece"), F.lit(shards)).cast("int"))
         .groupBy("shard")
-        .applyInPandas(_shard(tuple(capacities), overhead), schema)
+        .applyInArrow(_shard(tuple(capacities), overhead), schema)
     )
     none = pieces.filter("n_tokens = 0").select(
         "doc_id", "piece", "start", "n_tokens",

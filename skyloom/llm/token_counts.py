@@ -12,10 +12,10 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from math import log
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skyloom.llm.common import CACHE_WORDS, batches, ordinary
+from skyloom.llm.common import CACHE_WORDS, batches, carried, column, ordinary, schema_of
 
 #: Path of a SentencePiece model, a parameter of the query; any vocabulary with pieces will do.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -76,19 +76,21 @@ def count_words(words: Iterable[str], pieces: dict[str, float], byte: float) ->
 
 
 def _count(path: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, byte = load_pieces(path)
         known: dict[str, int] = {}
-        for frame in frames:
-            rows = []
-            for part in batches(zip(frame.doc_id, frame.text, strict=True)):
-                split = [(doc, t.split() if t else []) for doc, t in part]
+        for batch in found:
+            words, tokens = [], []
+            for part in batches(enumerate(column(batch, "text"))):
+                split = [t.split() if t else [] for _, t in part]
                 if len(known) > CACHE_WORDS:
                     known = {}
-                new = set().union(*(w for _, w in split)).difference(known)
-                known.update(count_words(new, pieces, byte))
-                rows += [(doc, len(w), sum(map(known.__getitem__, w))) for doc, w in split]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_tokens"])
+                known.update(count_words(set().union(*split).difference(known), pieces, byte))
+                words += map(len, split)
+                tokens += [sum(map(known.__getitem__, w)) for w in split]
+            yield carried(
+                batch, ["doc_id"], n_words=pa.array(words, pa.int64()), n_tokens=pa.array(tokens, pa.int64())
+            )
 
     return run
 
@@ -105,5 +107,4 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     a fixed number of them.
     """
     rows = ordinary(documents, ("doc_id", "text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(_count(vocabulary), f"doc_id {kind}, n_words long, n_tokens long")
+    return rows.mapInArrow(_count(vocabulary), schema_of(rows.select("doc_id"), n_words="long", n_tokens="long"))
