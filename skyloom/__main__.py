@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("source")
     load.add_argument("--file")
     load.add_argument("--strict", action="store_true")
+    load.add_argument("--allow-unreadable", action="store_true", help="load what is left when files cannot be read")
 
     solve = job.add_parser("solve-offsets")
     solve.add_argument("dates", nargs="*")
@@ -56,6 +57,13 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def print_rows(df) -> None:
+    """Every row, tab-separated; one partition at a time reaches the driver."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def main(argv=None) -> None:
     args = parser().parse_args(argv)
     shared = SparkSession.getActiveSession() is not None
@@ -76,7 +84,8 @@ def run(spark, args) -> None:
         else:
             records.append_new_months(df, args.target)
     elif args.job == "load":
-        for name, rows in jobs.load(spark, args.source, root, args.file, args.strict).items():
+        done = jobs.load(spark, args.source, root, args.file, args.strict, args.allow_unreadable)
+        for name, rows in done.items():
             print(f"{name}: {rows}")
     elif args.job == "solve-offsets":
         jobs.solve_dates(spark, root, args.dates or None)
@@ -84,13 +93,13 @@ def run(spark, args) -> None:
         jobs.connect_dates(
             spark, root, args.dates or None, args.min_layover, args.max_layover, args.strict_carrier
         )
-        conn.connections_per_date(jobs.table(spark, root, "connections")).orderBy("flightdate").show(400)
+        print_rows(conn.connections_per_date(jobs.table(spark, root, "connections")).orderBy("flightdate"))
     elif args.job == "dates":
-        conn.searchable_dates(jobs.table(spark, root, "connections")).orderBy("flightdate").show(400)
+        print_rows(jobs.built_dates(spark, root).orderBy("flightdate"))
     elif args.job == "summary":
         df = scan.scan_records(spark, args.source)
-        scan.dataset_summary(df).show()
-        scan.month_breakdown(df).orderBy("month").show(400)
+        print_rows(scan.dataset_summary(df))
+        print_rows(scan.month_breakdown(df).orderBy("month"))
     elif args.job == "search":
         bounds = "depart_after string, arrive_before string, max_stops int, min_stops int, limit int"
         row = (

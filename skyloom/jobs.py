@@ -2,7 +2,7 @@
 
     loaded/       legs as loaded, by date          airports/ carriers/ routes/
     offsets/      station offsets, by date         legs/     legs with UTC times, by date
-    connections/  bookable connections, by date
+    connections/  bookable connections, by date    built/    dates with connections, and how many
 
 Every job replaces whole dates, so it may be run again at any time.
 """
@@ -18,7 +18,8 @@ from skyloom.operators import network, offsets
 from skyloom.operators.search import search
 from skyloom.schema import MAX_LAYOVER, MIN_LAYOVER
 from skyloom.sources import scan
-from skyloom.sources.tables import replace_dates, upsert_legs, verify_written
+from skyloom.sources.tables import drop_dates, replace_dates, upsert_legs, verify_written
+from skyloom.storage import path_exists, stage
 
 ENTITIES = ("airports", "carriers", "routes")
 
@@ -28,11 +29,25 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def load(
-    spark: SparkSession, source: str, root: str, file: str | None = None, strict: bool = False
+    spark: SparkSession,
+    source: str,
+    root: str,
+    file: str | None = None,
+    strict: bool = False,
+    allow_unreadable: bool = False,
 ) -> dict[str, int]:
-    """Load all files of a folder, or one, and refresh what describes all loaded legs."""
-    records = scan.scan_strict(spark, source, file) if file else scan.scan_records(spark, source)
-    upsert_legs(leg.project_legs(leg.valid_legs(records, strict)), f"{root}/loaded")
+    """Load all files of a folder, or one, and refresh what describes all loaded legs.
+
+    A folder with files that cannot be read is refused unless that is allowed. What was solved
+    and built for the dates touched no longer holds and goes, so that a search refuses them
+    until they are solved and connected again.
+    """
+    records = (
+        scan.scan_strict(spark, source, file) if file else scan.scan_records(spark, source, allow_unreadable)
+    )
+    touched = upsert_legs(leg.project_legs(leg.valid_legs(records, strict)), f"{root}/loaded")
+    for name in ("built", "connections", "legs", "offsets"):
+        drop_dates(spark, f"{root}/{name}", touched)
     refresh(spark, root)
     return {name: verify_written(spark, f"{root}/{name}") for name in ("loaded", *ENTITIES)}
 
@@ -60,14 +75,20 @@ def _date_table(spark: SparkSession, df: DataFrame, dates: list[str] | None) ->
 
 
 def solve_dates(spark: SparkSession, root: str, dates: list[str] | None = None) -> None:
-    """Solve the offsets of the dates (all if none are named) and write their UTC times."""
+    """Solve the offsets of the dates (all if none are named) and write their UTC times.
+
+    Dates without an issue are written; the others are reported after that, and keep nothing
+    from before.
+    """
     loaded = _of_dates(table(spark, root, "loaded"), dates)
-    solution = offsets.solve_offsets(
-        offsets.offset_deltas(loaded), dates=_date_table(spark, loaded, dates)
-    )
-    replace_dates(offsets.require_solved(solution), f"{root}/offsets", dates)
-    solved = _of_dates(table(spark, root, "offsets"), dates)
-    replace_dates(offsets.utc_times(loaded, solved), f"{root}/legs", dates)
+    wanted = _date_table(spark, loaded, dates)
+    named = dates or [str(r.flightdate) for r in wanted.collect()]
+    solution = offsets.solve_offsets(offsets.offset_deltas(loaded), dates=wanted)
+    solved = stage(offsets.solved_dates(solution), "solved")
+    replace_dates(solved, f"{root}/offsets", named)
+    good = loaded.join(solved.select("flightdate").distinct(), "flightdate", "left_semi")
+    replace_dates(offsets.utc_times(good, solved), f"{root}/legs", named)
+    offsets.require_solved(solution)
 
 
 def connect_dates(
@@ -78,15 +99,28 @@ def connect_dates(
     max_layover: int = MAX_LAYOVER,
     strict_carrier: bool = False,
 ) -> None:
-    """Rebuild the connections of the dates; their offsets must be solved."""
+    """Rebuild the connections of the dates; their offsets must be solved.
+
+    The new connections are written aside and checked first: a build that fails leaves the
+    stored dates as they were.
+    """
     legs = _of_dates(table(spark, root, "legs"), dates)
     wanted = _date_table(spark, legs, dates)
     named = dates or [str(r.flightdate) for r in wanted.collect()]
-    edges = conn.build_connections(legs, min_layover, max_layover, strict_carrier)
+    edges = stage(conn.build_connections(legs, min_layover, max_layover, strict_carrier), "edges", "flightdate")
+    conn.require_built(edges, legs, wanted)
+    drop_dates(spark, f"{root}/built", named)  # while connections change, the date is refused
     replace_dates(edges, f"{root}/connections", named)
-    stored = spark.read.schema(edges.schema).parquet(f"{root}/connections")
-    conn.require_built(stored, legs, wanted)
+    replace_dates(conn.connections_per_date(edges), f"{root}/built", named)
+
+
+def built_dates(spark: SparkSession, root: str) -> DataFrame:
+    """flightdate, connections: a row a date, written with the connections."""
+    if path_exists(spark, f"{root}/built"):
+        return spark.read.schema("connections long, flightdate date").parquet(f"{root}/built")
+    return conn.connections_per_date(table(spark, root, "connections"))
 
 
 def search_table(spark: SparkSession, root: str, requests: DataFrame, served: bool = False) -> DataFrame:
-    return search(requests, table(spark, root, "legs"), table(spark, root, "connections"), served)
+    legs, connections = table(spark, root, "legs"), table(spark, root, "connections")
+    return search(requests, legs, connections, served, built_dates(spark, root))

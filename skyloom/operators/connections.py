@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from skyloom.functions import carrier_family, flight_label, leg_id
 from skyloom.functions.times import epoch_minute
 from skyloom.schema import AMBIGUOUS_CARRIERS, MAX_LAYOVER, MIN_LAYOVER
+from skyloom.storage import stage
 
-# Only this many groups are ever split, so the broadcast table has a fixed size. A group
-# outside it is smaller than each of the split ones: at most 1/MAX_HOT of all rows.
-MAX_HOT = 10_000
-HOT_ROWS = 200_000
+# Rows a side of one part of a hot group: a task forms at most the square of it as pairs.
+HOT_ROWS = 10_000
 
 
 class BuildError(RuntimeError):
@@ -20,24 +19,29 @@ class BuildError(RuntimeError):
 
 
 def _hot_groups(arrivals: DataFrame, departures: DataFrame, key: list[str], hot_rows: int) -> DataFrame:
-    """Groups with many rows on a side, and into how many parts to cut each side."""
+    """Groups that would form more than hot_rows² pairs, or hold many times hot_rows on one
+    side, and into how many parts to cut each side. Stored, so that Spark knows the table's
+    true size when it chooses how to join it."""
     sides = arrivals.select(*key, F.lit(1).alias("a"), F.lit(0).alias("d")).unionAll(
         departures.select(*key, F.lit(0).alias("a"), F.lit(1).alias("d"))
     )
     counts = sides.groupBy(*key).agg(F.sum("a").alias("a"), F.sum("d").alias("d"))
-    hot = counts.filter(F.greatest("a", "d") > hot_rows)
-    hot = hot.orderBy(F.greatest("a", "d").desc(), *key).limit(MAX_HOT)
-    return hot.select(
-        *key,
-        F.ceil(F.col("a") / hot_rows).cast("int").alias("a_parts"),
-        F.ceil(F.col("d") / hot_rows).cast("int").alias("d_parts"),
+    pairs = F.col("a").cast("double") * F.col("d")
+    hot = counts.filter((pairs > float(hot_rows) ** 2) | (F.greatest("a", "d") > 20 * hot_rows))
+    return stage(
+        hot.select(
+            *key,
+            F.ceil(F.col("a") / hot_rows).cast("int").alias("a_parts"),
+            F.ceil(F.col("d") / hot_rows).cast("int").alias("d_parts"),
+        ),
+        "hot-groups",
     )
 
 
 def _split(side: DataFrame, hot: DataFrame, key: list[str], own: str, other: str) -> DataFrame:
     """A row of a hot group takes one part of its own side and is repeated for each part of
     the other, so every pair still meets exactly once. Other rows are untouched."""
-    side = side.join(F.broadcast(hot), key, "left")
+    side = side.join(hot, key, "left")
     parts = F.greatest(F.coalesce(f"{own}_parts", F.lit(1)), F.lit(1))
     repeats = F.greatest(F.coalesce(f"{other}_parts", F.lit(1)), F.lit(1))
     return (
@@ -59,7 +63,7 @@ def build_connections(
 
     The window is turned into an equality: departures fall into slots of the window's
     width and an arrival looks into the two slots its window can touch. Groups that hold
-    too many rows for a task are cut on both sides. What the search needs of the second
+    too many pairs for a task are cut on both sides. What the search needs of the second
     leg is stored with the connection, so that a hop costs one join and not two.
     """
     if min_layover > max_layover:

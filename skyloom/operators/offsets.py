@@ -138,14 +138,20 @@ def _issues(spark, deltas, stations, known, anchor_code, dates) -> DataFrame:
 
 
 def require_solved(solution: Solution) -> DataFrame:
-    """The offsets, or an error naming the first issues."""
+    """The offsets, or an error that counts the issues and names the first."""
     found = solution.issues.orderBy("flightdate", "issue", "detail").take(5)
     if found:
         lines = "; ".join(f"{r.flightdate} {r.issue} {r.detail}" for r in found)
-        raise OffsetError(f"offsets are not determined: {lines}")
+        raise OffsetError(f"offsets are not determined, {solution.issues.count()} issues: {lines}")
     return solution.offsets
 
 
+def solved_dates(solution: Solution) -> DataFrame:
+    """The offsets of the dates without any issue."""
+    bad = solution.issues.select("flightdate").distinct()
+    return solution.offsets.join(bad, "flightdate", "left_anti")
+
+
 def pair_support(deltas: DataFrame, min_flights: int = STRONG_PAIR_FLIGHTS) -> DataFrame:
     """Per date: pairs that several flights agree on, pairs that hang on few, and the
     stations only the latter reach."""

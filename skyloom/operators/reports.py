@@ -5,70 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.storage import stage
+
 SUMMARY_ROWS = ("Aggregated", "Total")
-SKETCH_ACCURACY = 10_000
 
 
 def exact_percentiles(df: DataFrame, group: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact interpolated percentiles per group, one column each.
 
-    ``percentile`` would gather every distinct value of a group in one task. Here a sketch,
-    merged map-side, brackets each percentile; only the values inside the bracket (a few in
-    ten thousand) are ordered, and the rest are just counted. The bracket is checked against
-    the true ranks and falls back to the group's whole range, so the result is exact
-    whatever the sketch said.
+    ``percentile`` would gather every distinct value of a group in one task. Here the counts
+    per value are laid out in ranges of (group, value); sums per range tell in which of them
+    a rank lies, and only those ranges are numbered. A task holds one range, whatever the
+    size of a group. The ranges are stored with their number, so a task that is run again
+    cannot draw them anew.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("v"))
-    margin = 2 / SKETCH_ACCURACY
-    points = [x for p in probabilities.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = rows.groupBy(*group).agg(
-        F.count("*").alias("total"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-        F.percentile_approx("v", points, SKETCH_ACCURACY).alias("points"),
-    )
-    per_point = sketch.select(
-        *group,
-        "total",
-        "least",
-        "most",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("which"),
-                        F.lit(p).alias("p"),
-                        F.col("points")[2 * i].alias("low"),
-                        F.col("points")[2 * i + 1].alias("high"),
-                    )
-                    for i, (name, p) in enumerate(probabilities.items())
-                ]
-            )
-        ).alias("q"),
-    ).select(*group, "total", "least", "most", "q.*")
-    exact = F.col("p") * (F.col("total") - 1)
-    per_point = per_point.withColumn("first_rank", F.floor(exact)).withColumn("last_rank", F.ceil(exact))
-
     counts = rows.groupBy(*group, "v").agg(F.count("*").alias("n"))
-    spread = counts.join(per_point, group)
-    placed = spread.groupBy(*group, "which").agg(
-        F.sum(F.when(F.col("v") < F.col("low"), F.col("n")).otherwise(0)).alias("below"),
-        F.sum(F.when(F.col("v") <= F.col("high"), F.col("n")).otherwise(0)).alias("up_to"),
-    )
-    held = (F.col("below") <= F.col("first_rank")) & (F.col("last_rank") < F.col("up_to"))
-    bracket = per_point.join(placed, [*group, "which"]).select(
-        *group,
-        "which",
-        "first_rank",
-        "last_rank",
-        (exact - F.floor(exact)).alias("part"),
-        F.when(held, F.col("low")).otherwise(F.col("least")).alias("low"),
-        F.when(held, F.col("high")).otherwise(F.col("most")).alias("high"),
-        F.when(held, F.col("below")).otherwise(0).alias("below"),
+    ranges = counts.repartitionByRange(*group, "v").withColumn("range", F.spark_partition_id())
+    ranges = stage(ranges, "value-ranges")
+
+    earlier = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy(*group, "range").agg(F.sum("n").alias("held"))
+    sums = sums.withColumn("start", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
+    sums = sums.withColumn("total", F.sum("held").over(Window.partitionBy(*group)))
+    asked = F.array(*[F.struct(F.lit(n).alias("which"), F.lit(float(p)).alias("p")) for n, p in probabilities.items()])
+    exact = F.col("p") * (F.col("total") - 1)
+    wanted = (
+        sums.select("*", F.inline(asked))
+        .withColumn("first_rank", F.floor(exact))
+        .withColumn("last_rank", F.ceil(exact))
+        .withColumn("part", exact - F.floor(exact))
+        .filter((F.col("start") <= F.col("last_rank")) & (F.col("first_rank") < F.col("start") + F.col("held")))
+        .drop("p", "total", "held")
     )
-    inside = counts.join(bracket, group).filter(F.col("v").between(F.col("low"), F.col("high")))
-    before = Window.partitionBy(*group, "which").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("start", F.col("below") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = ranges.join(wanted, [*group, "range"])
+    before = Window.partitionBy(*group, "range", "which").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("start", F.col("start") + F.coalesce(F.sum("n").over(before), F.lit(0)))
 
     def at(rank: str) -> Column:
         here = (F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("start") + F.col("n"))
@@ -83,9 +55,17 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, probabilities
     )
 
 
-def grade(value: Column, good: float, ok: float) -> Column:
-    """Lower is better."""
-    return F.when(value < good, "EXCELLENT").when(value < ok, "ACCEPTABLE").otherwise("POOR")
+# Upper limits (exclusive) of the report's labels, and the limits of its hints.
+FAILURE_LABELS = ((1, "EXCELLENT"), (5, "ACCEPTABLE"))
+RESPONSE_LABELS = ((200, "EXCELLENT"), (500, "ACCEPTABLE"))
+WORST_LABEL = "POOR"
+SLOW_QUERY_MS, MANY_FAILURES_PCT = 300, 2
+
+
+def labelled(column: str, limits) -> Column:
+    """The label of the first limit above the value; the worst one without."""
+    fitting = [F.when(F.col(column) < limit, F.lit(label)) for limit, label in limits]
+    return F.coalesce(*fitting, F.lit(WORST_LABEL))
 
 
 def request_rollup(log: DataFrame) -> DataFrame:
@@ -125,10 +105,10 @@ def run_summary(rollup: DataFrame) -> DataFrame:
         F.max_by("name", F.struct("mean_ms", "name")).alias("slowest"),
     ).withColumn("failure_pct", F.when(F.col("requests") > 0, F.col("failures") / F.col("requests") * 100))
     return (
-        out.withColumn("failure_grade", grade(F.col("failure_pct"), 1, 5))
-        .withColumn("response_grade", grade(F.col("mean_ms"), 200, 500))
-        .withColumn("check_queries", F.col("mean_ms") > 300)
-        .withColumn("check_errors", F.col("failure_pct") > 2)
+        out.withColumn("failure_grade", labelled("failure_pct", FAILURE_LABELS))
+        .withColumn("response_grade", labelled("mean_ms", RESPONSE_LABELS))
+        .withColumn("check_queries", F.col("mean_ms") > SLOW_QUERY_MS)
+        .withColumn("check_errors", F.col("failure_pct") > MANY_FAILURES_PCT)
     )
 
 

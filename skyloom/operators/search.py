@@ -104,15 +104,21 @@ def chains(
     """Acyclic paths by number of stops, 0..max_stops.
 
     A level that is both answered from and extended is written once. The last hop only
-    reads connections that land where somebody wants to go.
+    reads connections that land where somebody wants to go, before the latest deadline of
+    those who want it (none, if one of them has no deadline).
     """
-    ends = wanted.select("flightdate", F.col("dest").alias("to_dest")).distinct()
+    deadline = F.col("arrive_before") if "arrive_before" in wanted.columns else F.lit(None).cast("timestamp_ntz")
+    ends = wanted.groupBy("flightdate", F.col("dest").alias("to_dest")).agg(
+        F.when(F.count(deadline) == F.count("*"), F.max(deadline)).alias("latest")
+    )
     level = first_legs(legs, starts)
     levels = [level]
     for stops in range(1, max_stops + 1):
         hops = connections
         if stops == max_stops:
-            hops = hops.join(ends, ["flightdate", "to_dest"], "left_semi")
+            hops = hops.join(ends, ["flightdate", "to_dest"]).filter(
+                F.col("latest").isNull() | (F.col("to_arrives") < F.col("latest"))
+            )
         if mixed:
             level = level.filter(F.col("deepest") >= stops)
         level = extend(level, hops)
@@ -191,17 +197,36 @@ def _spec_key() -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in SPEC])
 
 
+def of_days(df: DataFrame, days: list) -> DataFrame:
+    """Literal dates prune the partitions of a stored table before anything is read."""
+    return df.filter(F.col("flightdate").isin(*days)) if days else df.filter("false")
+
+
+def _days(df: DataFrame) -> list:
+    """The distinct dates of requests: as many as there are days in the calendar they cover."""
+    return [r[0] for r in df.select("flightdate").filter("flightdate is not null").distinct().collect()]
+
+
 def search(
-    requests: DataFrame, legs: DataFrame, connections: DataFrame, served: bool = False
+    requests: DataFrame,
+    legs: DataFrame,
+    connections: DataFrame,
+    served: bool = False,
+    built: DataFrame | None = None,
 ) -> DataFrame:
     """Answer every request: status, and up to ``limit`` itineraries by total journey time.
 
     ``bad_request`` carries the fault; ``not_built`` refuses a connecting search on a date
     without connections rather than passing nonstops off as the whole answer; ``empty``
     says whether its date could have been searched. Equal requests are solved once.
+
+    ``built`` holds the dates that have connections; without it they are looked up among the
+    dates asked for. Legs and connections of other dates are not read.
     """
     asked = normalise_requests(requests, served)
-    built = connections.select("flightdate").distinct().withColumn("searchable", F.lit(True))
+    if built is None:
+        built = of_days(connections, _days(asked))
+    built = built.select("flightdate").distinct().withColumn("searchable", F.lit(True))
     asked = asked.join(built, "flightdate", "left").withColumn(
         "searchable", F.coalesce("searchable", F.lit(False))
     )
@@ -217,7 +242,8 @@ def search(
     ok = asked.filter(F.col("key").isNotNull())
     specs = ok.select("key", *SPEC).distinct()
     specs = stage(specs.withColumn("spec", F.monotonically_increasing_id()), "specs")
-    answers = solve_specs(specs, legs, connections)
+    days = _days(specs)
+    answers = solve_specs(specs, of_days(legs, days), of_days(connections, days))
     numbered = ok.join(specs.select("key", "spec"), "key").join(answers, "spec", "left")
     # Refused requests skip the join, where they would all share one null key.
     refused = asked.filter(F.col("key").isNull())
@@ -306,6 +332,8 @@ def chain_check(legs: DataFrame, connections: DataFrame, max_stops: int = 3) ->
     counts = []
     for stops in range(1, max_stops + 1):
         level = extend(level, connections, acyclic=False)
+        if stops < max_stops:
+            level = stage(level, f"chains-{stops}")
         counts.append(
             level.agg(F.count("*").alias("chains"), F.count_if(~_contiguous()).alias("broken"))
             .withColumn("stops", F.lit(stops))
@@ -332,8 +360,9 @@ def cyclic_census(
         "deepest", F.lit(max_stops)
     )
     levels = [first_legs(legs, starts)]
-    for _ in range(max_stops):
-        levels.append(extend(levels[-1], connections, acyclic=False))
+    for stops in range(1, max_stops + 1):
+        level = extend(levels[-1], connections, acyclic=False)
+        levels.append(stage(level, f"census-{stops}") if stops < max_stops else level)
     counts = []
     for stops, level in enumerate(levels):
         rows = level.filter(F.col("at") == dest) if dest else level

@@ -59,6 +59,10 @@ class Tables:
     def connections(self) -> DataFrame:
         return stage(conn.build_connections(self.legs), "connections", "flightdate")
 
+    @cached_property
+    def built(self) -> DataFrame:
+        return stage(conn.connections_per_date(self.connections), "built")
+
     @cached_property
     def strict_connections(self) -> DataFrame:
         return conn.build_connections(self.legs, strict_carrier=True)
@@ -76,10 +80,10 @@ class Tables:
         return self.loaded.select("flightdate").distinct()
 
     def workload(self, **columns) -> DataFrame:
-        return request_workload(self.loaded, conn.searchable_dates(self.connections), **columns)
+        return request_workload(self.loaded, self.built.select("flightdate"), **columns)
 
     def answers(self, **columns) -> DataFrame:
-        return search(self.workload(**columns), self.legs, self.connections)
+        return search(self.workload(**columns), self.legs, self.connections, built=self.built)
 
     @property
     def raw_requests(self) -> DataFrame:

@@ -16,17 +16,17 @@ class NoReadableFile(RuntimeError):
     """Every file of a tolerant scan failed."""
 
 
-# Error classes and message parts that mark a schema clash between files.
-SCHEMA_CLASH = (
-    "CANNOT_MERGE_SCHEMAS",
-    "FAILED_READ_FILE",
-    "PARQUET_COLUMN_DATA_TYPE_MISMATCH",
-    "TIMESTAMP(NANOS",
-    "Illegal Parquet type",
-    "ClassCastException",
-    "MutableLong cannot be cast",
-    "MutableDouble",
-)
+class UnreadableFiles(RuntimeError):
+    """Some files of a folder cannot be read; ``files`` names them all."""
+
+    def __init__(self, files: list[str]):
+        super().__init__(f"{len(files)} files cannot be read: " + ", ".join(files))
+        self.files = files
+
+
+# Spark's error conditions that mark a file, or a clash of schemas between files.
+SCHEMA_CLASH = ("CANNOT_MERGE_SCHEMAS", "FAILED_READ_FILE", "PARQUET_COLUMN_DATA_TYPE_MISMATCH")
+FILE_FAULTS = (*SCHEMA_CLASH, "CANNOT_READ_FILE_FOOTER", "Illegal Parquet type")
 
 
 def scan_strict(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
@@ -51,7 +51,7 @@ def _read_footers(batches):
                 store, where = fs.FileSystem.from_uri(as_uri(file))
                 rows += [(file, f.name, str(f.type), None) for f in pq.read_schema(where, filesystem=store)]
             except Exception as error:  # an unreadable file is a finding, not a failure
-                rows.append((file, None, None, str(error)[:200]))
+                rows.append((file, None, None, str(error)))
         yield pd.DataFrame(rows, columns=["file", "column", "type", "error"])
 
 
@@ -80,16 +80,23 @@ def scan_each(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     return union_by_name(frames), skipped
 
 
-def scan_records(spark: SparkSession, path: str) -> DataFrame:
-    """Strict scan; where footers differ, merged; where they clash, by schema group."""
+def scan_records(spark: SparkSession, path: str, allow_unreadable: bool = False) -> DataFrame:
+    """Strict scan; where footers differ, merged; where they clash, by schema group.
+
+    A folder of which files cannot be read is refused with their names, unless the caller
+    allows to go on with the others.
+    """
     try:
         merged = scan_merged(spark, path)
         strict = scan_strict(spark, path)
         return strict if strict.schema == merged.schema else merged
     except (PySparkException, Py4JJavaError) as error:
-        if not any(mark in str(error) for mark in SCHEMA_CLASH):
+        if not any(mark in str(error) for mark in FILE_FAULTS):
             raise
-    return scan_each(spark, path)[0]
+    records, skipped = scan_each(spark, path)
+    if skipped and not allow_unreadable:
+        raise UnreadableFiles(skipped)
+    return records
 
 
 def sample_head(df: DataFrame, n: int = 1000) -> DataFrame:
@@ -133,7 +140,7 @@ def dataset_summary(records: DataFrame) -> DataFrame:
         F.count_distinct(F.date_format("flightdate", "yyyy-MM")).alias("months"),
         F.count_distinct("reporting_airline").alias("airlines"),
     )
-    return totals.join(airports)
+    return totals.join(F.broadcast(airports))
 
 
 def month_breakdown(records: DataFrame) -> DataFrame:

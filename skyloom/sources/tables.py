@@ -18,14 +18,16 @@ def one_per_key(df: DataFrame, key=LEG_KEY) -> DataFrame:
     return picked.select(*[F.col(c) if c in key else F.col(f"row.{c}").alias(c) for c in df.columns])
 
 
-def upsert_legs(df: DataFrame, path: str, key=LEG_KEY) -> None:
+def upsert_legs(df: DataFrame, path: str, key=LEG_KEY) -> list[str]:
     """Merge rows into the stored dates by key: a new row replaces the stored one, stored
     rows of the same dates stay, other dates are not touched.
 
     Dates are replaced whole, so a repeated load, or a retried task, changes nothing.
+    Returns the dates touched. The incoming rows are computed once.
     """
-    df = one_per_key(df, key)
+    df = stage(one_per_key(df, key), "incoming")
     spark = df.sparkSession
+    days = sorted(str(r.flightdate) for r in df.select("flightdate").distinct().collect())
     if path_exists(spark, path):
         stored = spark.read.schema(df.schema).parquet(path)
         touched = df.select("flightdate").distinct()
@@ -33,6 +35,12 @@ def upsert_legs(df: DataFrame, path: str, key=LEG_KEY) -> None:
         kept = kept.join(df.select(*key), list(key), "left_anti")
         df = stage(df.unionByName(kept), "merge")  # the target is read, so write elsewhere first
     replace_dates(df, path)
+    return days
+
+
+def drop_dates(spark: SparkSession, path: str, days: list[str]) -> None:
+    for day in days:
+        drop_path(spark, f"{path}/flightdate={day}")
 
 
 def replace_dates(df: DataFrame, path: str, dates: list[str] | None = None) -> None:
@@ -42,8 +50,7 @@ def replace_dates(df: DataFrame, path: str, dates: list[str] | None = None) -> N
     overwrite alone would leave those of a date that comes out empty. ``df`` must not read
     from ``path``. If the job dies in between, the date is absent, not half old.
     """
-    for day in dates or []:
-        drop_path(df.sparkSession, f"{path}/flightdate={day}")
+    drop_dates(df.sparkSession, path, dates or [])
     (
         df.hint("rebalance", "flightdate")
         .write.mode("overwrite")

@@ -86,11 +86,26 @@ def test_window_ends_backtrack_and_family(make_legs):
 
 
 def test_red_eye_does_not_meet_the_morning_before(make_legs):
-    # HNL 17:36 + 446 min lands at 06:02 of the next day in DFW; a local clock would splice it to 08:10.
-    rows = [("AA", 6, "HNL", "DFW", "17:36", 446), ("AA", 7, "DFW", "ATL", "08:10", 120)]
+    # DEN 23:15 and 200 minutes, two hours to the east: ATL at 04:35 of the next day. On the
+    # clock alone, without its day, a leg that left ATL at 06:00 of the first day would follow.
+    rows = [("DL", 61, "DEN", "ATL", "23:15", 200), ("DL", 62, "ATL", "LGA", "06:00", 130)]
     assert conn.build_connections(make_legs(rows, OFFSETS)).count() == 0
 
 
+def test_equal_large_sides_are_cut_by_pairs(spark):
+    """A group of as many arrivals as departures: no part may form more than hot_rows² pairs."""
+    from skyloom.operators.connections import _hot_groups, _split
+
+    side = spark.range(90).selectExpr("concat('leg', id) AS leg", "1 AS k").union(spark.createDataFrame([("x", 2)], "leg string, k int"))
+    hot = _hot_groups(side, side, ["k"], 20)
+    assert [(r.k, r.a_parts, r.d_parts) for r in hot.collect()] == [(1, 5, 5)]
+    a = _split(side, hot, ["k"], "a", "d").groupBy("k", "a_part", "d_part").count()
+    d = _split(side, hot, ["k"], "d", "a").groupBy("k", "a_part", "d_part").count()
+    met = a.join(d.withColumnRenamed("count", "other"), ["k", "a_part", "d_part"]).collect()
+    assert sum(r["count"] * r.other for r in met if r.k == 1) == 90 * 90
+    assert max(r["count"] * r.other for r in met) <= 2 * 20 * 20 * 2
+
+
 def test_invariants_catch_a_bad_edge(spark, make_legs):
     from pyspark.sql import functions as F
 

@@ -67,6 +67,13 @@ def test_load_solve_connect_search(spark, folder, capsys):
     both = jobs.table(spark, root, "connections")
     assert both.filter(f"flightdate = '{DAY}'").count() == first < both.count()
 
+    # A build that cannot be checked leaves the stored date as it was.
+    with pytest.raises(ValueError):
+        jobs.connect_dates(spark, root, [str(DAY)], min_layover=50, max_layover=40)
+    spark.catalog.clearCache()
+    assert jobs.table(spark, root, "connections").filter(f"flightdate = '{DAY}'").count() == first
+    assert {str(r.flightdate) for r in jobs.built_dates(spark, root).collect()} == {str(DAY), "2025-07-19"}
+
     # A tighter rule rebuilds the date, down to no rows at all; the other date stays.
     jobs.connect_dates(spark, root, [str(DAY)], min_layover=45, max_layover=60)
     assert 0 < jobs.table(spark, root, "connections").filter(f"flightdate = '{DAY}'").count() < first
@@ -88,3 +95,26 @@ def test_load_solve_connect_search(spark, folder, capsys):
     main(["--root", root, "summary", f"{base}/typed"])
     assert spark.read.parquet(f"{base}/typed").count() == 1
     assert "2025-07" in capsys.readouterr().out
+
+
+def test_reload_takes_the_date_out_of_service(spark, tmp_path):
+    rows = [r for r in schedule(120, seed=4, days=1)]
+    rows += [("AA", 9000 + i, "PHX", b, "09:00", 120, DAY) for i, b in enumerate(OFFSETS)]
+    spark.createDataFrame([record(r) for r in rows], RECORD).write.parquet(f"{tmp_path}/records")
+    root = f"{tmp_path}/tables"
+    ask = spark.createDataFrame([("a", "LGA", "DFW", str(DAY))], "request_id string, origin string, dest string, date string")
+    jobs.load(spark, f"{tmp_path}/records", root)
+    jobs.solve_dates(spark, root)
+    jobs.connect_dates(spark, root)
+    assert {r.status for r in jobs.search_table(spark, root, ask).collect()} <= {"ok", "empty"}
+    # One date that cannot be solved does not keep the other from being written.
+    other = DAY + dt.timedelta(days=3)
+    stray = [record(("AA", 1, "LGA", "ATL", "08:00", 100, other))]
+    spark.createDataFrame(stray, RECORD).write.mode("append").parquet(f"{tmp_path}/records")
+    jobs.load(spark, f"{tmp_path}/records", root)
+    assert jobs.built_dates(spark, root).count() == 0
+    with pytest.raises(OffsetError, match="no_anchor"):
+        jobs.solve_dates(spark, root)
+    jobs.connect_dates(spark, root, [str(DAY)])
+    assert {r.status for r in jobs.search_table(spark, root, ask).collect()} <= {"ok", "empty"}
+    assert [str(r.flightdate) for r in jobs.built_dates(spark, root).collect()] == [str(DAY)]
