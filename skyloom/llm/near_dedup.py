@@ -230,13 +230,16 @@ def cell_links(met: DataFrame, sets: DataFrame, found: DataFrame, percent: int)
         met.select("hub", F.col("hub").alias("node"), F.col("other_n").alias("n"), F.lit(0.0).alias("distance")).distinct()
     )
     members = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("n")
+    members = stage(members, "cell-members")
+    # Sums by hub and step are stored before they meet the members again: a join with a sum that is
+    # already dealt by its key can't split a hub that holds many members, one of two scans can.
     mixed_cells = (
         members.groupBy("hub")
         .agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("cell_size"))
         .filter("a != b and cell_size > 2")
         .select("hub", "cell_size")
     )
-    members = members.join(mixed_cells, "hub")
+    members = members.join(stage(mixed_cells, "mixed-cells"), "hub")
     # Blocks along the distance: equal steps of it, as many as the cell has blocks but no finer
     # than a twentieth, then parts of bounded size of a step by hash.
     steps = F.least(F.lit(20), F.ceil(F.col("cell_size") / BLOCK))
@@ -245,9 +248,8 @@ def cell_links(met: DataFrame, sets: DataFrame, found: DataFrame, percent: int)
     ).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(1 << 20)).cast("int"))
     sizes = counted.groupBy("hub", "step").agg(F.count(F.lit(1)).alias("in_step"))
     parts = F.ceil(F.col("in_step") / BLOCK).cast("int")
-    blocked = counted.join(sizes.withColumn("parts", parts), ["hub", "step"]).withColumn(
-        "part", F.col("salt") % F.col("parts")
-    )
+    sizes = stage(sizes.select("hub", "step", parts.alias("parts")), "cell-steps")
+    blocked = counted.join(sizes, ["hub", "step"]).withColumn("part", F.col("salt") % F.col("parts"))
     blocks = stage(
         blocked.groupBy("hub", "step", "part").agg(
             F.min("root").alias("root_a"),
