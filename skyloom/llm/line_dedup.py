@@ -25,16 +25,20 @@ MIN_WORDS = 50
 _PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79A3C5E7F1 % ((1 << 61) - 1)
 
 
-def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Number, hash and word count of the lines that have words."""
-    at, hashes, words = [], [], []
+def line_hashes(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Number, two independent hashes and word count of the lines that have words. The first hash
+    chooses fingerprints, the second makes contents: together they tell runs apart by 120 bits,
+    enough for the windows of a hundred terabytes."""
+    at, hashes, others, words = [], [], [], []
     for i, line in enumerate(text.split("\n")):
         found = line.lower().split()
         if found:
+            both = xxhash.xxh3_128_intdigest(" ".join(found).encode("utf-8", "surrogatepass"))
             at.append(i)
-            hashes.append(xxhash.xxh64_intdigest(" ".join(found).encode("utf-8", "surrogatepass")) >> 4)
+            hashes.append(both >> 68)
+            others.append(both % _PRIME)
             words.append(len(found))
-    return at, hashes, words
+    return at, hashes, others, words
 
 
 def spans(words: list[int], least: int) -> set[tuple[int, int]]:
@@ -62,11 +66,11 @@ def spans(words: list[int], least: int) -> set[tuple[int, int]]:
 
 def windows_of(text: str, least: int) -> Iterator[tuple[int, int, int, int]]:
     """fingerprint, content hash, first line, last line."""
-    at, hashes, words = line_hashes(text)
+    at, hashes, others, words = line_hashes(text)
     if sum(words) < least:
         return
     sums, powers = [0], [1]
-    for h in hashes:
+    for h in others:
         sums.append((sums[-1] * _BASE + h) % _PRIME)
         powers.append(powers[-1] * _BASE % _PRIME)
     for first, last in spans(words, least):
@@ -121,14 +125,14 @@ def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     )
     candidates = windows.join(shared, "fingerprint", "left_semi")
     origins = stage(
-        candidates.groupBy("content")
+        candidates.groupBy("fingerprint", "content")
         .agg(F.min(place).alias("origin"), F.max(place).alias("latest"))
         .filter("origin != latest")
-        .select("content", "origin"),
+        .select("fingerprint", "content", "origin"),
         "line-origins",
     )
     return (
-        windows.join(origins, "content")
+        windows.join(origins, ["fingerprint", "content"])
         .filter(F.col("origin") != place)
         .select("doc_id", "text_key", "first", "last")
     )
