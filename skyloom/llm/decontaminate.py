@@ -112,34 +112,48 @@ def _hashes(tokens: list[int], start: int, stop: int, size: int) -> Iterator[tup
             yield h, i - size + 1
 
 
+def _matches(pattern, segments, runs_p, runs_s, size: int) -> Iterator[tuple[int, int, int]]:
+    """(place in the pattern, segment, place in it) of equal runs of ``size`` unmarked tokens."""
+    table: dict[int, list[int]] = {}
+    for _, a, b in runs_p:
+        for h, p in _hashes(pattern, a, b, size) if b - a >= size else ():
+            table.setdefault(h, []).append(p)
+    for s, a, b in runs_s if table else ():
+        for h, t in _hashes(segments[s], a, b, size) if b - a >= size else ():
+            for p in table.get(h, ()):
+                if pattern[p : p + size] == segments[s][t : t + size]:
+                    yield p, s, t
+
+
 def tile(pattern: list[int], segments: list[list[int]], least: int = MIN_MATCH) -> int:
     """Number of the pattern's tokens in the tiles of a greedy tiling with the segments.
 
     Matches of one length are marked in the order of the pattern's places, then of the
-    segments'; a match that meets a tile of its own round is left for a shorter length."""
+    segments'; a match that meets a tile of its own round is left for a shorter length. The next
+    length is searched downwards in growing steps, then by halves: a run that matches holds
+    shorter ones, so lengths without a match needn't be hashed one by one."""
     marked_p, marked_s = [bytearray(len(pattern))], [bytearray(len(s)) for s in segments]
     size, covered = min(len(pattern), max(map(len, segments))), 0
     while size >= least:
-        table: dict[int, list[int]] = {}
-        longest_p = longest_s = 0
-        for _, a, b in _free_runs(marked_p):
-            longest_p = max(longest_p, b - a)
-            for h, p in _hashes(pattern, a, b, size) if b - a >= size else ():
-                table.setdefault(h, []).append(p)
-        found = []
-        for s, a, b in _free_runs(marked_s):
-            longest_s = max(longest_s, b - a)
-            if table and b - a >= size:
-                tokens = segments[s]
-                for h, t in _hashes(tokens, a, b, size):
-                    for p in table.get(h, ()):
-                        if pattern[p : p + size] == tokens[t : t + size]:
-                            found.append((p, s, t))
-        for p, s, t in sorted(found):
+        runs_p, runs_s = list(_free_runs(marked_p)), list(_free_runs(marked_s))
+        size = min(size, max((b - a for _, a, b in runs_p), default=0), max((b - a for _, a, b in runs_s), default=0))
+
+        def any_of(n):
+            return next(_matches(pattern, segments, runs_p, runs_s, n), None) is not None  # noqa: B023
+
+        none, step = size + 1, 1
+        while size >= least and not any_of(size):
+            none, size, step = size, max(size - step, least) if size > least else least - 1, step * 2
+        if size < least:
+            break
+        while none - size > 1:
+            middle = (size + none) // 2
+            size, none = (middle, none) if any_of(middle) else (size, middle)
+        for p, s, t in sorted(_matches(pattern, segments, runs_p, runs_s, size)):
             if not any(marked_p[0][p : p + size]) and not any(marked_s[s][t : t + size]):
                 marked_p[0][p : p + size] = marked_s[s][t : t + size] = b"\1" * size
                 covered += size
-        size = min(size - 1, longest_p, longest_s)
+        size -= 1
     return covered
 
 

@@ -166,6 +166,19 @@ def test_tiles_equal_brute_force():
         assert tile(pattern, [text], 3) == brute_tiles(pattern, text, 3), seed
 
 
+def test_tiles_of_long_texts():
+    """Matches of many lengths in texts of thousands of tokens; a repeated token everywhere."""
+    pattern = list(range(1, 4001))
+    text, at, size = [], 0, 6
+    while at + size < len(pattern):
+        text += [*pattern[at : at + size], 0]
+        at, size = at + size + 1, size + 1
+    want = sum(range(6, size))
+    assert tile(pattern, [text], 5) == want
+    assert tile([7] * 300, [[7] * 2000], 5) == 300
+    assert tile([7] * 300, [[7] * 40, [7] * 4], 5) == 40
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     items = [(i, " ".join(f"i{i}_{k}" for k in range(30))) for i in range(4)] + [(9, "too short"), (None, None), (0, None)]
