@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from hashlib import md5
 
 import pandas as pd
 import pyarrow as pa
@@ -22,6 +23,8 @@ from skyloom.storage import stage
 
 #: Paths kept per host, best first: a page without the first takes the next that it has.
 PATHS = 5
+#: A longer path is stated by its digest, so that unclosed elements don't make paths without end.
+PATH_CHARS = 2_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -130,7 +133,10 @@ def parse(page: str) -> tuple[list, list[Node]]:
         parent = stack[-1]
         if tag == "header" and any(n.tag == "article" for n in stack):
             left_out = bool(attrs.strip()) and _left_out(attrs)
-        node = Node(tag, f"{parent.path}/{tag}{names}", parent.out or (left_out and tag not in ("html", "body")), parent, len(pieces))
+        path = f"{parent.path}/{tag}{names}"
+        if len(path) > PATH_CHARS:
+            path = md5(path.encode("utf-8", "surrogatepass")).hexdigest()
+        node = Node(tag, path, parent.out or (left_out and tag not in ("html", "body")), parent, len(pieces))
         stack.append(node)
         if tag in CONTAINER and not node.out:
             containers.append(node)
