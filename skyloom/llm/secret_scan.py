@@ -19,7 +19,7 @@ MAX_FINDINGS = 20_000
 TREES, DEPTH = 20, 6
 THRESHOLD = 0.5
 #: A run of at least 12 characters of keys, paths or mail addresses, with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9_+/.@:%-])(?=[A-Za-z_+/.@:%-]{0,200}[0-9])[A-Za-z0-9_+/.@:%-]{12,}=*"
+CANDIDATE = r"(?<![A-Za-z0-9_+/.@:%-])(?=[A-Za-z_+/.@:%-]*+[0-9])[A-Za-z0-9_+/.@:%-]{12,}=*"
 #: Characters of context to each side.
 CONTEXT = 40
 
@@ -47,21 +47,20 @@ def candidates(documents: DataFrame) -> DataFrame:
     """doc_id, source, candidate, occurrences, left_words, right_words; the context is that of the
     first occurrence in the text."""
     found = documents.select(
-        "doc_id", "source", "text", F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).alias("found")
+        "doc_id", "source", "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found")
     ).filter(F.size("found") > 0)
-    each = found.select("doc_id", "source", "text", F.explode("found").alias("candidate"))
-    at = F.instr("text", F.col("candidate"))
-    size = F.length("candidate")
-    return each.select(
-        "doc_id",
-        "source",
-        "candidate",
-        (
-            F.size(F.filter(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda x: x == F.col("candidate")))
-        ).cast("long").alias("occurrences"),
-        F.substring("text", F.greatest(at - CONTEXT, F.lit(1)), F.least(at - 1, F.lit(CONTEXT))).alias("left_words"),
-        F.substring("text", at + size, F.lit(CONTEXT)).alias("right_words"),
+    at = lambda c: F.instr(F.col("text"), c)
+    # The text is left behind before the candidates become rows.
+    each = F.transform(
+        F.array_distinct("found"),
+        lambda c: F.struct(
+            c.alias("candidate"),
+            F.size(F.filter("found", lambda x: x == c)).cast("long").alias("occurrences"),
+            F.substring("text", F.greatest(at(c) - CONTEXT, F.lit(1)), F.least(at(c) - 1, F.lit(CONTEXT))).alias("left_words"),
+            F.substring("text", at(c) + F.length(c), F.lit(CONTEXT)).alias("right_words"),
+        ),
     )
+    return found.select("doc_id", "source", F.inline(each))
 
 
 def _share(pattern: str) -> Column:

@@ -7,6 +7,7 @@ from itertools import pairwise
 
 import pytest
 
+from skyloom.llm import html_extract
 from skyloom.llm import top_k as search
 from skyloom.llm.html_extract import extract, extract_pages
 from skyloom.llm.language_id import UNKNOWN, gram_counts, identify, predict, train
@@ -33,6 +34,13 @@ def test_extracts_the_article():
     assert extract('<p title="x>y">ok</p><p class="broken>still</p>', None).startswith("ok")
 
 
+def test_unclosed_elements_have_short_paths():
+    page = "<body>" + "<div class=c1>" * 3000 + "<article><p>Some text of the page.</p></article>"
+    pieces, containers = html_extract.parse(page)
+    assert max(len(n.path) for n in containers) <= html_extract.PATH_CHARS
+    assert html_extract.extract(page, None) == html_extract.extract(page, [containers[-1].path]) == "Some text of the page."
+
+
 def test_pages_of_a_host_agree(spark):
     """A page whose own best container would be another one follows its host."""
     odd = '<body><div class="story-9"><p>Short story.</p></div><div class="extra"><p>' + "Long list of other things. " * 9 + "</p></div>"
@@ -98,6 +106,7 @@ def test_secrets(spark):
         (4, "mail me at someone.else42@mail8.example.com"), (5, "call 4785380592391139 or 152.143.123.131"),
         (6, None), (7, ""), (8, "pneumonoultramicroscopicsilicovolcanoconiosis"), (None, f"{key} {key}"),
         (1, f"some words {key} and more"), (9, "0" * 3000 + " " + "a1" * 20000),
+        (10, "x" * 5000 + "1"),
     ]
     df = spark.createDataFrame([(*r, "s", 1.0) for r in rows], "doc_id long, text string, source string, probability double")
     got = scan(df).collect()
@@ -105,6 +114,7 @@ def test_secrets(spark):
     for doc, value in ((1, key), (2, hexes), (3, "b7db7aa4a5fcc78305"), (None, key)):
         assert found[doc, value].is_secret, (doc, value)
     assert found[None, key].occurrences == 2 and sum(r.doc_id == 1 for r in got) == 2
+    assert found[10, "x" * 5000 + "1"].occurrences == 1  # the digit may stand anywhere
     assert not any(r.is_secret for r in got if r.doc_id in (4, 5))
     assert not {6, 7, 8} & {r.doc_id for r in got}
     assert scan(df.limit(0)).count() == 0
