@@ -116,23 +116,27 @@ def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     schema = f"doc_id {kind}, text_key long, fingerprint long, content long, first int, last int"
     windows = stage(keyed.mapInArrow(_windows(min_words), schema), "line-windows")
     place = F.struct("doc_id", "text_key", "first", "last")
+    # One column, so that what is dealt by fingerprint is dealt anew for the sums by window; the
+    # fingerprints are stored, so that AQE can split one that a common passage has.
+    windows = windows.withColumn("window", F.struct("fingerprint", "content"))
     # Twice somewhere: the smallest place isn't the largest. Both are kept by partial sums.
-    shared = (
+    shared = stage(
         windows.groupBy("fingerprint")
         .agg(F.min(place).alias("a"), F.max(place).alias("b"))
         .filter("a != b")
-        .select("fingerprint")
+        .select("fingerprint"),
+        "line-fingerprints",
     )
     candidates = windows.join(shared, "fingerprint", "left_semi")
     origins = stage(
-        candidates.groupBy("fingerprint", "content")
+        candidates.groupBy("window")
         .agg(F.min(place).alias("origin"), F.max(place).alias("latest"))
         .filter("origin != latest")
-        .select("fingerprint", "content", "origin"),
+        .select("window", "origin"),
         "line-origins",
     )
     return (
-        windows.join(origins, ["fingerprint", "content"])
+        windows.join(origins, "window")
         .filter(F.col("origin") != place)
         .select("doc_id", "text_key", "first", "last")
     )
