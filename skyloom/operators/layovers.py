@@ -69,6 +69,72 @@ def one_stop(
     )
 
 
+def one_stop_of(
+    legs: DataFrame,
+    requests: DataFrame,
+    min_layover: int = MIN_LAYOVER,
+    max_layover: int = MAX_LAYOVER,
+    limit: int = 10,
+) -> DataFrame:
+    """``one_stop`` of every request (request_id, origin, dest, flightdate) at once.
+
+    Equal questions are answered once. A first leg meets the destinations asked for from its
+    origin on its date, then the second legs there; what is kept per question is cut to
+    ``limit`` rows before the shuffle.
+    """
+    asked = requests.select("flightdate", "origin", "dest").distinct()
+    minutes = F.col("scheduled_duration_minutes")
+    first = legs.select(
+        "flightdate",
+        "origin",
+        F.col("dest").alias("via"),
+        F.col("reporting_airline").alias("carrier"),
+        flight_label().alias("first_flight"),
+        F.col("scheduled_departure_time").alias("departs"),
+        F.col("scheduled_arrival_time").alias("lands"),
+        minutes.alias("first_block"),
+    )
+    second = legs.select(
+        F.col("flightdate").alias("second_date"),
+        F.col("origin").alias("via"),
+        "dest",
+        F.col("reporting_airline").alias("carrier"),
+        flight_label().alias("second_flight"),
+        F.col("scheduled_departure_time").alias("leaves"),
+        F.col("scheduled_arrival_time").alias("arrives"),
+        minutes.alias("second_block"),
+    )
+    layover = minutes_between("lands", "leaves")
+    # The dates on which a second leg within the window can leave.
+    landed = F.col("lands").cast("date")
+    dates = F.sequence(landed, F.date_add(landed, 1 + max_layover // 1440))
+    today_or_next = F.col("second_date").between(F.col("flightdate"), F.date_add("flightdate", 1))
+    options = (
+        first.join(asked, ["flightdate", "origin"])
+        .filter((F.col("via") != F.col("dest")) & F.col("lands").isNotNull())
+        .withColumn("second_date", F.explode(dates))
+        .filter(today_or_next)
+        .join(second, ["second_date", "via", "carrier", "dest"])
+        .filter((F.col("via") != F.col("origin")) & layover.between(min_layover, max_layover))
+        .select(
+            "flightdate",
+            "origin",
+            "dest",
+            F.array("first_flight", "second_flight").alias("flights"),
+            "via",
+            "departs",
+            "arrives",
+            layover.alias("layover"),
+            (F.col("first_block") + F.col("second_block")).alias("air_minutes"),
+        )
+    )
+    order = Window.partitionBy("flightdate", "origin", "dest").orderBy(F.col("departs").asc_nulls_last(), "flights")
+    ranked = options.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return requests.select("request_id", "flightdate", "origin", "dest").join(
+        ranked, ["flightdate", "origin", "dest"]
+    ).drop("flightdate", "origin", "dest")
+
+
 def _histogram(legs: DataFrame, hubs: list[str] | None = None) -> DataFrame:
     """Per date, hub, far end and local minute: legs that land and legs that leave.
 

@@ -91,6 +91,18 @@ def direct_flights(legs: DataFrame, origin: str, dest: str, day) -> DataFrame:
     )
 
 
+def direct_flights_of(legs: DataFrame, requests: DataFrame) -> DataFrame:
+    """The nonstops of every request (request_id, origin, dest, flightdate), in one join."""
+    asked = requests.select("request_id", "origin", "dest", "flightdate")
+    return legs.join(asked, ["flightdate", "origin", "dest"]).select(
+        "request_id",
+        flight_label().alias("flight"),
+        F.col("scheduled_departure_time").alias("departs"),
+        F.col("scheduled_arrival_time").alias("arrives"),
+        F.col("scheduled_duration_minutes").alias("minutes"),
+    )
+
+
 def airports(legs: DataFrame) -> DataFrame:
     """Every code seen at either end."""
     ends = legs.select(F.col("origin").alias("code")).union(legs.select(F.col("dest").alias("code")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.storage import stage
@@ -158,6 +158,48 @@ def acyclic_routes(
     return out.orderBy("legs", F.array_join("route", ">")).limit(limit)
 
 
+def acyclic_routes_of(route_table: DataFrame, pairs: DataFrame, max_legs: int = 3, limit: int = 10) -> DataFrame:
+    """origin, dest, rank, route, legs: ``acyclic_routes`` of every pair (origin, dest) at once.
+
+    Paths are grown once per origin for all its destinations. The last leg only goes to wanted
+    ones, and a pair that has ``limit`` routes is not asked again for more legs.
+    """
+    edges = stage(_edges(route_table, None).filter(F.col("here") != F.col("there")), "route-edges")
+    wanted = stage(pairs.select("origin", "dest").filter(F.col("origin") != F.col("dest")).distinct(), "route-pairs")
+    starts = wanted.select(F.col("origin").alias("here")).distinct()
+    level = edges.join(starts, "here").select(
+        F.col("here").alias("origin"), F.array("here", "there").alias("route"), F.col("there").alias("at")
+    )
+    order = Window.partitionBy("origin", "dest").orderBy(F.array_join("route", ">"))
+    found = []
+    for legs in range(1, max_legs + 1):
+        hits = (
+            level.join(wanted.withColumn("at", F.col("dest")), ["origin", "at"])
+            .withColumn("rank", F.row_number().over(order))
+            .filter(F.col("rank") <= limit)
+            .select("origin", "dest", "rank", "route", F.lit(legs).alias("legs"))
+        )
+        found.append(stage(hits, f"routes-{legs}"))
+        if legs == max_legs:
+            break
+        have = reduce(DataFrame.unionByName, found).groupBy("origin", "dest").agg(F.count(F.lit(1)).alias("n"))
+        wanted = wanted.join(have.filter(F.col("n") >= limit), ["origin", "dest"], "left_anti")
+        wanted = stage(wanted, "route-pairs")
+        grown = level.join(wanted.select("origin").distinct(), "origin").join(edges, F.col("at") == F.col("here"))
+        if legs + 1 == max_legs:
+            grown = grown.join(wanted.withColumnRenamed("dest", "there"), ["origin", "there"], "left_semi")
+        level = grown.filter(~F.array_contains("route", F.col("there"))).select(
+            "origin", F.array_append("route", F.col("there")).alias("route"), F.col("there").alias("at")
+        )
+        level = stage(level, f"route-paths-{legs + 1}")
+    best = Window.partitionBy("origin", "dest").orderBy("legs", "rank")
+    return (
+        reduce(DataFrame.unionByName, found)
+        .withColumn("rank", F.row_number().over(best))
+        .filter(F.col("rank") <= limit)
+    )
+
+
 def trail_paths(route_table: DataFrame, origin: str, dest: str, max_legs: int = 3) -> DataFrame:
     """Routes without a repeated edge; an airport may come again."""
     return _paths(route_table, origin, dest, max_legs, ~F.array_contains("used", F.col("edge")), False)
