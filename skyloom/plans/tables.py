@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from skyloom.operators.requests import request_workload
 from skyloom.operators.search import search
 from skyloom.sources.order_records import STATIONS, order_records
 from skyloom.sources.tables import one_per_key
-from skyloom.storage import stage
+from skyloom.storage import shared_root, stage
 
 _open: dict[tuple[str, str], Tables] = {}
 
@@ -85,6 +86,33 @@ class Tables:
     def answers(self, **columns) -> DataFrame:
         return search(self.workload(**columns), self.legs, self.connections, built=self.built)
 
+    @cached_property
+    def month_files(self) -> str:
+        """A folder of CSV files of the records as text, two months of different headers, with
+        cells that don't convert."""
+        n, day = F.col("flight_number_reporting_airline"), F.to_date("flightdate")
+        later = F.dayofmonth(day) >= 18
+        date = F.when(later, F.date_add(day, 31)).otherwise(day)
+        junk = lambda every, text, value: F.when(F.pmod(n, F.lit(every)) == 0, text).otherwise(value)
+        cells = {
+            "Year": F.year(date).cast("string"),
+            "Month": F.month(date).cast("string"),
+            "FlightDate": junk(23, "2025-02-30", F.date_format(date, "yyyy-MM-dd")),
+            "Reporting_Airline": F.col("reporting_airline"),
+            "Flight_Number_Reporting_Airline": junk(17, "N/A", junk(13, F.concat(n.cast("string"), F.lit(".0")), n.cast("string"))),
+            "Origin": F.col("origin"),
+            "Dest": F.col("dest"),
+            "CRSDepTime": junk(19, "2560", F.date_format("crsdeptime", "HHmm")),
+            "Distance": junk(11, "far", F.col("distance").cast("string")),
+        }
+        text = self.records.select(later.alias("later"), *[c.alias(k) for k, c in cells.items()], n.alias("n"))
+        path = f"{shared_root(self.spark)}/skyloom/{self.spark.sparkContext.applicationId}/months-{uuid.uuid4().hex[:12]}"
+        writer = lambda df: df.write.mode("append").option("header", True).csv(path)
+        writer(text.filter("not later").drop("later", "n"))
+        agency = F.when(F.pmod("n", F.lit(29)) != 0, F.lit("19805")).alias("DOT_ID_Reporting_Airline")
+        writer(text.filter("later").select(agency, *reversed(cells)))
+        return path
+
     @property
     def raw_requests(self) -> DataFrame:
         """Requests as typed by users, well and badly formed, one per event."""

@@ -67,8 +67,8 @@ def _first_line(stream) -> str:
     return text.split(b"\n", 1)[0].decode("utf-8", "replace").strip()
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every cell of the CSV files as text, matched by column name.
+def _text_frames(spark: SparkSession, path: str) -> list[DataFrame]:
+    """Every cell of the CSV files as text, a frame for each distinct header.
 
     Spark matches a folder's files by position to the first header it meets. Months whose
     header differs are therefore read apart, one scan per distinct header.
@@ -77,12 +77,22 @@ def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     headers = file_table(spark, files).mapInPandas(_read_headers, "file string, header string")
     groups = headers.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
     reader = spark.read.option("header", True).option("escape", '"')
-    return union_by_name([normalise_names(reader.csv(sorted(g.files))) for g in groups])
+    if not groups:
+        raise FileNotFoundError(f"no CSV file under {path}")
+    return [normalise_names(reader.csv(sorted(g.files))) for g in groups]
+
+
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Every cell of the CSV files as text, matched by column name."""
+    return union_by_name(_text_frames(spark, path))
 
 
 def read_records_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read every cell as text (no inference pass over the data) and type it."""
-    return type_records(read_text_csv(spark, path))
+    """Read every cell as text (no inference pass over the data) and type it.
+
+    Each header is typed by itself: a required id that some files don't have is no reason to
+    drop their rows."""
+    return union_by_name([type_records(frame) for frame in _text_frames(spark, path)])
 
 
 def conversion_losses(text_df: DataFrame) -> DataFrame:
