@@ -65,40 +65,52 @@ def solve_offsets(
     deltas: DataFrame,
     anchor: tuple[str, int] = OFFSET_ANCHOR,
     dates: DataFrame | None = None,
+    min_flights: int = STRONG_PAIR_FLIGHTS,
 ) -> Solution:
     """Solve all dates at once, one frontier join per round.
 
     The pair table holds at most airports^2 rows per date, whatever the number of legs.
     A round finds the neighbours of the stations found in the round before; every station
     not on the anchor's component is reported, and every pair is checked in the end, the
-    thin ones included, so the order in which pairs are used cannot hide a conflict.
+    thin ones included, so the order in which pairs are used cannot hide a conflict. Pairs with
+    ``min_flights`` flights are used first, so that a faulty thin pair is the one reported.
     """
     anchor_code, anchor_minutes = anchor
     spark = deltas.sparkSession
     deltas = stage(deltas.select("flightdate", "origin", "dest", "flights", "delta"), "pair-deltas")
-    edges = deltas.select("flightdate", F.col("origin").alias("here"), F.col("dest").alias("there"), "delta")
-    edges = edges.union(edges.select("flightdate", "there", "here", -F.col("delta")))
+    edges = deltas.select("flightdate", F.col("origin").alias("here"), F.col("dest").alias("there"), "delta", "flights")
+    edges = edges.union(edges.select("flightdate", "there", "here", -F.col("delta"), "flights"))
     stations = edges.select("flightdate", F.col("here").alias("airport")).distinct()
 
     known = stations.filter(F.col("airport") == anchor_code).withColumn(
         "value", F.pmod(F.lit(anchor_minutes), F.lit(DAY))
     )
     known = frontier = stage(known, "offsets-round")
+    # Pairs that several flights agree on first; then one step over a thin pair, whose far
+    # end may lead back to firm ones.
+    firm = edges.filter(F.col("flights") >= min_flights)
     while not frontier.isEmpty():
-        reached = (
-            frontier.withColumnRenamed("airport", "here")
-            .join(edges, ["flightdate", "here"])
-            .groupBy("flightdate", F.col("there").alias("airport"))
-            .agg(F.min(F.pmod(F.col("value") + F.col("delta"), F.lit(DAY))).alias("value"))
-            .join(known.select("flightdate", "airport"), ["flightdate", "airport"], "left_anti")
-        )
-        frontier = stage(reached, "offsets-round")
+        while not frontier.isEmpty():
+            frontier = stage(_next_stations(frontier, firm, known), "offsets-round")
+            known = known.union(frontier)
+        frontier = stage(_next_stations(known, edges, known), "offsets-round")
         known = known.union(frontier)
 
     offsets = known.select("flightdate", "airport", wrap_offset("value").alias("offset_minutes"))
     return Solution(offsets, _issues(spark, deltas, stations, known, anchor_code, dates))
 
 
+def _next_stations(frontier: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Stations one pair away from the frontier that aren't known yet."""
+    return (
+        frontier.withColumnRenamed("airport", "here")
+        .join(edges, ["flightdate", "here"])
+        .groupBy("flightdate", F.col("there").alias("airport"))
+        .agg(F.min(F.pmod(F.col("value") + F.col("delta"), F.lit(DAY))).alias("value"))
+        .join(known.select("flightdate", "airport"), ["flightdate", "airport"], "left_anti")
+    )
+
+
 def _issues(spark, deltas, stations, known, anchor_code, dates) -> DataFrame:
     start = known.select("flightdate", F.col("airport").alias("origin"), F.col("value").alias("from_value"))
     end = known.select("flightdate", F.col("airport").alias("dest"), F.col("value").alias("to_value"))

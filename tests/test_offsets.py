@@ -158,3 +158,15 @@ def test_offset_changes(spark):
     table = spark.createDataFrame(rows, "flightdate date, airport string, offset_minutes int")
     got = off.offset_changes(table, "2025-03-08", "2025-03-09").collect()
     assert [(r.airport, r.first_offset, r.second_offset) for r in got] == [("ORD", -360, -300)]
+
+
+def test_firm_pairs_are_used_before_thin_ones(spark):
+    """The direct pair is nearer to the anchor, but hangs on one faulty flight."""
+    pairs = [(DAY, "PHX", "DFW", 5, 120), (DAY, "DFW", "ORD", 4, 0), (DAY, "PHX", "ORD", 1, 60), (DAY, "ORD", "BRW", 1, -180), (DAY, "BRW", "SCC", 3, 0)]
+    table = spark.createDataFrame(pairs, "flightdate date, origin string, dest string, flights bigint, delta int")
+    solution = off.solve_offsets(table)
+    assert {r.airport: r.offset_minutes for r in solution.offsets.collect()} == {"PHX": -420, "DFW": -300, "ORD": -300, "BRW": -480, "SCC": -480}
+    assert [(r.issue, r.detail) for r in solution.issues.collect()] == [("conflict", "PHX->ORD")]
+    # With every pair firm, the nearest wins and the blame moves.
+    nearest = off.solve_offsets(table, min_flights=1)
+    assert [(r.issue, r.detail) for r in nearest.issues.collect()] == [("conflict", "DFW->ORD")]
