@@ -1,5 +1,5 @@
-"""Rules on text cells, layovers and reference rows; request caps, floors, rebuilt dates and
-dates whose offsets cannot be solved."""
+"""Rules on text cells, layovers and reference rows; request caps, floors, rebuilt dates, dates
+whose offsets cannot be solved, and audits of tables with planted faults."""
 
 import uuid
 
@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import connections as conn
 from skyloom.operators import offsets, quality, rollups
+from skyloom.operators import search as srch
 from skyloom.operators.requests import normalise_requests
 from skyloom.plans.ingest_queries import MONTHS
 from skyloom.plans.registry import query
-from skyloom.plans.search_queries import REQUESTS
+from skyloom.plans.search_queries import REQUESTS, itineraries_sql
 from skyloom.plans.sql import EDGES, LEGS, day
-from skyloom.sources import records
+from skyloom.sources import records, scan
 from skyloom.sources.order_records import FIRST_DATE, STATIONS
 from skyloom.sources.tables import replace_dates
 from skyloom.storage import shared_root
@@ -187,3 +188,57 @@ def unsolvable_dates(t):
     issues = offsets.solve_offsets(offsets.offset_deltas(legs), dates=t.dates).issues
     conflict = F.col("issue") == "conflict"
     return issues.withColumn("detail", F.when(conflict, "").otherwise(F.col("detail"))).distinct()
+
+
+@query(
+    "planted_edge_faults",
+    f"""WITH {EDGES} SELECT count(*) AS edges, count(*) FILTER (lay % 11 = 0) AS hub_mismatch,
+    count(*) FILTER (lay % 7 = 0) AS outside_window,
+    count(*) FILTER (lay % 7 = 0 OR lay % 11 = 0) AS wrong_layover FROM edge""",
+)
+def planted_edge_faults(t):
+    """Some connections get a layover outside the window, others name their first leg twice."""
+    wait = F.col("layover_minutes")
+    faulty = t.connections.withColumns(
+        {
+            "to_leg": F.when(wait % 11 == 0, F.col("from_leg")).otherwise(F.col("to_leg")),
+            "layover_minutes": F.when(wait % 7 == 0, wait + 1000).otherwise(wait),
+        }
+    )
+    return conn.connection_invariants(faulty, t.legs).drop("backtrack")
+
+
+@query(
+    "planted_itinerary_faults",
+    f"""WITH x AS ({itineraries_sql(2, "p.stops >= 1 AND p.arr_l < a.dd * 1440 + 900")})
+    SELECT count(*) AS itineraries, count(*) FILTER (total_minutes IS NOT NULL) AS wrong_total,
+    count(*) FILTER (stops = 1 AND total_minutes IS NOT NULL) AS wrong_span,
+    count(*) FILTER (stops = 2) AS cyclic, count(*) FILTER (stops = 1) AS mixed_family,
+    count(*) FILTER (stops = 2) AS wrong_stops, count(*) FILTER (stops = 2) AS outside_window FROM x""",
+)
+def planted_itinerary_faults(t):
+    """One-stop answers get a wrong total and a foreign carrier; two-stop answers lead back to
+    their start, wait too long and miscount their stops."""
+    one, two = F.col("stops") == 1, F.col("stops") == 2
+    found = t.answers(min_stops=1, max_stops=2, arrive_before="15:00")
+    faulty = found.withColumns(
+        {
+            "total_minutes": F.when(one, F.col("total_minutes") + 7).otherwise(F.col("total_minutes")),
+            "carriers": F.when(one, F.array_append("carriers", F.lit("ZZ"))).otherwise(F.col("carriers")),
+            "route": F.when(two, F.array_append("route", F.get("route", F.lit(0)))).otherwise(F.col("route")),
+            "layover_minutes": F.when(two, F.array_append("layover_minutes", F.lit(400))).otherwise(
+                F.col("layover_minutes")
+            ),
+            "stops": F.when(two, F.lit(3)).otherwise(F.col("stops")),
+        }
+    )
+    return srch.itinerary_audit(faulty).drop("unsorted")
+
+
+@query(
+    "months_of_files",
+    f"""WITH {MONTHS} SELECT substr(flightdate, 1, 7) AS month, count(*) AS flights FROM typed GROUP BY 1""",
+)
+def months_of_files(t):
+    """Two months, and the rows whose date did not convert."""
+    return scan.month_breakdown(records.read_records_csv(t.spark, t.month_files))
