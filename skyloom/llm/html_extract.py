@@ -25,6 +25,8 @@ from skyloom.storage import stage
 PATHS = 5
 #: A longer path is stated by its digest, so that unclosed elements don't make paths without end.
 PATH_CHARS = 2_000
+#: Share of a container's text that makes a container in it stand for it.
+NEARLY_ALL = 0.95
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -44,6 +46,7 @@ BLOCK = frozenset(
     "table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article body div main section td".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 blockquote pre li td".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 LEFT_OUT = frozenset("aside button dialog footer form head header menu nav".split())
@@ -57,12 +60,15 @@ LEFT_OUT_ROLES = frozenset("alert banner complementary contentinfo dialog form m
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "parent", "score", "own", "chars", "linked", "paragraphs", "start", "stop")
+    """An element. ``paragraphs`` is all paragraph text in it that is kept, however deep,
+    ``within`` the part of it that lies in containers inside, ``inner`` the first of most text."""
+
+    __slots__ = ("tag", "path", "out", "parent", "chars", "linked", "paragraphs", "within", "inner", "start", "stop")
 
     def __init__(self, tag, path, out, parent, start):
         self.tag, self.path, self.out, self.parent, self.start = tag, path, out, parent, start
-        self.chars = self.linked = self.paragraphs = 0
-        self.stop = None
+        self.chars = self.linked = self.paragraphs = self.within = 0
+        self.inner = self.stop = None
 
 
 def parse(page: str) -> tuple[list, list[Node]]:
@@ -86,8 +92,14 @@ def parse(page: str) -> tuple[list, list[Node]]:
             n.stop = len(pieces)
             n.parent.chars += n.chars if not n.out else 0
             n.parent.linked += n.linked if not n.out else 0
-            if n.tag in ("p", "h1", "h2", "h3", "blockquote", "pre", "li", "td") and not n.out and n.chars > n.linked:
-                n.parent.paragraphs += n.chars - n.linked
+            if n.tag in PARAGRAPHS and n.chars > n.linked:
+                n.paragraphs = n.chars - n.linked
+            if not n.out:
+                n.parent.paragraphs += n.paragraphs
+                inner = n if n.tag in CONTAINER else n.inner
+                n.parent.within += n.paragraphs if inner is n else n.within
+                if inner is not None and (n.parent.inner is None or mass(inner) > mass(n.parent.inner)):
+                    n.parent.inner = inner
         del stack[index:]
 
     for m in TOKEN.finditer(page):
@@ -168,27 +180,42 @@ def _classes(attrs: str) -> str:
     return "".join(f".{n}" for n in names)
 
 
-def score(node: Node) -> float:
-    """Paragraph text that stands directly in the container, less what is linked."""
-    weight = {"article": 1.5, "main": 1.3, "body": 0.6, "": 0.5}.get(node.tag, 1.0)
-    return weight * (node.paragraphs + 0.2 * (node.chars - node.linked))
+def mass(node: Node) -> float:
+    """Paragraph text that the container holds at any depth, less what is linked."""
+    return node.paragraphs + 0.2 * (node.chars - node.linked)
 
 
-def best_of(containers: list[Node]) -> Node:
-    return max(containers, key=lambda n: (score(n), -n.start, n.path))
+def score(node: Node) -> float:
+    """A section is a part, so that it doesn't win against what holds it and other text."""
+    return {"article": 1.5, "main": 1.3, "body": 0.6, "section": 0.6, "": 0.5}.get(node.tag, 1.0) * mass(node)
 
 
-def text_of(pieces: list, node: Node) -> str:
-    """The blocks of the container, each with single spaces, joined by line breaks."""
+def best_of(containers: list[Node]) -> Node:
+    """The container of the highest score, or the lowest one in it that holds nearly all of its
+    text. An article and a container with paragraphs of its own are not left for a part of them."""
+    best = max(containers, key=lambda n: (score(n), -n.start, n.path))
+    while best.tag != "article" and best.paragraphs == best.within:
+        lower = best.inner
+        if lower is None or lower.tag == "section" or mass(lower) < NEARLY_ALL * mass(best):
+            break
+        best = lower
+    return best
+
+
+def text_of(pieces: list, nodes: list[Node]) -> str:
+    """The blocks of the containers, each with single spaces, joined by line breaks."""
     blocks: dict[int, list[str]] = {}
-    for raw, block, out in pieces[node.start : node.stop]:
-        if not out:
-            blocks.setdefault(block, []).append(raw)
+    for node in nodes:
+        for raw, block, out in pieces[node.start : node.stop]:
+            if not out:
+                blocks.setdefault(block, []).append(raw)
     lines = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
 
 def extract(page: str | None, paths: list[str] | None) -> str:
+    """Text of all containers on the first of the paths that the page has, or else on the path of
+    its own best container."""
     if not page:
         return ""
     pieces, containers = parse(page)
@@ -197,8 +224,8 @@ def extract(page: str | None, paths: list[str] | None) -> str:
         by_path.setdefault(n.path, []).append(n)
     for path in paths if paths is not None else ():
         if path in by_path:
-            return text_of(pieces, best_of(by_path[path]))
-    return text_of(pieces, best_of(containers))
+            return text_of(pieces, by_path[path])
+    return text_of(pieces, by_path[best_of(containers).path])
 
 
 def _vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

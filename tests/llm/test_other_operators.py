@@ -57,6 +57,42 @@ def test_pages_of_a_host_agree(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
+def paragraph(name, n):
+    return "<p>" + " ".join([name] * n) + "</p>"
+
+
+@pytest.mark.parametrize("holder", ["article", "main", 'div class="post"'])
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_articles_of_sections_are_whole(spark, holder, n):
+    """An intro and sections of one class or of many, short and long, under one host's path."""
+
+    def page(sizes, inner):
+        parts = "".join(f"<{inner}{k}'><h2>Head{k}</h2>{paragraph(f'part{k}', m)}</{inner.split()[0]}>" for k, m in enumerate(sizes))
+        close = holder.split()[0]
+        return f"<body><nav><p>Menu</p></nav><div class=top><p>Top</p></div><{holder}>{paragraph('intro', 6)}{parts}</{close}><footer><p>Foot</p></footer>"
+
+    def text(sizes):
+        return "\n".join([" ".join(["intro"] * 6)] + [f"Head{k}\n" + " ".join([f"part{k}"] * m) for k, m in enumerate(sizes)])
+
+    cases = [([60] * n, "section class='s"), ([200, *[20] * (n - 1)], "section class='p"), ([60] * n, "div class='x")]
+    for sizes, inner in cases:
+        assert extract(page(sizes, inner), None) == text(sizes)
+    rows = [(i, f"http://h.example/{i}", page(*case)) for i, case in enumerate(cases * 2)]
+    got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: text(case[0]) for i, case in enumerate(cases * 2)}
+
+
+def test_all_containers_of_a_path_are_joined():
+    page = "<body><div class=part-1>" + paragraph("one", 30) + "</div><div class=x><p>x</p></div><div class=part-2>" + paragraph("two", 9) + "</div>"
+    want = " ".join(["one"] * 30) + "\n" + " ".join(["two"] * 9)
+    assert extract(page, ["/body/div.part-#"]) == extract(page, None) == want
+
+
+def test_a_wrapper_is_left_for_the_container_of_nearly_all():
+    page = "<body><div id=w><div class=line><p>Our line</p></div><div class=post>" + paragraph("text", 90) + "</div></div>"
+    assert extract(page, None) == " ".join(["text"] * 90)
+
+
 def test_packing_is_whole_and_fits():
     for seed in range(60):
         rng = random.Random(seed)
