@@ -30,7 +30,8 @@ NEARLY_ALL = 0.95
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|svg|object|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<svg(?=[\s/])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|svg|object|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<attrs2>[^>]*+)>"
     r"|<[!?/][^>]*+>",
@@ -49,57 +50,54 @@ CONTAINER = frozenset("article body div main section td".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 blockquote pre li td".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-LEFT_OUT = frozenset("aside button dialog footer form head header menu nav".split())
+LEFT_OUT = frozenset("aside button dialog footer head header menu nav".split())
 LEFT_OUT_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
     "pagination popup promo promoted recommended related reply replies respond share sharing sidebar signup social "
     "sponsor sponsored subscribe toolbar widget".split()
 )
-LEFT_OUT_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
+#: Of these words, those that name what readers wrote: it may be longer than the article.
+TALK_WORDS = frozenset("comment comments discussion disqus replies reply respond".split())
+#: Names such as with-sidebar or has-banner say what stands beside the element.
+BESIDE = re.compile(r"(?<![a-z0-9])(?:with|without|has|no|not)[-_]+[a-z0-9]+")
+LEFT_OUT_ROLES = frozenset("alert banner complementary contentinfo dialog menu navigation search".split())
+
+
+#: An element left out by form or by a word of its names, unless it holds most of the page's text.
+DOUBT, TALK = 1, 2
 
 
 class Node:
-    """An element. ``paragraphs`` is all paragraph text in it that is kept, however deep,
+    """An element. ``out`` is left out, ``doubt`` may be (DOUBT, TALK). ``paragraphs`` is all paragraph text in it that is kept, however deep,
     ``within`` the part of it that lies in containers inside, ``inner`` the first of most text."""
 
-    __slots__ = ("tag", "path", "out", "parent", "chars", "linked", "paragraphs", "within", "inner", "start", "stop")
+    __slots__ = ("tag", "path", "out", "doubt", "parent", "own", "chars", "linked", "paragraphs", "within", "inner", "start", "stop")
 
-    def __init__(self, tag, path, out, parent, start):
-        self.tag, self.path, self.out, self.parent, self.start = tag, path, out, parent, start
-        self.chars = self.linked = self.paragraphs = self.within = 0
-        self.inner = self.stop = None
+    def __init__(self, tag, path, out, doubt, parent, start):
+        self.tag, self.path, self.out, self.doubt, self.parent, self.start = tag, path, out, doubt, parent, start
+        self.own = (0, 0)
+        self.stop = None
 
 
 def parse(page: str) -> tuple[list, list[Node]]:
-    """Pieces of text as (text, block number, left out, in a link), and the containers with the
-    range of their pieces. Comments, scripts and other raw elements are dropped here."""
-    root = Node("", "", False, None, 0)
-    stack, pieces, containers, block, at = [root], [], [], 0, 0
+    """Pieces of text as (text, block number, element), and the kept containers with the range of
+    their pieces. Comments, scripts and other raw elements are dropped here."""
+    root = Node("", "", False, None, None, 0)
+    stack, pieces, nodes, block, at = [root], [], [root], 0, 0
 
     def add(raw: str) -> None:
         text = " ".join(entities.unescape(raw).split()) if "&" in raw else " ".join(raw.split())
         if raw:
             top = stack[-1]
             linked = any(n.tag == "a" for n in stack[-3:])
-            pieces.append((raw, block, top.out))
-            if text and not top.out:
-                top.chars += len(text)
-                top.linked += len(text) * linked
+            pieces.append((raw, block, top))
+            if text:
+                top.own = (top.own[0] + len(text), top.own[1] + len(text) * linked)
 
     def close(index: int) -> None:
-        for n in reversed(stack[index:]):
+        for n in stack[index:]:
             n.stop = len(pieces)
-            n.parent.chars += n.chars if not n.out else 0
-            n.parent.linked += n.linked if not n.out else 0
-            if n.tag in PARAGRAPHS and n.chars > n.linked:
-                n.paragraphs = n.chars - n.linked
-            if not n.out:
-                n.parent.paragraphs += n.paragraphs
-                inner = n if n.tag in CONTAINER else n.inner
-                n.parent.within += n.paragraphs if inner is n else n.within
-                if inner is not None and (n.parent.inner is None or mass(inner) > mass(n.parent.inner)):
-                    n.parent.inner = inner
         del stack[index:]
 
     for m in TOKEN.finditer(page):
@@ -138,45 +136,90 @@ def parse(page: str) -> tuple[list, list[Node]]:
                 if stack[i].tag in SCOPE[tag]:
                     break
         attrs = m["attrs"] or m["attrs2"] or ""
-        names, left_out = "", tag in LEFT_OUT
-        if attrs.strip(" /\n\t"):
-            left_out = left_out or _left_out(attrs)
-            names = _classes(attrs)
+        names, left_out, doubt = "", tag in LEFT_OUT, DOUBT if tag == "form" else None
         parent = stack[-1]
         if tag == "header" and any(n.tag == "article" for n in stack):
-            left_out = bool(attrs.strip()) and _left_out(attrs)
+            left_out = False
+        if attrs.strip(" /\n\t"):
+            values = _values(attrs)
+            left_out = left_out or _hidden(values)
+            doubt = _doubt(values) or doubt
+            names = _classes(values)
+        if tag in ("html", "body"):
+            left_out, doubt = False, None
+        if tag in ("h1", "main"):
+            for n in stack:
+                n.doubt = n.doubt and DOUBT  # talk has no title of the page in it
         path = f"{parent.path}/{tag}{names}"
         if len(path) > PATH_CHARS:
             path = md5(path.encode("utf-8", "surrogatepass")).hexdigest()
-        node = Node(tag, path, parent.out or (left_out and tag not in ("html", "body")), parent, len(pieces))
+        node = Node(tag, path, parent.out or left_out, doubt, parent, len(pieces))
         stack.append(node)
-        if tag in CONTAINER and not node.out:
-            containers.append(node)
+        nodes.append(node)
     if at < len(page):
         add(page[at:])
     close(1)
     root.stop = len(pieces)
-    return pieces, containers or [root]
+    _settle(nodes)
+    return pieces, [n for n in nodes if n.tag in CONTAINER and not n.out] or [root]
+
+
+def _sum(nodes: list[Node]) -> None:
+    """Sums of what is kept in each element; ``nodes`` in the order in which they open."""
+    for n in nodes:
+        n.chars, n.linked = n.own
+        n.paragraphs = n.within = 0
+        n.inner = None
+    for n in reversed(nodes):
+        if n.tag in PARAGRAPHS and n.chars > n.linked:
+            n.paragraphs = n.chars - n.linked
+        up = n.parent
+        if up is None or n.out:
+            continue
+        up.chars += n.chars
+        up.linked += n.linked
+        up.paragraphs += n.paragraphs
+        inner = n if n.tag in CONTAINER else n.inner
+        up.within += n.paragraphs if inner is n else n.within
+        if inner is not None and (up.inner is None or mass(inner) >= mass(up.inner)):
+            up.inner = inner
+
+
+def _settle(nodes: list[Node]) -> None:
+    """Leaves the elements in doubt out: talk, unless the page has no other text; then others that
+    don't hold most of the text that is left."""
+    _sum(nodes)
+    for doubt, share in ((TALK, 1.0), (DOUBT, 0.5)):
+        if any(n.doubt == doubt and not n.out for n in nodes):
+            least = share * mass(nodes[0])
+            for n in nodes[1:]:
+                holds = mass(n) >= least if doubt == TALK else mass(n) > least
+                n.out = n.out or n.parent.out or (n.doubt == doubt and not holds)
+            _sum(nodes)
 
 
 def _values(attrs: str) -> dict[str, str]:
     return {(a or h).lower(): x or y or z for a, x, y, z, h in ATTRIBUTE.findall(attrs)}
 
 
-def _left_out(attrs: str) -> bool:
-    v = _values(attrs)
-    names = re.split(r"[^a-z0-9]+", f"{v.get('class', '')} {v.get('id', '')}".lower())
+def _hidden(v: dict[str, str]) -> bool:
     return (
         "hidden" in v
         or v.get("aria-hidden", "").lower() == "true"
         or v.get("role", "").lower() in LEFT_OUT_ROLES
         or bool(re.search(r"display\s*:\s*none", v.get("style", ""), re.I))
-        or not LEFT_OUT_WORDS.isdisjoint(names)
     )
 
 
-def _classes(attrs: str) -> str:
-    names = sorted(set(re.sub(r"\d+", "#", _values(attrs).get("class", "")).lower().split()))
+def _doubt(v: dict[str, str]) -> int | None:
+    names = set(re.split(r"[^a-z0-9]+", BESIDE.sub(" ", f"{v.get('class', '')} {v.get('id', '')}".lower())))
+    if not TALK_WORDS.isdisjoint(names):
+        return TALK
+    return DOUBT if v.get("role", "").lower() == "form" or not LEFT_OUT_WORDS.isdisjoint(names) else None
+
+
+def _classes(v: dict[str, str]) -> str:
+    names = sorted(set(re.sub(r"\d+", "#", v.get("class", "")).lower().split()))
     return "".join(f".{n}" for n in names)
 
 
@@ -206,8 +249,8 @@ def text_of(pieces: list, nodes: list[Node]) -> str:
     """The blocks of the containers, each with single spaces, joined by line breaks."""
     blocks: dict[int, list[str]] = {}
     for node in nodes:
-        for raw, block, out in pieces[node.start : node.stop]:
-            if not out:
+        for raw, block, at in pieces[node.start : node.stop]:
+            if not at.out:
                 blocks.setdefault(block, []).append(raw)
     lines = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)

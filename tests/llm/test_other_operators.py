@@ -93,6 +93,24 @@ def test_a_wrapper_is_left_for_the_container_of_nearly_all():
     assert extract(page, None) == " ".join(["text"] * 90)
 
 
+def test_raw_elements_swallow_only_themselves():
+    body, text = paragraph("text", 30), " ".join(["text"] * 30)
+    assert extract(f"<body><svg class=i viewBox='0 0 > 1'/>{body}<svg><path d=x /><title>t</title></svg>{body}</body>", None) == f"{text}\n{text}"
+    for name in ("title-bar", "select-box", "object-view", "svg-icon"):
+        assert extract(f"<body><{name} a=b>{body}</{name}>{body}</body>", None) == f"{text}\n{text}"
+    assert extract(f"<body><select><option>no</select><svg\n>no</svg ><script>no</script>{body}", None) == text
+
+
+@pytest.mark.parametrize(
+    "holder", ["form id=aspnetForm", "div class='content with-sidebar'", "div class='has-banner'", "div class='page widget'", "div role=form", "div id=comments-open"]
+)
+def test_what_holds_the_page_is_kept(holder):
+    rest = "<div class='sidebar'><p>side</p></div><form><p>Your name</p></form><div id=comments><h2>Comments</h2>" + paragraph("talk", 200) + "</div>"
+    tag = holder.split()[0]
+    page = f"<body><nav><p>menu</p></nav><{holder}><h1>Head</h1>{paragraph('text', 60)}{rest}</{tag}><div class=ad><p>Buy</p></div></body>"
+    assert extract(page, None) == "Head\n" + " ".join(["text"] * 60)
+
+
 def test_packing_is_whole_and_fits():
     for seed in range(60):
         rng = random.Random(seed)
