@@ -40,27 +40,33 @@ OTHER_WORDS = r"(?i)(commit|sha(1|256)?|md5|checksum|digest|uuid|version|build|o
 FEATURES = (
     "chars", "digits", "uppers", "lowers", "others", "transitions", "kinds", "hex", "coverage", "vowels",
     "mail", "slashes", "dots", "secret_word", "other_word", "assigned", "quoted", "starts_line",
+    "closed",
 )
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, source, candidate, occurrences, left_words, right_words; the context is that of the
-    first occurrence in the text."""
+    """doc_id, source, row, candidate, left_words, right_words: a row for each occurrence, with the
+    context of its place; ``row`` tells apart rows of ``documents`` with one id.
+
+    The context is taken from the pieces between the matches and from the matches beside it."""
     found = documents.select(
-        "doc_id", "source", "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found")
-    ).filter(F.size("found") > 0)
-    at = lambda c: F.instr(F.col("text"), c)
+        "doc_id", "source", F.monotonically_increasing_id().alias("row"),
+        F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"),
+        F.split("text", CANDIDATE, -1).alias("between"),
+    ).filter(F.size("found") > 0)
+    piece = lambda name, i: F.coalesce(F.get(name, i), F.lit(""))
+    before = lambda text: F.right(text, F.lit(CONTEXT))
+    after = lambda text: F.left(text, F.lit(CONTEXT))
     # The text is left behind before the candidates become rows.
     each = F.transform(
-        F.array_distinct("found"),
-        lambda c: F.struct(
+        "found",
+        lambda c, i: F.struct(
             c.alias("candidate"),
-            F.size(F.filter("found", lambda x: x == c)).cast("long").alias("occurrences"),
-            F.substring("text", F.greatest(at(c) - CONTEXT, F.lit(1)), F.least(at(c) - 1, F.lit(CONTEXT))).alias("left_words"),
-            F.substring("text", at(c) + F.length(c), F.lit(CONTEXT)).alias("right_words"),
+            before(F.concat(before(piece("between", i - 1)), before(piece("found", i - 1)), before(piece("between", i)))).alias("left_words"),
+            after(F.concat(after(piece("between", i + 1)), after(piece("found", i + 1)), after(piece("between", i + 2)))).alias("right_words"),
         ),
     )
-    return found.select("doc_id", "source", F.inline(each))
+    return found.select("doc_id", "source", "row", F.inline(each))
 
 
 def _share(pattern: str) -> Column:
@@ -69,7 +75,7 @@ def _share(pattern: str) -> Column:
 
 def features(found: DataFrame) -> DataFrame:
     """The candidates with the columns of FEATURES: length, character classes and transitions,
-    dictionary coverage, signs of a path and neighbouring words."""
+    dictionary coverage, signs of a path and neighbouring words on both sides."""
     classes = F.regexp_replace(
         F.regexp_replace(F.regexp_replace(F.regexp_replace("candidate", "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a"),
         "[^0Aa]", "-",
@@ -97,6 +103,7 @@ def features(found: DataFrame) -> DataFrame:
         "assigned": has("left_words", r"[=:]\s*[\"']?$"),
         "quoted": has("left_words", r"[\"']$"),
         "starts_line": has("left_words", r"(^|\n)$"),
+        "closed": has("right_words", r"^[\"'`]"),
     }
     return found.select("*", *[values[f].alias(f) for f in FEATURES])
 
@@ -130,13 +137,17 @@ def seed_findings(found: DataFrame) -> DataFrame:
         ("2fd4e1c67a2d28fced849ee1bb76e7391b93eb12", "commit ", 0.0),
     ]
     spark = found.sparkSession
-    return spark.createDataFrame(rows, "candidate string, left_words string, label double")
+    return spark.createDataFrame(rows, "candidate string, left_words string, label double").withColumn("right_words", F.lit(""))
 
 
 def fit(findings: DataFrame, max_findings: int = MAX_FINDINGS, seed: int = 7):
-    """A forest on at most ``max_findings`` labelled findings (candidate, left_words, label)."""
-    columns = ("candidate", "left_words", "label")
-    chosen = findings.select(*columns).distinct().orderBy(F.xxhash64("candidate", "left_words")).limit(max_findings)
+    """A forest on at most ``max_findings`` labelled findings (candidate, left_words, label; and
+    right_words, if they have it)."""
+    columns = ("candidate", "left_words", "right_words", "label")
+    if "right_words" not in findings.columns:
+        findings = findings.withColumn("right_words", F.lit(""))
+    order = (F.xxhash64("candidate", "left_words"), F.xxhash64("right_words", "label"))
+    chosen = findings.select(*columns).distinct().orderBy(*order).limit(max_findings)
     learned = stage(features(chosen.unionByName(seed_findings(findings).select(*columns))).coalesce(1), "findings")
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=seed, maxBins=32
@@ -146,9 +157,10 @@ def fit(findings: DataFrame, max_findings: int = MAX_FINDINGS, seed: int = 7):
 
 def scan(documents: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """doc_id, candidate, occurrences, probability, is_secret: a row for each distinct candidate
-    of each row of ``documents`` (doc_id, source, text).
+    of each row of ``documents`` (doc_id, source, text). Each occurrence is judged in its own
+    context; the candidate has the highest probability of them.
 
-    ``findings`` (candidate, left_words, label 0 or 1) are what the forest learns from; without
+    ``findings`` (candidate, left_words, label 0 or 1, and right_words if known) are what the forest learns from; without
     them the candidates that rules of form can label. Null and empty texts have no candidates.
     Repeated rows are scanned each; an empty table gives no rows; other columns are ignored.
     """
@@ -158,7 +170,9 @@ def scan(documents: DataFrame, findings: DataFrame | None = None) -> DataFrame:
         VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(found))
     )
     probability = vector_to_array("probability")[1]
-    return judged.select(
-        "doc_id", "candidate", "occurrences", F.round(probability, 6).alias("probability"),
-        (probability >= THRESHOLD).alias("is_secret"),
-    )
+    return (
+        judged.select("row", "doc_id", "candidate", probability.alias("p"))
+        .groupBy("row", "doc_id", "candidate")
+        .agg(F.count(F.lit(1)).alias("occurrences"), F.max("p").alias("p"))
+        .select("doc_id", "candidate", "occurrences", F.round("p", 6).alias("probability"), (F.col("p") >= THRESHOLD).alias("is_secret"))
+    )

@@ -174,6 +174,22 @@ def test_secrets(spark):
     assert scan(df.limit(0)).count() == 0
 
 
+def test_each_occurrence_is_judged_in_its_place(spark):
+    """The first place looks harmless, or lies inside a longer run; a later one is a secret's."""
+    h = "0641917ea4e9feb9cda83477b57ac2654884f485"
+    texts = [f'commit {h} and then token = "{h}" x', f"see http://a9.example.com/{h}/x and token = \"{h}\"", f"commit {h} commit {h}"]
+    rows = [(i, t, "s") for i, t in enumerate([*texts, texts[0]])] + [(0, texts[0], "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r for r in scan(df).collect() if r.candidate == h]
+    assert sorted((r.doc_id, r.occurrences, r.is_secret) for r in got) == [
+        (0, 2, True), (0, 2, True), (1, 1, True), (2, 2, False), (3, 2, True)
+    ]
+    from skyloom.llm.secret_scan import candidates
+
+    found = candidates(df.filter("doc_id = 0").limit(1)).collect()
+    assert [(r.left_words[-9:], r.right_words[:6]) for r in found] == [("commit ", " and t"), ('token = "', '" x')]
+
+
 def test_secret_forest_learns_from_findings(spark):
     """Labelled findings decide: here what looks like a key is a part number."""
     rows = [(f"PART{i:04d}XYZ{i * 7:06d}", "part number ", 0.0) for i in range(200)]
