@@ -19,7 +19,7 @@ MAX_FINDINGS = 20_000
 TREES, DEPTH = 20, 6
 THRESHOLD = 0.5
 #: A run of at least 12 characters of keys, paths or mail addresses, with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9_+/.@:%-])(?=[A-Za-z_+/.@:%-]*+[0-9])[A-Za-z0-9_+/.@:%-]{12,}=*"
+RUN = r"(?<![A-Za-z0-9_+/.@:%-])(?=[A-Za-z_+/.@:%-]*+[0-9])[A-Za-z0-9_+/.@:%-]{12,}=*"
 #: Characters of context to each side.
 CONTEXT = 40
 
@@ -35,6 +35,20 @@ DICTIONARY = (
     "thumb time title token tool type update upload url user util value version video view web www year"
 ).split()
 SECRET_WORDS = r"(?i)(pass(word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)"
+#: A name with one of these words in it, and the sign that gives it a value.
+NAME = (
+    r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{0,64}?" + SECRET_WORDS.replace("(?i)(", "(?i:").replace("(word|wd)", "(?:word|wd)")
+    + r"(?:s|[0-9]{1,4}|[_.-][A-Za-z0-9_.-]{0,64}|[A-Z][A-Za-z0-9_]{0,64})?[\"'`]?\]?[ \t]{0,8}[:=][=>]?[ \t]{0,8}"
+)
+#: The value: what stands in quotes, or else up to white space or a quote, whatever its length,
+#: digits and symbols. A closing bracket, comma or full stop before white space isn't part of
+#: it, nor is the next name and value of a list.
+VALUE = (
+    r"(?:\"(?:[^\"\\\n]++|\\.)++(?=\")|'(?:[^'\\\n]++|\\.)++(?=')|`[^`\n]++(?=`)"
+    r"|[\"'`]?(?:[^\s\"'`,;.)\]}>&]++|&(?![A-Za-z0-9_.-]{1,64}=)|[,;.)\]}>]++(?![\s\"'`]|\z|[A-Za-z0-9_. -]{1,64}=|[A-Za-z0-9_.-]{1,64}:))++)"
+)
+ASSIGNED = NAME + VALUE
+CANDIDATE = ASSIGNED + "|" + RUN
 OTHER_WORDS = r"(?i)(commit|sha(1|256)?|md5|checksum|digest|uuid|version|build|order|isbn|phone|tel|ticket|revision|etag)"
 
 FEATURES = (
@@ -46,7 +60,8 @@ FEATURES = (
 
 def candidates(documents: DataFrame) -> DataFrame:
     """doc_id, source, row, candidate, left_words, right_words: a row for each occurrence, with the
-    context of its place; ``row`` tells apart rows of ``documents`` with one id.
+    context of its place; ``row`` tells apart rows of ``documents`` with one id. What a secret's name
+    is given is a candidate whatever it looks like, and so is every run of the form of keys.
 
     The context is taken from the pieces between the matches and from the matches beside it."""
     found = documents.select(
@@ -61,12 +76,18 @@ def candidates(documents: DataFrame) -> DataFrame:
     each = F.transform(
         "found",
         lambda c, i: F.struct(
-            c.alias("candidate"),
-            before(F.concat(before(piece("between", i - 1)), before(piece("found", i - 1)), before(piece("between", i)))).alias("left_words"),
+            c.alias("match"),
+            before(F.concat(before(piece("between", i - 1)), before(piece("found", i - 1)), before(piece("between", i)))).alias("ahead"),
             after(F.concat(after(piece("between", i + 1)), after(piece("found", i + 1)), after(piece("between", i + 2)))).alias("right_words"),
         ),
     )
-    return found.select("doc_id", "source", "row", F.inline(each))
+    rows = found.select("doc_id", "source", "row", F.inline(each))
+    sign = F.regexp_extract(F.concat("match", F.left("right_words", F.lit(1))), "^" + NAME + "(?=" + VALUE + ")[\"'`]?", 0)
+    rows = rows.withColumn("sign", sign)
+    return rows.select(
+        "doc_id", "source", "row", F.substring("match", F.length("sign") + 1, F.length("match")).alias("candidate"),
+        before(F.concat("ahead", "sign")).alias("left_words"), "right_words",
+    )
 
 
 def _share(pattern: str) -> Column:
@@ -110,14 +131,15 @@ def features(found: DataFrame) -> DataFrame:
 
 def weak_labels(found: DataFrame) -> DataFrame:
     """Labelled findings made from the candidates by rules of form: 1 for the fixed format of a
-    provider's key or a random value given to a secret's name; 0 for mail addresses, hosts,
-    numbers, dates and paths of words. Others stay without a label and aren't learned from."""
+    provider's key or a random value, or letters and digits, given to a secret's name; 0 for
+    mail addresses, hosts, numbers, dates, paths of words and what stands for a value. Others stay without a label and aren't learned from."""
     c = F.col("candidate")
     positive = c.rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$") | c.rlike(r"^gh[pousr]_[0-9A-Za-z]{36}$") | (
         c.rlike(r"^[0-9A-Za-z+/_-]{16,}=*$") & F.col("left_words").rlike(SECRET_WORDS + r"\s*[=:]\s*[\"']?$")
-    )
+    ) | (c.rlike(r"^(?=.*[0-9])(?=.*[A-Za-z])[^\s<>(){}$%]{6,}$") & F.col("left_words").rlike(NAME + r"[\"'`]?$"))
     negative = (
         c.rlike(r"^[^@]+@[A-Za-z0-9.-]+$") | c.rlike(r"^[0-9.:/+-]+$") | c.rlike(r"^[a-z]+([./_-][a-z0-9]{1,8})+$")
+        | c.rlike(r"(?i)^(null|none|nil|true|false|yes|no|string|str|required|optional|undefined)$|^([<({%]|\$[{(])")
         | c.rlike(r"(?i)^(https?:|www\.)") | F.col("left_words").rlike(OTHER_WORDS + r"\s*[=:#]?\s*$")
     )
     return found.withColumn("label", F.when(positive, 1.0).when(negative, 0.0)).filter("label is not null")
@@ -135,6 +157,11 @@ def seed_findings(found: DataFrame) -> DataFrame:
         ("2024-03-01T10:22:33", "on ", 0.0),
         ("release-notes-version-2", "the ", 0.0),
         ("2fd4e1c67a2d28fced849ee1bb76e7391b93eb12", "commit ", 0.0),
+        ("hunter7", "password=", 1.0),
+        ("S0mmer&3", "pwd: ", 1.0),
+        ("bluehorsemountainpaper", "secret = ", 1.0),
+        ("null", "password: ", 0.0),
+        ("${TOKEN}", "token=", 0.0),
     ]
     spark = found.sparkSession
     return spark.createDataFrame(rows, "candidate string, left_words string, label double").withColumn("right_words", F.lit(""))

@@ -174,6 +174,21 @@ def test_secrets(spark):
     assert scan(df.limit(0)).count() == 0
 
 
+def test_what_a_secret_name_is_given_is_a_candidate(spark):
+    """Of any length, without a digit, with any symbol; as much of it as was assigned."""
+    values = {
+        "password=hunter2": "hunter2", "pwd: Tr0ub4dor&3 and": "Tr0ub4dor&3", "secret = correcthorsebatterystaple": "correcthorsebatterystaple",
+        '{"db_password": "a b,c;d!", "x": 1}': "a b,c;d!", "see (passwd=p@ss,w.rd;x!).": "p@ss,w.rd;x!", "http://x.com/?token=abc&user=bob": "abc",
+        "Server=s;Password=ab1;User Id=u": "ab1", "apiKey => 'k'": "k", "PASSWORD_2: `q r`": "q r", 'token="open': "open",
+        "password=" + "x,y" * 50_000: "x,y" * 50_000, 'secret="' + r"\"" * 50_000 + '"': r"\"" * 50_000,
+    }
+    rows = [(i, text, "s") for i, text in enumerate(values)]
+    rows += [(90, "password: ", "s"), (91, "the author: Smith passed", "s"), (92, "password=ab1;token=cd2,secret:ef3", "s")]
+    got = scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.doc_id, r.candidate) for r in got} == {*enumerate(values.values()), (92, "ab1"), (92, "cd2"), (92, "ef3")}
+    assert all(r.is_secret for r in got if r.doc_id in (0, 1, 2))
+
+
 def test_each_occurrence_is_judged_in_its_place(spark):
     """The first place looks harmless, or lies inside a longer run; a later one is a secret's."""
     h = "0641917ea4e9feb9cda83477b57ac2654884f485"
