@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import batches, carried, column, ordinary, schema_of
+from skyloom.llm.common import batches, carried, column, mixed, ordinary, schema_of
 
-#: Symbols: 0 is everything but letters, 1-26 are a-z, the others hold hashed letters. A 4-gram
-#: then has 24 bits, so that a language has at most 2**24 grams however large the corpus is.
-BITS, ORDER = 6, 4
-SYMBOLS = 1 << BITS
+#: Symbols: 0 is everything but letters, each letter is its own code point. Codes of three symbols
+#: have 63 bits and are exact, 4-grams are told apart by 64-bit hashes.
+BITS, ORDER = 21, 4
+#: Kneser-Ney's last resort: every symbol as one of so many.
+KINDS = 64
 UNKNOWN = "und"
 #: Standard deviations of a text's mean that are not yet a reason to reject it.
 DEVIATIONS = 6.0
@@ -32,42 +33,54 @@ RESULT = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "
 
 @lru_cache(1)
 def _symbols() -> np.ndarray:
-    table = np.zeros(0x110000, np.uint8)
-    letters = np.array([c for c in range(0x110000) if chr(c).isalpha()], np.uint64)
-    spread = (letters * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    table[letters] = 27 + spread % np.uint64(SYMBOLS - 27)
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
+    table = np.zeros(0x110000, np.uint32)
+    letters = np.array([c for c in range(0x110000) if chr(c).isalpha()], np.uint32)
+    table[letters] = letters
     return table
 
 
 def symbols(text: str | None) -> np.ndarray:
     """The text's letters in lower case; each run of other characters is one 0, as are the ends."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.zeros(len(points) + 2, np.uint8)
+    s = np.zeros(len(points) + 2, np.uint32)
     s[1:-1] = _symbols()[points]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
     return s[keep]
 
 
+def _low(codes: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` symbols."""
+    return codes & np.uint64((1 << BITS * n) - 1)
+
+
 def grams(s: np.ndarray) -> np.ndarray:
-    """Code of the 4-gram that ends at each symbol after the first 0; the start is padded with 0."""
-    padded = np.concatenate([np.zeros(ORDER - 2, np.uint32), s.astype(np.uint32)])
-    out = np.zeros(max(len(s) - 1, 0), np.uint32)
-    for k in range(ORDER):
-        out = (out << np.uint32(BITS)) | padded[k : k + len(out)]
+    """The 4-gram that ends at each symbol after the first 0, as the code of its first three symbols
+    and its last; the start is padded with 0."""
+    padded = np.concatenate([np.zeros(ORDER - 2, np.uint64), s.astype(np.uint64)])
+    n = max(len(s) - 1, 0)
+    out = np.zeros((n, 2), np.uint64)
+    for k in range(ORDER - 1):
+        out[:, 0] = (out[:, 0] << np.uint64(BITS)) | padded[k : k + n]
+    out[:, 1] = padded[ORDER - 1 : ORDER - 1 + n]
     return out
 
 
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    return mixed(mixed(codes[:, 0]) + codes[:, 1])
+
+
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for part in batches(zip(frame.lang, frame.text, strict=True)):
             by_lang: dict[str, list] = {}
             for lang, text in part:
                 by_lang.setdefault(lang, []).append(grams(symbols(text)))
-            for lang, codes in by_lang.items():
-                gram, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": gram.astype(np.int32), "n": n})
+            for lang, found in by_lang.items():
+                codes = np.concatenate(found)
+                _, first, n = np.unique(_hashed(codes), return_index=True, return_counts=True)
+                context, last = codes[first].astype(np.int64).T
+                yield pd.DataFrame({"lang": lang, "context": context, "symbol": last.astype(np.int32), "n": n})
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -75,65 +88,109 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def gram_counts(documents: DataFrame) -> DataFrame:
-    """lang, gram, n over all documents with a language and a text."""
+    """lang, context, symbol, n over all documents with a language and a text."""
     return (
         documents.select("lang", "text")
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .mapInPandas(_count, "lang string, gram int, n long")
-        .groupBy("lang", "gram")
+        .mapInPandas(_count, "lang string, context long, symbol int, n long")
+        .groupBy("lang", "context", "symbol")
         .agg(F.sum("n").alias("n"))
     )
 
 
+class _Order:
+    """Grams of one order and language: sorted codes with counts, contexts with totals and weights.
+    Below the highest order a gram counts as often as it ends a distinct gram one order up, the
+    Kneser-Ney continuation count."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, contexts: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.n, self.d = codes[order], n[order], _discount(n)
+        self.contexts, at, kinds = np.unique(contexts, return_inverse=True, return_counts=True)
+        self.totals = np.bincount(at, n)
+        self.weights = self.d * kinds / self.totals
+
+    def p(self, codes: np.ndarray, contexts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Interpolated with ``lower``, the probabilities one order down."""
+        n = _found(self.codes, self.n, codes, 0.0)
+        total = _found(self.contexts, self.totals, contexts, 1.0)
+        return np.maximum(n - self.d, 0) / total + _found(self.contexts, self.weights, contexts, 1.0) * lower
+
+
+def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, other: float) -> np.ndarray:
+    at = np.searchsorted(keys, asked).clip(0, len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], other)
+
+
 class Model:
-    """Languages in order; sorted 4-gram codes with a row of log probabilities each; and the
-    interpolated log probabilities of trigrams and weights of contexts for all other grams."""
+    """Languages in order; for each order from 4 down to 1 the sorted codes of all grams with a row
+    of log probabilities each, and those of all contexts with a row of log weights."""
 
     def __init__(self, counts: pd.DataFrame):
         self.languages = sorted(counts.lang.unique())
-        own = [counts[counts.lang == lang] for lang in self.languages]
-        own = [(c.gram.to_numpy(np.int64), c.n.to_numpy(np.float64)) for c in own]
-        order = [np.argsort(g) for g, _ in own]
-        own = [(g[o], n[o]) for (g, n), o in zip(own, order, strict=True)]
-        self.grams = np.unique(np.concatenate([g for g, _ in own])).astype(np.uint32) if own else np.zeros(0, np.uint32)
         size = len(self.languages)
-        self.log4 = np.zeros((len(self.grams), size), np.float32)
-        self.log3 = np.zeros((SYMBOLS**3, size), np.float32)
-        self.weight = np.zeros((SYMBOLS**3, size), np.float32)
-        for k, (g, n) in enumerate(own):
-            p3 = _lower(g, 3)
-            context = g // SYMBOLS
-            total = np.bincount(context, n, SYMBOLS**3)
-            kinds = np.bincount(context, minlength=SYMBOLS**3)
-            d = _discount(n)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                weight = np.where(total > 0, d * kinds / total, 1.0)
-            self.weight[:, k], self.log3[:, k] = np.log(weight), np.log(p3)
-            union = self.grams.astype(np.int64)
-            at = np.searchsorted(g, union).clip(0, len(g) - 1)
-            seen = np.where(g[at] == union, n[at], 0.0)
-            upper = np.maximum(seen - d, 0) / np.maximum(total[union // SYMBOLS], 1)
-            self.log4[:, k] = np.log(upper + weight[union // SYMBOLS] * p3[union % SYMBOLS**3])
+        own, orders = [], []
+        for lang in self.languages:
+            rows = counts[counts.lang == lang]
+            codes = rows[["context", "symbol"]].to_numpy(np.uint64)
+            own.append((codes, rows.n.to_numpy(np.float64)))
+            orders.append([_Order(_hashed(codes), own[-1][1], codes[:, 0])])
+            below = _lower(codes)
+            for order in range(ORDER - 1, 0, -1):
+                below, n = np.unique(below, return_counts=True)
+                orders[-1].append(_Order(below, n.astype(np.float64), below >> np.uint64(BITS)))
+                below = _low(below, order - 1)
+        codes = np.concatenate([c for c, _ in own]) if own else np.zeros((0, 2), np.uint64)
+        keys, first = np.unique(_hashed(codes), return_index=True)
+        codes = codes[first]
+        tables = []
+        low = [(keys, codes[:, 0], _lower(codes))]
+        for order in range(ORDER - 1, 0, -1):
+            below = np.unique(low[-1][2])
+            low.append((below, below >> np.uint64(BITS), _low(below, order - 1)))
+        p = np.full((1, size), 1.0 / KINDS)
+        for k in range(ORDER - 1, -1, -1):
+            keys, contexts, lower = low[k]
+            rest = p[np.searchsorted(low[k + 1][0], lower)] if k < ORDER - 1 else np.repeat(p, len(keys), axis=0)
+            p = np.zeros((len(keys), size))
+            known = np.unique(contexts)
+            weights = np.zeros((len(known), size), np.float32)
+            for j, by_order in enumerate(orders):
+                p[:, j] = by_order[k].p(keys, contexts, rest[:, j])
+                weights[:, j] = np.log(_found(by_order[k].contexts, by_order[k].weights, known, 1.0))
+            tables.append((keys, np.log(p).astype(np.float32), known, weights))
+        self.tables = tables[::-1]
         # Calibration from all counts: mean and spread of -log p of a language's own grams, and
         # half the way to the language that its model explains best after it.
         self.mean, self.spread = np.zeros(size), np.zeros(size)
-        cross = np.full((size, size), np.log(SYMBOLS))
+        cross = np.full((size, size), np.log(KINDS))
         for j, (g, n) in enumerate(own):
-            cost = -self.log4[np.searchsorted(self.grams, g)].astype(np.float64)
+            cost = -self.tables[0][1][np.searchsorted(self.tables[0][0], _hashed(g))].astype(np.float64)
             share = n / n.sum()
             cross[j] = share @ cost
             self.mean[j] = cross[j, j]
             self.spread[j] = np.sqrt(max(share @ (cost[:, j] - self.mean[j]) ** 2, 0))
         other = cross + np.where(np.eye(size, dtype=bool), np.inf, 0)
-        nearest = np.minimum(other.min(axis=0, initial=np.inf), np.log(SYMBOLS))
+        nearest = np.minimum(other.min(axis=0, initial=np.inf), np.log(KINDS))
         self.slack = np.maximum(nearest - self.mean, 0) / 2
 
     def costs(self, codes: np.ndarray) -> np.ndarray:
-        """-log p of each gram, a column per language."""
-        out = -(self.weight[codes >> np.uint32(BITS)] + self.log3[codes & np.uint32(SYMBOLS**3 - 1)])
-        at = np.searchsorted(self.grams, codes).clip(0, len(self.grams) - 1)
-        hit = self.grams[at] == codes
-        out[hit] = -self.log4[at[hit]]
+        """-log p of each gram, a column per language: from the highest order that any language has
+        the gram of, times the weights of the contexts above it."""
+        out = np.zeros((len(codes), len(self.languages)), np.float32)
+        left, key, context, lower = np.arange(len(codes)), _hashed(codes), codes[:, 0], _lower(codes)
+        for order, (keys, logs, known, weights) in zip(range(ORDER, 0, -1), self.tables, strict=True):
+            at = np.searchsorted(keys, key).clip(0, len(keys) - 1)
+            hit = keys[at] == key
+            out[left[hit]] -= logs[at[hit]]
+            left, context, key = left[~hit], context[~hit], lower[~hit]
+            if not len(left):
+                return out
+            at = np.searchsorted(known, context).clip(0, len(known) - 1)
+            seen = known[at] == context
+            out[left[seen]] -= weights[at[seen]]
+            context, lower = key >> np.uint64(BITS), _low(key, max(order - 2, 0))
+        out[left] += np.float32(np.log(KINDS))
         return out
 
     def judge(self, texts: list[str | None]) -> list[tuple]:
@@ -161,25 +218,15 @@ def _discount(n: np.ndarray) -> float:
     return one / (one + 2 * two) if one and two else 0.5
 
 
-def _lower(kinds: np.ndarray, order: int) -> np.ndarray:
-    """Interpolated probability of every gram of the order. ``kinds`` are the distinct grams one
-    order up: a gram counts as often as it ends one of them, the Kneser-Ney continuation count."""
-    size = SYMBOLS**order
-    counts = np.bincount(kinds % size, minlength=size).astype(np.float64)
-    context = np.arange(size) // SYMBOLS
-    total = np.bincount(context, counts, size // SYMBOLS)
-    types = np.bincount(context, counts > 0, size // SYMBOLS)
-    d = _discount(counts)
-    lower = np.full(size, 1.0 / SYMBOLS)
-    if order > 1:
-        lower = _lower(np.unique(kinds % size), order - 1)[np.arange(size) % (size // SYMBOLS)]
-    weight = np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
-    return np.maximum(counts - d, 0) / np.maximum(total[context], 1) + weight[context] * lower
+def _lower(codes: np.ndarray) -> np.ndarray:
+    """The trigram that ends each 4-gram."""
+    return (_low(codes[:, 0], ORDER - 2) << np.uint64(BITS)) | codes[:, 1]
 
 
 def train(documents: DataFrame) -> Model:
-    """A model of every language among ``documents`` (lang, text). The driver receives at most
-    2**24 grams a language, whatever the size of the corpus."""
+    """A model of every language among ``documents`` (lang, text). The driver receives the
+    distinct grams of each language, and every task the tables made of them: they grow with the
+    letters and words of the languages, and nothing is left out to bound them."""
     return Model(gram_counts(documents).toPandas())
 
 

@@ -302,6 +302,20 @@ def test_kneser_ney_equals_its_definition(spark, languages):
         assert abs(got - want) < 1e-4
 
 
+def test_every_letter_is_its_own(spark):
+    """Languages that differ by letters which one of 64 symbols held before."""
+    from skyloom.llm.language_id import symbols
+
+    for letters in ("äöüßàáâèéêìíòóôùúñçøåæœ", "абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґ", "あいうえお学生中国日本", "𠀀𠀁𠀂"):
+        assert len(set(symbols(letters).tolist()) - {0}) == len(letters)
+    rng = random.Random(5)
+    alphabets = {"v": "abö", "w": "abß", "x": "abê", "y": "abá"}
+    rows = [(i, words(rng, alphabets[lang], 8), lang) for i in range(400) for lang in [rng.choice("vwxy")]]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    out = [(got[i].lang_pred, lang) for i, _, lang in rows if got[i].held_out]
+    assert len(out) > 50 and all(a == b for a, b in out)
+
+
 def test_gram_counts_are_whole(spark, languages):
     df = spark.createDataFrame(languages, "doc_id long, text string, lang string")
     from skyloom.llm.language_id import symbols
