@@ -20,22 +20,23 @@ SHARD_ROWS, QUERY_ROWS, BLOCK_ROWS = 4096, 1024, 128
 
 def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
     """vec_id, v: floor(scale * x). Vectors that are null or hold null, NaN or infinite
-    components and rows without an id are left out; of rows with one id the smallest counts."""
+    components and rows without an id are left out. Rows that share an id but not the vector all
+    count; rows that are equal in both count once."""
     ok = F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf"))
     )
     return (
         vectors.select("vec_id", "embedding")
         .filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok)
-        .groupBy("vec_id")
-        .agg(F.min("embedding").alias("embedding"))
+        .distinct()
         .select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
     )
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by ``every`` the
-    ``k`` other vectors of highest integer inner product, ties to the smaller id.
+    ``k`` vectors of other ids of highest integer inner product, ties to the smaller id. Vectors of
+    one id are ranked each, and queries of one id together, as in the SQL.
 
     Vectors of unequal length are taken as padded with zeros. Fewer candidates give fewer rows;
     an empty table gives none. Scores must fit 64 bits. Other columns are ignored.
@@ -110,10 +111,13 @@ def _search(docs: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
             who = active[block == b]
             rows = slice(starts[b], starts[b] + BLOCK_ROWS)
             scores = asked[who] @ forward[rows].T
+            own = ids[rows][None, :] == query_ids[who][:, None]
             least = kth[who]
-            if scores.shape[1] > k:  # the query's own row may be among the best
-                least = np.maximum(least, np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)])
-            q, d = np.nonzero((scores >= least[:, None]) & (ids[rows][None, :] != query_ids[who][:, None]))
+            if scores.shape[1] > k:  # rows of the query's id don't count among the best
+                lowest = -np.inf if scores.dtype == np.float64 else np.iinfo(np.int64).min
+                others = np.where(own, lowest, scores)
+                least = np.maximum(least, np.partition(others, -k, axis=1)[:, -k])
+            q, d = np.nonzero((scores >= least[:, None]) & ~own)
             found.append((who[q], ids[rows][d], scores[q, d].astype(np.int64)))
         held = _best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
         at, n = np.unique(held[0], return_counts=True)

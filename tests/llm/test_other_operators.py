@@ -402,3 +402,18 @@ def test_search_equals_brute_force(spark, monkeypatch, kind):
     assert sorted(map(tuple, got)) == sorted(want)
     few = df.filter("vec_id in (0, 1, 2)")
     assert search.top_k(few, k=7).count() == 2 and search.top_k(df.limit(0), k=7).count() == 0
+
+
+def test_search_keeps_vectors_that_share_an_id(spark, monkeypatch):
+    """As the SQL has it: each vector of an id is a candidate, queries of one id are ranked together."""
+    monkeypatch.setattr(search, "SHARD_ROWS", 60)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 16)
+    rng = random.Random(9)
+    rows = [(i // 3, [float(rng.randrange(-9, 9)) for _ in range(6)]) for i in range(240)]
+    rows += [(20, [30.0 + i] * 6) for i in range(9)]
+    got = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=7, every=20, scale=1).collect()
+    want = []
+    for q in (0, 20, 40, 60):
+        scores = [(-sum(a * b for a, b in zip(v, w)), i) for j, v in rows if j == q for i, w in rows if i != q]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:7])]
+    assert sorted(map(tuple, got)) == sorted(want)
