@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm import (
+    conversation_repair,
     decontaminate,
     html_extract,
     language_id,
     line_dedup,
     near_dedup,
     packing,
+    resampling,
     secret_scan,
     token_counts,
     top_k,
@@ -181,3 +183,122 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 @query("op10_top_k", TOP_SQL)
 def op10(spark, sf_dir):
     return top_k.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+# Checksum table, and the checksum of a list of bytes by it.
+CRC_TABLE = """crc_table AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) r(i))
+)"""
+CRC = """xor(list_reduce([4294967295] || {bytes}, lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)"""
+
+# A row's cheapest (cost, edits, text) for each of the four states; equal costs go by the edits.
+REPAIR_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, numbered AS (
+    SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                          lambda x: CAST(ascii(x) AS BIGINT)) AS bytes
+    FROM conversations
+), kinds AS (
+    SELECT n.*, {CRC.format(bytes="bytes")} % 20 AS kind FROM numbered n, crc_table
+), damaged AS (
+    SELECT g, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM kinds
+), placed AS (
+    SELECT *, row_number() OVER w AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER w AS before,
+           row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+           rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+    FROM damaged WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy)
+), faults AS (
+    SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                   WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+           before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au') AS illegal
+    FROM placed
+), steps AS (
+    SELECT g, i, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' ELSE initial END AS c,
+           CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra, role, text FROM faults
+), costs AS (
+    SELECT g, CAST(0 AS BIGINT) AS i, {{'c': 0, 'e': '', 't': ''}} AS n, {{'c': 1000000, 'e': '', 't': ''}} AS s,
+           {{'c': 5, 'e': 'I', 't': chr(10) || 'user:'}} AS u,
+           {{'c': 10, 'e': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS a
+    FROM (SELECT DISTINCT g FROM numbered)
+    UNION ALL
+    SELECT g, i, n, s, u, list_sort([a, {{'c': u.c + 5, 'e': u.e || 'I', 't': u.t || chr(10) || 'assistant:'}}])[1] AS a
+    FROM (
+        SELECT g, i, n, s, a, list_sort([u] || list_transform([n, s, a], lambda x:
+                   {{'c': x.c + 5, 'e': x.e || 'I', 't': x.t || chr(10) || 'user:'}}))[1] AS u
+        FROM (
+            SELECT b.g, p.i,
+                   {{'c': n.c + 2, 'e': n.e || 'D', 't': n.t}} AS n,
+                   list_sort([{{'c': s.c + 2, 'e': s.e || 'D', 't': s.t}}] || CASE WHEN p.c = 's' THEN
+                       [{{'c': n.c + extra, 'e': n.e || 'K', 't': n.t || chr(10) || role || ':' || text}}] ELSE [] END)[1] AS s,
+                   list_sort([{{'c': u.c + 2, 'e': u.e || 'D', 't': u.t}}] || CASE WHEN p.c = 'u' THEN
+                       list_transform([n, s, a], lambda x: {{'c': x.c + extra, 'e': x.e || 'K', 't': x.t || chr(10) || role || ':' || text}}) ELSE [] END
+                       || CASE WHEN p.c <> 'x' THEN
+                       list_transform([n, s, a], lambda x: {{'c': x.c + 1 + extra, 'e': x.e || 'R', 't': x.t || chr(10) || 'user:' || text}}) ELSE [] END)[1] AS u,
+                   list_sort([{{'c': a.c + 2, 'e': a.e || 'D', 't': a.t}}] || CASE WHEN p.c = 'a' THEN
+                       [{{'c': u.c + extra, 'e': u.e || 'K', 't': u.t || chr(10) || role || ':' || text}}] ELSE [] END
+                       || CASE WHEN p.c <> 'x' THEN
+                       [{{'c': u.c + 1 + extra, 'e': u.e || 'R', 't': u.t || chr(10) || 'assistant:' || text}}] ELSE [] END)[1] AS a
+            FROM costs b JOIN steps p ON p.g = b.g AND p.i = b.i + 1))
+), best AS (
+    SELECT g, list_sort([n, a])[1] AS b FROM costs c WHERE i = (SELECT coalesce(max(i), 0) FROM steps s WHERE s.g = c.g)
+), counts AS (
+    SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank,
+           count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(illegal) AS illegal
+    FROM faults GROUP BY g
+)
+SELECT k.conv_id, CAST(coalesce(f.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(f.blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(f.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(f.truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(f.illegal, 0) AS BIGINT) AS illegal, CAST(b.c AS BIGINT) AS cost, b.e AS audit,
+       sha256(substr(b.t, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM numbered) k JOIN best USING (g) LEFT JOIN counts f USING (g)
+"""
+
+
+@query("op11_conversation_repair", REPAIR_SQL)
+def op11(spark, sf_dir):
+    return conversation_repair.repair_report(read(spark, sf_dir, "conversations"))
+
+
+RESAMPLE_SQL = f"""
+WITH {CRC_TABLE}, words AS (
+    SELECT row, doc_id, item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM (SELECT row_number() OVER () AS row, doc_id, false AS item, text FROM documents
+          UNION ALL SELECT NULL, NULL, true, text FROM benchmark)
+), features AS (
+    SELECT row, item, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words
+), hex AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)),
+bytes AS (SELECT f, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM hex),
+buckets AS (SELECT f, {CRC.format(bytes="bytes")} % 10000 AS bucket FROM bytes, crc_table),
+counts AS (
+    SELECT bucket, count_if(NOT item) AS s, count_if(item) AS t, sum(count_if(NOT item)) OVER () AS all_s, sum(count_if(item)) OVER () AS all_t
+    FROM features JOIN buckets USING (f) GROUP BY bucket
+), gains AS (
+    SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(all_s + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(all_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+    FROM counts
+), means AS (
+    SELECT row, count(*) AS n, sum(gain) AS total FROM features JOIN buckets USING (f) JOIN gains USING (bucket) WHERE NOT item GROUP BY row
+), weighed AS (
+    SELECT doc_id, len(w) AS n_words, coalesce(m.n, 0) AS n_features,
+           CAST(CASE WHEN m.n IS NULL THEN 0 WHEN total >= 0 THEN total // m.n ELSE -((-total + m.n - 1) // m.n) END AS BIGINT) AS weight,
+           CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+    FROM words LEFT JOIN means m USING (row) WHERE NOT item
+), scores AS (
+    SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM weighed
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place,
+           count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scores
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query("op13_importance_resample", RESAMPLE_SQL)
+def op13(spark, sf_dir):
+    ranks = resampling.resampling_ranks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
