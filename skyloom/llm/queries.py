@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyloom.llm import (
     conversation_repair,
@@ -16,6 +17,7 @@ from skyloom.llm import (
     packing,
     resampling,
     secret_scan,
+    substring_dedup,
     token_counts,
     top_k,
     url_filters,
@@ -264,6 +266,34 @@ def op11(spark, sf_dir):
     return conversation_repair.repair_report(read(spark, sf_dir, "conversations"))
 
 
+SUBSTRING_SQL = """
+WITH words AS (
+    SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), placed AS (SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+windows AS (
+    SELECT row, i, sha256(array_to_string(w[i:i + 34], ' ')) AS s
+    FROM (SELECT row, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)
+), again AS (
+    SELECT row, i FROM windows JOIN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1) USING (s)
+), covered AS (
+    SELECT p.row, p.i, word, coalesce(max(a.i) OVER (PARTITION BY p.row ORDER BY p.i) >= p.i - 34, false) AS gone
+    FROM placed p LEFT JOIN again a ON a.row = p.row AND a.i = p.i
+), kept AS (
+    SELECT row, count(*) AS n, count_if(gone) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS t
+    FROM covered GROUP BY row
+)
+SELECT doc_id, coalesce(n, 0) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (row)
+"""
+
+
+@query("op12_substring_dedup", SUBSTRING_SQL)
+def op12(spark, sf_dir):
+    kept = substring_dedup.dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 RESAMPLE_SQL = f"""
 WITH {CRC_TABLE}, words AS (
     SELECT row, doc_id, item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
