@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import carried, column, text_hash
+from skyloom.llm.common import carried, column, fresh, text_hash
 from skyloom.storage import stage
 
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 2, 20, 25, 7
@@ -201,7 +201,6 @@ def resample(documents: DataFrame, target: DataFrame, **parameters) -> DataFrame
     """The drawn rows of ``documents`` with their columns; rows equal in id and text share the
     outcome."""
     ranks = resampling_ranks(documents, target, **parameters).filter(F.col("rank").isNotNull())
-    ranks = ranks.select(F.col("doc_id").alias("drawn_id"), F.col("text_key").alias("drawn_key"))
-    return documents.join(
-        ranks, documents["doc_id"].eqNullSafe(F.col("drawn_id")) & text_hash().eqNullSafe(F.col("drawn_key")), "left_semi"
-    )
+    doc, key = (fresh(documents, n) for n in ("drawn_id", "drawn_key"))
+    ranks = ranks.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
+    return documents.join(ranks, F.col("doc_id").eqNullSafe(F.col(doc)) & text_hash().eqNullSafe(F.col(key)), "left_semi")

@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 
 def test_all_are_registered():
     names = set(contract.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in names if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in names if q.startswith("op")}
     assert "pipeline" in names and set(QUERIES) <= names
 
 
