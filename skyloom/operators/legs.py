@@ -25,6 +25,14 @@ def valid_legs(records: DataFrame, strict: bool = False) -> DataFrame:
     return records.filter(is_valid(strict))
 
 
+def cancelled_legs(records: DataFrame) -> DataFrame:
+    """Records with a whole key that were cancelled: a side table, as legs hold what flew."""
+    whole = F.col("cancelled") == 1
+    for column in LEG_KEY:
+        whole = whole & F.col(column).isNotNull()
+    return records.filter(whole)
+
+
 def project_legs(records: DataFrame) -> DataFrame:
     """The fifteen leg columns. Both arrival clocks are put on the departure date here;
     ``offsets.utc_times`` moves the scheduled one to the date it belongs to."""

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import connections as conn
 from skyloom.operators import legs as leg
-from skyloom.operators import network, offsets
+from skyloom.operators import network, offsets, rotations
 from skyloom.operators.requests import request_workload
 from skyloom.operators.search import search
+from skyloom.sources.fleet_records import FLEET_FIRST, fleet_records
 from skyloom.sources.order_records import STATIONS, order_records
 from skyloom.sources.tables import one_per_key
 from skyloom.storage import shared_root, stage
@@ -86,6 +87,10 @@ class Tables:
     def answers(self, **columns) -> DataFrame:
         return search(self.workload(**columns), self.legs, self.connections, built=self.built)
 
+    @cached_property
+    def fleet(self) -> Fleet:
+        return Fleet(self.spark, self.sf_dir)
+
     @cached_property
     def month_files(self) -> str:
         """A folder of CSV files of the records as text, two months of different headers, with
@@ -167,3 +172,33 @@ class Tables:
             F.col("ts").alias("at"),
             F.col("event_type").alias("kind"),
         )
+
+
+class Fleet(Tables):
+    """The same tables from the records of aircraft rotations over two months."""
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return stage(fleet_records(self.spark, self.sf_dir), "fleet-records")
+
+    @cached_property
+    def solution(self) -> offsets.Solution:
+        """Solved once for all dates: no station changes its clock, and a date has few legs a pair."""
+        once = self.loaded.withColumn("flightdate", F.lit(FLEET_FIRST).cast("date"))
+        return offsets.solve_offsets(offsets.offset_deltas(once), dates=once.select("flightdate").distinct())
+
+    @cached_property
+    def offsets(self) -> DataFrame:
+        solved = offsets.require_solved(self.solution).drop("flightdate")
+        ends = self.records.select(F.to_date("flightdate").alias("flightdate"), "origin", "dest")
+        return stage(leg.airports_per_date(ends).join(solved, F.col("code") == F.col("airport")).drop("code"), "fleet-offsets")
+
+    @cached_property
+    def cancelled(self) -> DataFrame:
+        """Cancelled legs with UTC times, beside the flown ones."""
+        missed = stage(one_per_key(leg.project_legs(leg.cancelled_legs(self.records))), "fleet-cancelled")
+        return offsets.utc_times(missed, self.offsets)
+
+    @cached_property
+    def rotations(self) -> DataFrame:
+        return rotations.rotations(self.legs)
