@@ -323,58 +323,97 @@ def itinerary_audit(itineraries: DataFrame, min_layover: int = 45, max_layover:
 
 
 def chain_check(legs: DataFrame, connections: DataFrame, max_stops: int = 3) -> DataFrame:
-    """Over every chain of 1..max_stops connections: does each leg start where the last ended?"""
-    starts = legs.select("flightdate", "origin").distinct()
-    starts = starts.withColumn("earliest", F.lit(None).cast("timestamp_ntz")).withColumn(
-        "deepest", F.lit(max_stops)
+    """Over every chain of 1..max_stops connections: how many have a leg that does not start where
+    the one before ended, by the ends that the legs themselves state.
+
+    Each edge is judged once, by its two legs; chains are counted, not listed: those of all edges,
+    less those of sound edges only. A leg that is not in the table has no ends.
+    """
+    ends = legs.select("flightdate", leg_id().alias("leg"), "origin", "dest")
+    first = ends.select("flightdate", F.col("leg").alias("from_leg"), F.col("dest").alias("ends_at"))
+    second = ends.select("flightdate", F.col("leg").alias("to_leg"), F.col("origin").alias("starts_at"))
+    edges = connections.select("flightdate", "from_leg", "to_leg")
+    edges = edges.join(first, ["flightdate", "from_leg"], "left").join(second, ["flightdate", "to_leg"], "left")
+    sound = F.coalesce(F.col("ends_at") == F.col("starts_at"), F.lit(False))
+    edges = stage(edges.select("flightdate", "from_leg", "to_leg", sound.alias("sound")), "judged-edges")
+    level = edges.groupBy("flightdate", F.col("to_leg").alias("last")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("sound").alias("good")
     )
-    level = first_legs(legs, starts)
     counts = []
     for stops in range(1, max_stops + 1):
-        level = extend(level, connections, acyclic=False)
+        if stops > 1:
+            hop = edges.withColumnRenamed("from_leg", "last")
+            level = level.join(hop, ["flightdate", "last"]).groupBy("flightdate", F.col("to_leg").alias("last")).agg(
+                F.sum("n").alias("n"), F.sum(F.when(F.col("sound"), F.col("good")).otherwise(0)).alias("good")
+            )
         if stops < max_stops:
-            level = stage(level, f"chains-{stops}")
-        counts.append(
-            level.agg(F.count("*").alias("chains"), F.count_if(~_contiguous()).alias("broken"))
-            .withColumn("stops", F.lit(stops))
-        )
+            level = stage(level, f"chain-counts-{stops}")
+        total, good = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))
+        counts.append(level.agg(total.alias("chains"), (total - good).alias("broken")).withColumn("stops", F.lit(stops)))
     return reduce(DataFrame.unionByName, counts)
 
 
-def _contiguous() -> Column:
-    """The ends each leg states for itself, against the route the path collected."""
-    route = _route_list()
-    ends = F.concat_ws(SEP, F.split_part("last", F.lit("|"), F.lit(3)), F.split_part("last", F.lit("|"), F.lit(4)))
-    return F.concat_ws(SEP, F.slice(route, -2, 2)) == ends
-
-
 def cyclic_census(
     legs: DataFrame, connections: DataFrame, max_stops: int = 3, origin: str | None = None, dest: str | None = None
 ) -> DataFrame:
-    """Unguarded chains per date and depth: how many enter an airport twice, and how many
-    come back to the start."""
-    starts = legs.select("flightdate", "origin").distinct()
-    if origin:
-        starts = starts.filter(F.col("origin") == origin)
-    starts = starts.withColumn("earliest", F.lit(None).cast("timestamp_ntz")).withColumn(
-        "deepest", F.lit(max_stops)
+    """Unguarded chains per date and depth: how many enter an airport twice, and how many come back
+    to the start. Chains are counted by (start, last leg), none is listed.
+
+    Along a chain r0, r1, ... neighbours differ and no connection goes straight back, so with up
+    to three stops only r3 = r0, r4 = r0 and r4 = r1 can happen; of these only the first and the
+    last together. Hence cyclic = |r3 = r0| + |r4 = r0| + |r4 = r1| - |both|.
+    """
+    if max_stops > 3:
+        raise ValueError("the census is worked out for up to three stops")
+    day = ["flightdate"]
+    start = F.col("from_origin")
+    hops = stage(
+        connections.select("flightdate", "from_leg", "to_leg", "from_origin", "hub", "to_dest"), "census-edges"
     )
-    levels = [first_legs(legs, starts)]
-    for stops in range(1, max_stops + 1):
-        level = extend(levels[-1], connections, acyclic=False)
-        levels.append(stage(level, f"census-{stops}") if stops < max_stops else level)
-    counts = []
-    for stops, level in enumerate(levels):
-        rows = level.filter(F.col("at") == dest) if dest else level
-        route = _route_list()
-        again = F.array_contains(F.slice(route, 2, stops + 1), F.col("start"))
-        counts.append(
-            rows.groupBy("flightdate")
-            .agg(
-                F.count("*").alias("chains"),
-                F.count_if(F.size(route) != F.size(F.array_distinct(route))).alias("cyclic"),
-                F.count_if(again).alias("back_to_origin"),
-            )
-            .withColumn("stops", F.lit(stops))
-        )
-    return reduce(DataFrame.unionByName, counts)
+    first = hops.filter(start == origin) if origin else hops
+    # What is counted ends at ``dest``, if one is asked for.
+    at_end = hops.filter(F.col("to_dest") == dest) if dest else hops
+    out = at_end.groupBy("flightdate", F.col("from_leg").alias("last")).agg(F.count(F.lit(1)).alias("out"))
+
+    def total(rows: DataFrame, stops: int, column: str, value: Column) -> DataFrame:
+        return rows.groupBy(*day).agg(F.sum(value).alias("value")).select(*day, F.lit(stops).alias("stops"), F.lit(column).alias("what"), "value")
+
+    def closing(rows: DataFrame, edges: DataFrame, home: str) -> DataFrame:
+        """One more leg, into the airport ``home`` of each row."""
+        edge = edges.select("flightdate", F.col("from_leg").alias("last"), F.col("to_dest").alias(home), F.col("to_leg").alias("next"))
+        return rows.join(edge, ["last", home, "flightdate"])
+
+    flown = legs.filter(F.col("origin") == origin) if origin else legs
+    flown = flown.filter(F.col("dest") == dest) if dest else flown
+    parts = [total(flown, 0, "chains", F.lit(1))]
+    # (start, second airport, last leg) after one connection.
+    one = first.groupBy("flightdate", start.alias("start"), F.col("hub").alias("second"), F.col("to_leg").alias("last")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    if max_stops >= 1:
+        parts.append(total(first.filter(F.col("to_dest") == dest) if dest else first, 1, "chains", F.lit(1)))
+    if max_stops >= 2:
+        one = stage(one, "census-1")
+        parts.append(total(one.join(out, ["last", "flightdate"]), 2, "chains", F.col("n") * F.col("out")))
+        parts.append(total(closing(one, at_end, "start"), 2, "home", F.col("n")))
+    if max_stops >= 3:
+        hop = hops.select("flightdate", F.col("from_leg").alias("last"), F.col("to_leg").alias("next"))
+        two = one.join(hop, ["last", "flightdate"]).groupBy("flightdate", "start", F.col("next").alias("last")).agg(F.sum("n").alias("n"))
+        two = stage(two, "census-2")
+        parts.append(total(two.join(out, ["last", "flightdate"]), 3, "chains", F.col("n") * F.col("out")))
+        home = closing(one, hops, "start").groupBy("flightdate", "start", "second", F.col("next").alias("last")).agg(F.sum("n").alias("n"))
+        home = stage(home, "census-home")  # r3 = r0
+        parts.append(total(home.join(out, ["last", "flightdate"]), 3, "home", F.col("n") * F.col("out")))
+        parts.append(total(closing(two, at_end, "start"), 3, "home", F.col("n")))  # r4 = r0
+        # r4 = r1: the chain from the second leg on comes home, once for each way into that leg.
+        into = one.groupBy("flightdate", F.col("last").alias("from_leg")).agg(F.sum("n").alias("n"))
+        later = hops.join(into, ["from_leg", "flightdate"]).groupBy("flightdate", F.col("from_origin").alias("second"), F.col("to_leg").alias("last"))
+        parts.append(total(closing(later.agg(F.sum("n").alias("n")), at_end, "second"), 3, "second", F.col("n")))
+        parts.append(total(closing(home, at_end, "second"), 3, "both", F.col("n")))
+    part = lambda *names: F.sum(F.when(F.col("what").isin(*names), F.col("value")).otherwise(0))
+    found = reduce(DataFrame.unionByName, parts).groupBy("flightdate", "stops").agg(
+        part("chains").alias("chains"),
+        (part("home", "second") - part("both")).alias("cyclic"),
+        part("home").alias("back_to_origin"),
+    )
+    return found.filter(F.col("chains") > 0)
