@@ -39,6 +39,15 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(table: DataFrame) -> None:
+    """Remove a stage table that nothing will read any more; only tables of ``stage`` are removed."""
+    spark = table.sparkSession
+    own = f"/skyloom/{spark.sparkContext.applicationId}/"
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if own in folder:
+            drop_path(spark, folder)
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Remove the stage tables of this application; none of its results may be read after."""
     drop_path(spark, f"{shared_root(spark)}/skyloom/{spark.sparkContext.applicationId}")
