@@ -9,13 +9,16 @@ at the last level at which any letter is left, one of them is the window's symbo
 hash, where a letter of k words counts as 4^k hashes, so that mostly long, rare ones are taken.
 
 The names are hashes of 64 bits, alike everywhere without a job that deals them out: a name that
-two contents share by chance only makes more windows meet. Contents are compared by 128 bits.
+two contents share by chance only makes more windows meet. Stretches are compared by name and 64
+further bits, windows by 128 bits.
 
 Neighbouring windows with the same occurrence of a symbol form a stretch. Spark counts symbols over
 the corpus; stretches of a symbol that occurs once hold no repeat and are dropped. The others are
-compared as wholes: stretches that are equal in all words repeat in all windows. Only where one
-symbol has several different stretches, single windows of one stretch each are compared. As the
-symbol is a function of the window, equal windows always meet, and the result is exact.
+compared as wholes: stretches that are equal in all words repeat in all windows. Where one symbol
+has several different stretches, those are left that share the words on one side of it: a window
+holds half of its other words before its symbol or half of them after it. Of one of each kind of
+these the single windows are compared. As the symbol is a function of the window, equal windows
+always meet, and the result is exact.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import CACHE_WORDS, carried, column, fresh, mixed, schema_of, text_hash
-from skyloom.storage import stage
+from skyloom.storage import drop_stage, stage
 
 WINDOW = 35
 #: Rounds; more make longer symbols, and more of them.
@@ -80,10 +83,10 @@ def _least(rank: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         power *= 2
 
 
-def symbols(names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name, level and place of the symbol of every window of the letters ``names``."""
+def symbols(names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Name, level, place and words of the symbol of every window of the letters ``names``."""
     n = len(names) - window + 1
-    symbol, level, place = np.zeros(n, np.uint64), np.zeros(n, np.int8), np.zeros(n, np.int64)
+    symbol, level, place, wide = np.zeros(n, np.uint64), np.zeros(n, np.int8), np.zeros(n, np.int64), np.zeros(n, np.int64)
     alive = np.arange(n)
     first, last = alive.copy(), alive + window - 1
     start, words = np.arange(len(names)), np.ones(len(names), np.uint64)
@@ -99,10 +102,10 @@ def symbols(names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
         if ends.any():
             rank = mixed(names) >> np.minimum(words * _U(2), _U(62))
             at = _least(rank, first[ends], last[ends])
-            symbol[alive[ends]], level[alive[ends]], place[alive[ends]] = names[at], depth, start[at]
+            symbol[alive[ends]], level[alive[ends]], place[alive[ends]], wide[alive[ends]] = names[at], depth, start[at], words[at]
         alive, first, last = alive[~ends], after[~ends], before[~ends]
         if not len(alive):
-            return symbol, level, place
+            return symbol, level, place, wide
         begin = np.flatnonzero(cut)
         end = np.r_[begin[1:], len(names)]
         rights = np.add.reduceat(right.astype(np.int64), begin)
@@ -112,11 +115,11 @@ def symbols(names: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
         start, words = start[begin], np.add.reduceat(words, begin)
 
 
-def hashed(lanes: tuple[np.ndarray, np.ndarray], start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of the ``size`` words from each ``start``: of the two pieces of the largest
-    power of two that cover them, whose hashes come from those of half the length."""
+def hashed(lanes: tuple[np.ndarray, ...], start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """A 64-bit hash by each lane of the ``size`` words from each ``start``: of the two pieces of the
+    largest power of two that cover them, whose hashes come from those of half the length."""
     out = []
-    for lane, odd in zip(lanes, _LANES, strict=True):
+    for lane, odd in zip(lanes, _LANES, strict=False):
         found, power, now = np.zeros(len(start), np.uint64), 1, mixed(lane ^ odd)
         while True:
             hit = (size >= power) & (size < 2 * power)
@@ -159,45 +162,76 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _half(lane: np.ndarray, start: np.ndarray, size: np.ndarray, there: np.ndarray) -> pa.Array:
+    """32 bits of the hash of the words on one side of a symbol, null where no window has them all."""
+    found = np.zeros(len(start), np.int32)
+    found[there] = hashed((lane,), start[there], size[there])[0].astype(np.uint32).view(np.int32)
+    return pa.array(found, mask=~there)
+
+
 def _stretches(window: int):
     words = Words()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for held, row, place, at in chunks(column(batch, "body"), window):
-                lanes = words.hashes(held)
-                name, level, symbol_at = (x[at] for x in symbols(lanes[0], window))
+                lane = words.hashes(held)[0]
+                name, level, symbol_at, wide = (x[at] for x in symbols(lane, window))
                 new = np.ones(len(at), bool)
                 new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (level[1:] != level[:-1]) | (symbol_at[1:] != symbol_at[:-1])
                 begin = np.flatnonzero(new)
                 n = np.diff(np.r_[begin, len(at)])
-                context = hashed(lanes, at[begin], n + window - 1)
+                left, right = symbol_at[begin], symbol_at[begin] + wide[begin]
+                half = np.maximum((window - wide[begin] + 1) // 2, 1)
                 yield carried(
-                    batch, ["doc_id", "text_key"], row[begin].tolist(), symbol=_signed(name[begin]), c1=_signed(context[0]),
-                    c2=_signed(context[1]), first=pa.array(place[begin], pa.int32()), n=pa.array(n, pa.int32()),
+                    batch, ["doc_id", "text_key"], row[begin].tolist(),
+                    symbol=_signed(name[begin]), content=_signed(hashed((lane,), at[begin], n + window - 1)[0]),
+                    n=pa.array(n, pa.int32()), first=pa.array(place[begin], pa.int32()),
+                    before=_half(lane, left - half, half, left - at[begin] >= half),
+                    after=_half(lane, right, half, at[begin] + n - 1 + window - right >= half),
                 )
 
     return run
 
 
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.StructArray]:
+    """How many structs each row's list holds, and all of them."""
+    lists = batch.column(batch.schema.get_field_index(name))
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), lists.flatten()
+
+
 def _windows(window: int):
     words = Words()
 
+    def made(batch, texts, rows, first, single):
+        """Hashes of the windows that start at the words ``first`` of the texts ``rows``."""
+        start = np.cumsum([0, *[len(t) for t in texts[:-1]]])
+        found, inverse = np.unique(rows, return_inverse=True)
+        lanes = words.hashes([w for t in texts for w in t])
+        w = hashed(lanes, start[inverse] + first, np.full(len(first), window))
+        assert len(found) == len(texts)
+        return carried(
+            batch, ["doc_id", "text_key"], rows.tolist(), w1=_signed(w[0]), w2=_signed(w[1]),
+            first=pa.array(first, pa.int32()), single=pa.array(single),
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = column(batch, "runs")
-            for row, text in enumerate(column(batch, "body")):
-                held = text.split()
-                lanes = words.hashes(held)
-                first = np.array([r["first"] for r in runs[row]])
-                n = np.array([r["n"] for r in runs[row]])
-                single = np.repeat(np.array([r["single"] for r in runs[row]]), n)
-                at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                w = hashed(lanes, at, np.full(len(at), window))
-                yield carried(
-                    batch, ["doc_id", "text_key"], [row] * len(at), w1=_signed(w[0]), w2=_signed(w[1]),
-                    first=pa.array(at, pa.int32()), single=pa.array(single),
-                )
+            counts, runs = _flat(batch, "runs")
+            n = runs.field("n").to_numpy()
+            row = np.repeat(np.repeat(np.arange(len(counts)), counts), n)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            first = np.repeat(runs.field("first").to_numpy(), n) + within
+            single = np.repeat(runs.field("single").to_numpy(zero_copy_only=False), n)
+            held, size, begin = [], 0, 0
+            edges = np.searchsorted(row, np.arange(len(counts) + 1))
+            for k, text in enumerate(column(batch, "body")):
+                held.append(text.split())
+                size += len(held[-1])
+                if size >= CHUNK or k == len(counts) - 1:
+                    part = slice(edges[begin], edges[k + 1])
+                    yield made(batch, held, row[part], first[part], single[part])
+                    held, size, begin = [], 0, k + 1
 
     return run
 
@@ -219,32 +253,34 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     keyed = _keyed(documents).filter(F.col("body").isNotNull())
     place = f"doc_id {kind}, text_key long"
-    found = keyed.mapInArrow(_stretches(window), f"{place}, symbol long, c1 long, c2 long, first int, n int")
+    schema = f"{place}, symbol long, content long, n int, first int, before int, after int"
+    found = keyed.mapInArrow(_stretches(window), schema)
     found = stage(found.withColumn("id", F.monotonically_increasing_id()), "substring-stretches")
     shared = stage(
         found.groupBy("symbol").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("symbol"), "substring-symbols"
     )
     # One column as the key, so that what is dealt by symbol is dealt anew for the sums by class.
-    known = stage(
-        found.withColumn("class", F.struct("symbol", "c1", "c2", "n")).join(shared, "symbol", "left_semi").drop("c1", "c2"),
-        "substring-shared",
-    )
+    known = found.withColumn("class", F.struct("symbol", "content", "n")).join(shared, "symbol", "left_semi")
+    known = stage(known.drop("symbol", "content", "n"), "substring-shared")
+    drop_stage(found)
     classes = stage(
-        known.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("origin")), "substring-classes"
-    )
-    mixed_symbols = stage(
-        classes.groupBy(F.col("class.symbol").alias("symbol")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("symbol"),
-        "substring-mixed",
+        known.groupBy("class").agg(
+            F.count(F.lit(1)).alias("copies"), F.min("id").alias("origin"), F.min("before").alias("before"), F.min("after").alias("after")
+        ),
+        "substring-classes",
     )
-    last = F.col("first") + F.col("n") + (window - 2)
+    last = F.col("first") + F.col("class.n") + (window - 2)
     whole = known.join(classes.filter("copies > 1").select("class"), "class", "left_semi").select(
         "doc_id", "text_key", "first", last.alias("last")
     )
-    # A stretch of each class of a symbol that has several.
-    origins = classes.select("origin", (F.col("copies") == 1).alias("single"), F.col("class.symbol").alias("symbol"))
-    origins = origins.join(mixed_symbols, "symbol", "left_semi").select("origin", "single")
+    # Kinds of stretches that share a symbol and the words on one side of it; one stretch of each.
+    sides = F.array(F.struct(F.lit(0).alias("at"), F.col("before").alias("words")), F.struct(F.lit(1).alias("at"), F.col("after").alias("words")))
+    sides = classes.select("origin", "copies", "class.symbol", F.explode(sides).alias("side")).filter("side.words IS NOT NULL")
+    sides = sides.withColumn("side", F.struct("symbol", "side")).drop("symbol")
+    several = stage(sides.groupBy("side").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("side"), "substring-sides")
+    origins = sides.join(several, "side", "left_semi").groupBy("origin").agg((F.max("copies") == 1).alias("single"))
     chosen = known.join(origins, known["id"] == origins["origin"]).select(
-        "doc_id", "text_key", F.struct("first", "n", "single").alias("run")
+        "doc_id", "text_key", F.struct("first", "class.n", "single").alias("run")
     )
     windows = stage(
         _of_documents(documents, chosen, "run").mapInArrow(
@@ -264,13 +300,16 @@ def _kept(names: list[str], text: str, runs: str, counts: tuple[str, str]):
         at = names.index(text)
         for batch in batches:
             texts, words_of, removed = [], [], []
-            for body, gone in zip(column(batch, text), column(batch, runs), strict=True):
+            size, gone = _flat(batch, runs)
+            first, last = (gone.field(n).to_numpy() for n in ("first", "last"))
+            edges = np.cumsum([0, *size])
+            for k, body in enumerate(column(batch, text)):
                 words = body.encode("utf-8", "surrogatepass").split() if body else []
                 out = words
-                if gone:
+                if size[k]:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, [r["first"] for r in gone], 1)
-                    np.add.at(edge, [r["last"] + 1 for r in gone], -1)
+                    np.add.at(edge, first[edges[k] : edges[k + 1]], 1)
+                    np.add.at(edge, last[edges[k] : edges[k + 1]] + 1, -1)
                     out = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 texts.append(b" ".join(out))
                 words_of.append(len(words))

@@ -203,7 +203,7 @@ def test_equal_windows_have_equal_symbols():
     for _ in range(40):
         n = int(rng.integers(1, 60))
         ends = rng.choice(inner, n), rng.choice(inner, int(rng.integers(1, 60)))
-        name, level, place = sd.symbols(np.concatenate([ends[0], inner, ends[1]]), 35)
+        name, level, place, _ = sd.symbols(np.concatenate([ends[0], inner, ends[1]]), 35)
         found.append([(int(name[n + i]), int(level[n + i]), int(place[n + i]) - n) for i in range(16)])
     assert all(f == found[0] for f in found)
     same = np.full(200, 7, np.uint64)
