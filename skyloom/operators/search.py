@@ -4,6 +4,11 @@ Paths start at a distinct (date, origin) and are shared by all requests from the
 joins the paths with the stored connections on (date, last leg); a path that would enter
 an airport twice is dropped at that hop, which equals checking the finished path, because
 a repeat in a prefix stays a repeat.
+
+Two cuts keep paths short of the last hop from being formed for nothing. Where requests ask for few
+airports or set deadlines, the legs from which a wanted landing can be reached in time are worked
+out backwards, and a hop takes only connections onto those. And as a journey only grows, a path is
+not extended beyond the k-th best journey that the requests from its start already have.
 """
 
 from __future__ import annotations
@@ -98,29 +103,73 @@ def extend(paths: DataFrame, connections: DataFrame, acyclic: bool = True) -> Da
     )
 
 
+def _ends(wanted: DataFrame) -> DataFrame:
+    """Where somebody wants to go on a date, and the latest deadline of those who do (none, if
+    one of them has no deadline)."""
+    deadline = F.col("arrive_before") if "arrive_before" in wanted.columns else F.lit(None).cast("timestamp_ntz")
+    return wanted.groupBy("flightdate", F.col("dest").alias("to_dest")).agg(
+        F.when(F.count(deadline) == F.count("*"), F.max(deadline)).alias("latest")
+    )
+
+
+def _lands(arrives: str) -> Column:
+    return F.col("latest").isNull() | (F.col(arrives) < F.col("latest"))
+
+
+def reaching(connections: DataFrame, landing: DataFrame, most: int) -> list[DataFrame]:
+    """For 1..most connections: the legs (flightdate, leg) that as many or fewer connections take
+    to a wanted landing, worked out backwards."""
+    legs = [stage(landing.select("flightdate", F.col("from_leg").alias("leg")).distinct(), "reaching-1")]
+    for k in range(2, most + 1):
+        onto = legs[-1].withColumnRenamed("leg", "to_leg")
+        before = connections.select("flightdate", "from_leg", "to_leg").join(onto, ["flightdate", "to_leg"], "left_semi")
+        more = before.select("flightdate", F.col("from_leg").alias("leg")).unionByName(legs[-1]).distinct()
+        legs.append(stage(more, f"reaching-{k}"))
+    return legs
+
+
+def _useful(rows: DataFrame, leg: str, dest: str, arrives: str, onward: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows whose leg ends the search where it is wanted, or can be flown on from."""
+    on = onward.select("flightdate", F.col("leg").alias(leg), F.lit(True).alias("on"))
+    asked = ends.select("flightdate", F.col("to_dest").alias(dest), "latest", F.lit(True).alias("asked"))
+    both = rows.join(on, ["flightdate", leg], "left").join(asked, ["flightdate", dest], "left")
+    return both.filter(F.col("on") | (F.col("asked") & _lands(arrives))).select(*rows.columns)
+
+
 def chains(
-    starts: DataFrame, wanted: DataFrame, legs: DataFrame, connections: DataFrame, max_stops: int, mixed: bool
+    starts: DataFrame,
+    wanted: DataFrame,
+    legs: DataFrame,
+    connections: DataFrame,
+    max_stops: int,
+    mixed: bool,
+    goal: bool = False,
+    best=None,
 ) -> list[DataFrame]:
     """Acyclic paths by number of stops, 0..max_stops.
 
     A level that is both answered from and extended is written once. The last hop only
     reads connections that land where somebody wants to go, before the latest deadline of
-    those who want it (none, if one of them has no deadline).
+    those who want it. With ``goal`` the other hops only take connections from which that
+    can still be reached. ``best`` gives (flightdate, start, most) for the levels so far: paths
+    already longer are not extended by the last hop.
     """
-    deadline = F.col("arrive_before") if "arrive_before" in wanted.columns else F.lit(None).cast("timestamp_ntz")
-    ends = wanted.groupBy("flightdate", F.col("dest").alias("to_dest")).agg(
-        F.when(F.count(deadline) == F.count("*"), F.max(deadline)).alias("latest")
-    )
+    ends = _ends(wanted)
+    landing = connections.join(ends, ["flightdate", "to_dest"]).filter(_lands("to_arrives")).select(*connections.columns)
+    onto = reaching(connections, landing, max_stops) if goal and max_stops > 1 else []
     level = first_legs(legs, starts)
+    if onto:
+        level = _useful(level, "last", "at", "arrives", onto[-1], ends)
     levels = [level]
     for stops in range(1, max_stops + 1):
-        hops = connections
-        if stops == max_stops:
-            hops = hops.join(ends, ["flightdate", "to_dest"]).filter(
-                F.col("latest").isNull() | (F.col("to_arrives") < F.col("latest"))
-            )
+        hops = landing if stops == max_stops else connections
+        if onto and stops < max_stops:
+            hops = _useful(hops, "to_leg", "to_dest", "to_arrives", onto[max_stops - stops - 1], ends)
         if mixed:
             level = level.filter(F.col("deepest") >= stops)
+        if best and stops == max_stops > 1:
+            level = level.join(best(levels), ["flightdate", "start"], "left")
+            level = level.filter(F.col("most").isNull() | (F.col("air_minutes") + F.col("waiting") < F.col("most"))).drop("most")
         level = extend(level, hops)
         if stops < max_stops:
             level = stage(level, f"paths-{stops}")
@@ -128,6 +177,16 @@ def chains(
     return levels
 
 
+def _has_goal(specs: DataFrame, legs: DataFrame) -> bool:
+    """Whether deadlines or few destinations make it worth looking back from the goal: all have
+    a deadline, or at most half of the (date, airport) pairs are asked for."""
+    bounded = specs.agg(F.count("*") == F.count("arrive_before")).first()[0]
+    if bounded:
+        return True
+    wanted = specs.select("flightdate", "dest").distinct().count()
+    return 2 * wanted <= legs.select("flightdate", "dest").distinct().count()
+
+
 def solve_specs(specs: DataFrame, legs: DataFrame, connections: DataFrame) -> DataFrame:
     """Ranked itineraries of distinct, valid request specs (``spec`` is their number)."""
     bounds = specs.agg(F.max("max_stops"), F.min("max_stops"), F.max("limit")).first()
@@ -137,7 +196,6 @@ def solve_specs(specs: DataFrame, legs: DataFrame, connections: DataFrame) -> Da
         F.when(F.count("depart_after") == F.count("*"), F.min("depart_after")).alias("earliest"),
         F.max("max_stops").alias("deepest"),
     )
-    levels = chains(starts, specs, legs, connections, max_stops, mixed)
     ask = specs.select(
         "spec",
         "flightdate",
@@ -149,25 +207,49 @@ def solve_specs(specs: DataFrame, legs: DataFrame, connections: DataFrame) -> Da
         "max_stops",
         "limit",
     )
-
-    paths = reduce(
-        DataFrame.unionByName,
-        [level.drop("last", "deepest").withColumn("stops", F.lit(k)) for k, level in enumerate(levels)],
-    )
     fits = (
         F.col("stops").between(F.col("min_stops"), F.col("max_stops"))
         & (F.col("depart_after").isNull() | (F.col("departs") >= F.col("depart_after")))
         & (F.col("arrive_before").isNull() | (F.col("arrives") < F.col("arrive_before")))
     )
-    found = paths.join(ask, ["start", "at", "flightdate"]).filter(fits)
-    found = found.withColumn("total_minutes", F.col("air_minutes") + F.col("waiting"))
     # The literal bound lets Spark cut each task's share before the shuffle, so a request
     # with millions of paths never gathers them in one task.
-    best = Window.partitionBy("spec").orderBy(
+    order = Window.partitionBy("spec").orderBy(
         F.col("total_minutes").asc_nulls_last(), F.col("departs_utc").asc_nulls_last(), "legs", "route"
     )
-    ranked = found.withColumn("rank", F.row_number().over(best))
-    ranked = ranked.filter(F.col("rank") <= max_limit).filter(F.col("rank") <= F.col("limit"))
+    kth: list[DataFrame] = []
+
+    def found(levels: list[DataFrame], first: int = 0) -> DataFrame:
+        paths = reduce(
+            DataFrame.unionByName,
+            [level.drop("last", "deepest").withColumn("stops", F.lit(first + k)) for k, level in enumerate(levels)],
+        )
+        rows = paths.join(ask, ["start", "at", "flightdate"]).filter(fits)
+        return rows.withColumn("total_minutes", F.col("air_minutes") + F.col("waiting"))
+
+    def ranked_of(rows: DataFrame) -> DataFrame:
+        numbered = rows.withColumn("rank", F.row_number().over(order))
+        return numbered.filter(F.col("rank") <= max_limit).filter(F.col("rank") <= F.col("limit"))
+
+    def most(levels: list[DataFrame]) -> DataFrame:
+        """The longest journey that could still enter the answers of a start; null if any may. The
+        ranked answers so far are stored: the last level only has to be ranked against them."""
+        kth.append(stage(ranked_of(found(levels)), "answers-so-far"))
+        worst = kth[0].filter(F.col("rank") == F.col("limit")).select("spec", F.col("total_minutes").alias("bound"))
+        kth.append(stage(worst, "bounds"))
+        every = specs.filter(F.col("max_stops") == max_stops).join(kth[1], "spec", "left")
+        return every.groupBy("flightdate", F.col("origin").alias("start")).agg(
+            F.when(F.count("bound") == F.count("*"), F.max("bound")).alias("most")
+        )
+
+    goal = max_stops > 1 and _has_goal(specs, legs)
+    levels = chains(starts, specs, legs, connections, max_stops, mixed, goal, most)
+    if kth:
+        last = found(levels[-1:], max_stops).join(kth[1], "spec", "left")
+        last = last.filter(F.col("bound").isNull() | (F.col("total_minutes") <= F.col("bound"))).drop("bound")
+        ranked = ranked_of(kth[0].drop("rank").unionByName(last))
+    else:
+        ranked = ranked_of(found(levels))
     leg_list = F.split("legs", SEP)
     return ranked.select(
         "spec",
