@@ -21,23 +21,63 @@ from skyloom.llm.common import carried, column, schema_of
 from skyloom.llm.url_filters import host_of
 from skyloom.storage import stage
 
-#: Paths kept per host, best first: a page without the first takes the next that it has.
-PATHS = 5
+#: Paths kept per host, best first: a page without the first takes the next that it has, and one
+#: that has none of them its own best container.
+PATHS = 100
+#: Elements that may be open at once; a deeper one's tags are passed over, its text is kept.
+DEPTH = 1_000
 #: A longer path is stated by its digest, so that unclosed elements don't make paths without end.
 PATH_CHARS = 2_000
 #: Share of a container's text that makes a container in it stand for it.
 NEARLY_ALL = 0.95
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<svg(?=[\s/])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|svg|object|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<attrs2>[^>]*+)>"
-    r"|<[!?/][^>]*+>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
+#: Elements whose content is not markup; all of it is dropped.
+RAW = frozenset("script style noscript template textarea select iframe svg object title".split())
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: Up to the end of a tag; a quote counts after an equals sign only.
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+ATTRIBUTE = re.compile(r"(?<![a-z-])([a-z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>|</{tag}\Z", re.I) for tag in RAW}
+
+
+def markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, value, attributes) in page order: ``text``, ``start`` and ``end`` of elements by name in
+    lower case. Comments, declarations and raw elements are passed over; a ``<`` that begins no tag,
+    or a tag that never ends, is text. Each character is looked at a few times only."""
+    at, text, last = 0, 0, page.rfind(">")
+    while True:
+        at = page.find("<", at)
+        comment = at >= 0 and page.startswith("<!--", at)
+        if at < 0 or at > last and not comment:
+            break
+        nxt = page[at + 1 : at + 2]
+        ends = nxt == "/"
+        name = NAME.match(page, at + 1 + ends)
+        if name:
+            rest = REST.match(page, name.end())
+            stop = rest.end() if rest else page.find(">", name.end()) + 1
+        elif comment:
+            stop = page.find("-->", at + 4) + 3
+            stop = stop if stop > 2 else len(page)
+        elif nxt in ("!", "?", "/"):
+            stop = page.find(">", at) + 1
+        else:
+            at += 1
+            continue
+        if at > text:
+            yield "text", page[text:at], ""
+        if name:
+            tag, attrs = name[0].lower(), page[name.end() : stop - 1]
+            if not ends and tag in RAW:
+                if not (tag == "svg" and attrs.endswith("/")):
+                    close = RAW_END[tag].search(page, stop)
+                    stop = close.end() if close else len(page)
+            else:
+                yield "end" if ends else "start", tag, attrs
+        at = text = stop
+    if text < len(page):
+        yield "text", page[text:], ""
+
 
 # The element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,16 +87,28 @@ BLOCK = frozenset(
     "table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article body div main section td".split())
+FIELDS = frozenset("button input select textarea".split())
+SENTENCE = re.compile(r"[.!?](?=\s|\Z)")
 PARAGRAPHS = frozenset("p h1 h2 h3 blockquote pre li td".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 LEFT_OUT = frozenset("aside button dialog footer head header menu nav".split())
+#: Words that say what an element is when they are a class or id, alone or beside ``PLAIN`` words.
 LEFT_OUT_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
     "pagination popup promo promoted recommended related reply replies respond share sharing sidebar signup social "
     "sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words of position and form: ``share-buttons`` is a share, ``market-share`` is not.
+PLAIN = frozenset(
+    "area aside bar block body bottom box btn button buttons card cards center col column container content desktop "
+    "float form global group head heading icon icons inline inner item items label large left link links list main "
+    "message mobile module outer page panel post posts articles stories primary right row secondary section site "
+    "slot small sticky strip text this title top unit us widget wrap wrapper zone".split()
+)
+#: Of the words, those that an article may use as well: in one they count with a second sign only.
+WEAK_WORDS = frozenset("banner discussion header menu notice promo promoted recommended related reply respond share sharing social widget".split())
 #: Of these words, those that name what readers wrote: it may be longer than the article.
 TALK_WORDS = frozenset("comment comments discussion disqus replies reply respond".split())
 #: Names such as with-sidebar or has-banner say what stands beside the element.
@@ -64,19 +116,23 @@ BESIDE = re.compile(r"(?<![a-z0-9])(?:with|without|has|no|not)[-_]+[a-z0-9]+")
 LEFT_OUT_ROLES = frozenset("alert banner complementary contentinfo dialog menu navigation search".split())
 
 
-#: An element left out by form or by a word of its names, unless it holds most of the page's text.
-DOUBT, TALK = 1, 2
+#: An element left out by form or by a word of its names, unless it holds most of the page's text;
+#: by a weak word, in an article, it needs a second sign as well.
+DOUBT, TALK, WEAK = 1, 2, 3
+#: Characters and sentences below which a text is no part of an article's argument.
+FEW_CHARS, FEW_SENTENCES = 200, 3
 
 
 class Node:
-    """An element. ``out`` is left out, ``doubt`` may be (DOUBT, TALK). ``paragraphs`` is all paragraph text in it that is kept, however deep,
-    ``within`` the part of it that lies in containers inside, ``inner`` the first of most text."""
+    """An element. ``out`` is left out, ``doubt`` may be (DOUBT, TALK, WEAK). ``paragraphs`` is all
+    paragraph text in it that is kept, however deep, ``within`` the part of it that lies in
+    containers inside, ``inner`` the first of most text, ``fields`` the form fields in it."""
 
-    __slots__ = ("tag", "path", "out", "doubt", "parent", "own", "chars", "linked", "paragraphs", "within", "inner", "start", "stop")
+    __slots__ = ("tag", "path", "out", "doubt", "parent", "own", "chars", "linked", "paragraphs", "within", "inner", "start", "stop", "fields")
 
     def __init__(self, tag, path, out, doubt, parent, start):
         self.tag, self.path, self.out, self.doubt, self.parent, self.start = tag, path, out, doubt, parent, start
-        self.own = (0, 0)
+        self.own, self.fields = (0, 0), 0
         self.stop = None
 
 
@@ -84,7 +140,8 @@ def parse(page: str) -> tuple[list, list[Node]]:
     """Pieces of text as (text, block number, element), and the kept containers with the range of
     their pieces. Comments, scripts and other raw elements are dropped here."""
     root = Node("", "", False, None, None, 0)
-    stack, pieces, nodes, block, at = [root], [], [root], 0, 0
+    stack, pieces, nodes, block = [root], [], [root], 0
+    opened: dict[str, int] = {}
 
     def add(raw: str) -> None:
         text = " ".join(entities.unescape(raw).split()) if "&" in raw else " ".join(raw.split())
@@ -98,52 +155,51 @@ def parse(page: str) -> tuple[list, list[Node]]:
     def close(index: int) -> None:
         for n in stack[index:]:
             n.stop = len(pieces)
+            opened[n.tag] -= 1
         del stack[index:]
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if not tag:
-            block += m["raw"] is not None and m["raw"].lower() not in ("svg", "object")
+    for kind, tag, attrs in markup(page):
+        if kind == "text":
+            add(tag)
             continue
-        tag, ends = tag.lower(), m["end"] or m["end2"]
         if tag in BLOCK:
             block += 1
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
+        if kind == "end":
+            for i in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[i].tag == tag:
                     close(i)
                     break
                 if tag not in BLOCK and stack[i].tag in BLOCK:
                     break  # a stray inline end tag doesn't close blocks
             continue
+        if tag in FIELDS:
+            stack[-1].fields += 1
         if tag in VOID:
             continue
-        if tag in BLOCK:  # an open paragraph ends where a block begins
+        if tag in BLOCK and opened.get("p"):  # an open paragraph ends where a block begins
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     close(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
-        if tag in CLOSED_BY:
+        if tag in CLOSED_BY and any(opened.get(t) for t in CLOSED_BY[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in CLOSED_BY[tag]:
                     close(i)
                     break
                 if stack[i].tag in SCOPE[tag]:
                     break
-        attrs = m["attrs"] or m["attrs2"] or ""
+        if len(stack) > DEPTH:
+            continue
         names, left_out, doubt = "", tag in LEFT_OUT, DOUBT if tag == "form" else None
         parent = stack[-1]
-        if tag == "header" and any(n.tag == "article" for n in stack):
+        if tag == "header" and (opened.get("article") or opened.get("main")):
             left_out = False
         if attrs.strip(" /\n\t"):
             values = _values(attrs)
             left_out = left_out or _hidden(values)
-            doubt = _doubt(values) or doubt
+            doubt = doubt or _doubt(values, bool(opened.get("article") or opened.get("main")))
             names = _classes(values)
         if tag in ("html", "body"):
             left_out, doubt = False, None
@@ -156,11 +212,10 @@ def parse(page: str) -> tuple[list, list[Node]]:
         node = Node(tag, path, parent.out or left_out, doubt, parent, len(pieces))
         stack.append(node)
         nodes.append(node)
-    if at < len(page):
-        add(page[at:])
+        opened[tag] = opened.get(tag, 0) + 1
     close(1)
     root.stop = len(pieces)
-    _settle(nodes)
+    _settle(nodes, pieces)
     return pieces, [n for n in nodes if n.tag in CONTAINER and not n.out] or [root]
 
 
@@ -178,6 +233,7 @@ def _sum(nodes: list[Node]) -> None:
             continue
         up.chars += n.chars
         up.linked += n.linked
+        up.fields += n.fields
         up.paragraphs += n.paragraphs
         inner = n if n.tag in CONTAINER else n.inner
         up.within += n.paragraphs if inner is n else n.within
@@ -185,16 +241,29 @@ def _sum(nodes: list[Node]) -> None:
             up.inner = inner
 
 
-def _settle(nodes: list[Node]) -> None:
+def _signed(n: Node, pieces: list) -> bool:
+    """A second sign that the element is no part of the article: fields, links, little text, or that
+    nothing of the element around it follows."""
+    if n.fields or n.chars < FEW_CHARS or 2 * n.linked > n.chars:
+        return True
+    if n.parent.tag in ("article", "main") and all(at.out or not raw.strip() for raw, _, at in pieces[n.stop : n.parent.stop]):
+        return True
+    return sum(len(SENTENCE.findall(raw)) for raw, _, _ in pieces[n.start : n.stop]) < FEW_SENTENCES
+
+
+def _settle(nodes: list[Node], pieces: list) -> None:
     """Leaves the elements in doubt out: talk, unless the page has no other text; then others that
     don't hold most of the text that is left."""
     _sum(nodes)
-    for doubt, share in ((TALK, 1.0), (DOUBT, 0.5)):
-        if any(n.doubt == doubt and not n.out for n in nodes):
+    for doubts, share in (((TALK,), 1.0), ((DOUBT, WEAK), 0.5)):
+        if any(n.doubt in doubts and not n.out for n in nodes):
             least = share * mass(nodes[0])
             for n in nodes[1:]:
-                holds = mass(n) >= least if doubt == TALK else mass(n) > least
-                n.out = n.out or n.parent.out or (n.doubt == doubt and not holds)
+                n.out = n.out or n.parent.out
+                if n.doubt not in doubts or n.out:
+                    continue
+                holds = mass(n) >= least if n.doubt == TALK else mass(n) > least
+                n.out = not holds and (n.doubt != WEAK or _signed(n, pieces))
             _sum(nodes)
 
 
@@ -211,11 +280,20 @@ def _hidden(v: dict[str, str]) -> bool:
     )
 
 
-def _doubt(v: dict[str, str]) -> int | None:
-    names = set(re.split(r"[^a-z0-9]+", BESIDE.sub(" ", f"{v.get('class', '')} {v.get('id', '')}".lower())))
-    if not TALK_WORDS.isdisjoint(names):
+def _doubt(v: dict[str, str], inside: bool) -> int | None:
+    """What the names of an element say of it; ``inside`` an article or main a word may be its own."""
+    found = set()
+    for name in BESIDE.sub(" ", f"{v.get('class', '')} {v.get('id', '')}".lower()).split():
+        parts = {re.sub(r"\d+$", "", part) for part in re.split(r"[^a-z0-9]+", name)} - {""}
+        said = parts & LEFT_OUT_WORDS
+        # Outside an article the word is enough; inside the rest of the name must say nothing else.
+        if said and (not inside or parts - said <= PLAIN):
+            found |= said
+    if found & TALK_WORDS and (not inside or found & TALK_WORDS - WEAK_WORDS):
         return TALK
-    return DOUBT if v.get("role", "").lower() == "form" or not LEFT_OUT_WORDS.isdisjoint(names) else None
+    if v.get("role", "").lower() == "form" or found - WEAK_WORDS or found and not inside:
+        return DOUBT
+    return WEAK if found else None
 
 
 def _classes(v: dict[str, str]) -> str:
