@@ -394,16 +394,56 @@ def test_search_equals_brute_force(spark, monkeypatch, kind):
     got = search.top_k(df, k=7, every=20).collect()
     import numpy as np
 
-    table = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v in [*rows, odd[5]]}
+    # As in the SQL, a row that is there twice counts twice, as a candidate and as a query.
+    table = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in [*rows, odd[5], odd[6]]]
     want = []
-    for q in (i for i in table if i % 20 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(table[q], v)), i) for i, v in table.items() if i != q)
+    for q in sorted({i for i, _ in table if i % 20 == 0}):
+        asked = [v for i, v in table if i == q]
+        scores = sorted((-sum(a * b for a, b in zip(w, v)), i) for w in asked for i, v in table if i != q)
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:7])]
     assert sorted(map(tuple, got)) == sorted(want)
     few = df.filter("vec_id in (0, 1, 2)")
     assert search.top_k(few, k=7).count() == 2 and search.top_k(df.limit(0), k=7).count() == 0
 
 
+def test_search_counts_repeated_rows_as_its_sql(spark, tmp_path):
+    """Candidates and queries that repeat, against the registered SQL."""
+    import duckdb
+
+    from skyloom.llm.queries import ORACLES
+
+    rng = random.Random(4)
+    rows = [(i % 130, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(150)]
+    rows += [rows[3]] * 30 + [rows[20]] * 3 + [(7, None), (None, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.coalesce(1).write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = con.execute(ORACLES["op10_top_k"]).fetchall()
+    got = [(r.query_id, r.vec_id, r.score, r["rank"]) for r in search.top_k(df, k=20, every=20).collect()]
+    names = [d[0] for d in con.description]
+    want = [tuple(w[names.index(n)] for n in ("query_id", "vec_id", "score", "rank")) for w in want]
+    assert sorted(got) == sorted(want)
+
+
+def test_blocks_of_clusters_are_skipped():
+    """Forty clusters: most blocks are never scored, and the best are those of brute force."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    centers = rng.integers(-60, 60, (40, 24))
+    points = centers[rng.integers(0, 40, 4000)] + rng.integers(-3, 4, (4000, 24))
+    docs = pd.DataFrame({"vec_id": range(4000), "v": list(points), "row": range(4000)})
+    queries = docs[docs.vec_id % 50 == 0]
+    best, scored, pairs = search._search(docs, queries, 20)
+    assert scored < 0.2 * pairs
+    for q in (0, 50, 3950):
+        scores = points @ points[q]
+        order = [i for i in np.lexsort((np.arange(4000), -scores)) if i != q][:20]
+        assert best[best.query_id == q].sort_values(["score", "vec_id"], ascending=[False, True]).vec_id.tolist() == order
+
+
 def test_search_keeps_vectors_that_share_an_id(spark, monkeypatch):
     """As the SQL has it: each vector of an id is a candidate, queries of one id are ranked together."""
     monkeypatch.setattr(search, "SHARD_ROWS", 60)
