@@ -24,7 +24,7 @@ always meet, and the result is exact.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import CACHE_WORDS, carried, column, fresh, mixed, schema_of, text_hash
+from skyloom.llm.common import CACHE_WORDS, carried, fresh, mixed, schema_of, text_hash
 from skyloom.storage import drop_stage, stage
 
 WINDOW = 35
 #: Rounds; more make longer symbols, and more of them.
 LEVELS = 4
 #: Words that are parsed at once; longer texts are cut, with their windows overlapping the cut.
-CHUNK = 300_000
+CHUNK = 100_000
 
 _U = np.uint64
 _RUN, _PAIR, _LANES = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
@@ -133,7 +133,7 @@ def hashed(lanes: tuple[np.ndarray, ...], start: np.ndarray, size: np.ndarray) -
     return out
 
 
-def chunks(texts: list[bytes | None], window: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+def chunks(texts: Iterable[bytes | None], window: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
     """Words of several texts in a row, and for each window start its text, place in the text and
     place in the row. Windows over the border of two texts are left out."""
     held, parts, size = [], [], 0
@@ -174,7 +174,8 @@ def _stretches(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for held, row, place, at in chunks(column(batch, "body"), window):
+            texts = batch.column(batch.schema.get_field_index("body"))
+            for held, row, place, at in chunks((x.as_py() for x in texts), window):
                 lane = words.hashes(held)[0]
                 name, level, symbol_at, wide = (x[at] for x in symbols(lane, window))
                 new = np.ones(len(at), bool)
@@ -203,34 +204,30 @@ def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.StructArray]
 def _windows(window: int):
     words = Words()
 
-    def made(batch, texts, rows, first, single):
-        """Hashes of the windows that start at the words ``first`` of the texts ``rows``."""
+    def made(batch, begin, texts, counts, runs):
+        """Hashes of the windows of the runs of some texts; ``counts`` says how many runs each has."""
+        n, single = runs.field("n").to_numpy(), runs.field("single").to_numpy(zero_copy_only=False)
+        text = np.repeat(np.repeat(np.arange(len(texts)), counts), n)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = np.repeat(runs.field("first").to_numpy(), n) + within
         start = np.cumsum([0, *[len(t) for t in texts[:-1]]])
-        found, inverse = np.unique(rows, return_inverse=True)
-        lanes = words.hashes([w for t in texts for w in t])
-        w = hashed(lanes, start[inverse] + first, np.full(len(first), window))
-        assert len(found) == len(texts)
+        w = hashed(words.hashes([w for t in texts for w in t]), start[text] + first, np.full(len(first), window))
         return carried(
-            batch, ["doc_id", "text_key"], rows.tolist(), w1=_signed(w[0]), w2=_signed(w[1]),
-            first=pa.array(first, pa.int32()), single=pa.array(single),
+            batch, ["doc_id", "text_key"], (begin + text).tolist(), w1=_signed(w[0]), w2=_signed(w[1]),
+            first=pa.array(first, pa.int32()), single=pa.array(np.repeat(single, n)),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, runs = _flat(batch, "runs")
-            n = runs.field("n").to_numpy()
-            row = np.repeat(np.repeat(np.arange(len(counts)), counts), n)
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            first = np.repeat(runs.field("first").to_numpy(), n) + within
-            single = np.repeat(runs.field("single").to_numpy(zero_copy_only=False), n)
+            edges = np.cumsum([0, *counts])
+            texts = batch.column(batch.schema.get_field_index("body"))
             held, size, begin = [], 0, 0
-            edges = np.searchsorted(row, np.arange(len(counts) + 1))
-            for k, text in enumerate(column(batch, "body")):
-                held.append(text.split())
+            for k in range(len(counts)):
+                held.append(texts[k].as_py().split())
                 size += len(held[-1])
                 if size >= CHUNK or k == len(counts) - 1:
-                    part = slice(edges[begin], edges[k + 1])
-                    yield made(batch, held, row[part], first[part], single[part])
+                    yield made(batch, begin, held, counts[begin : k + 1], runs[edges[begin] : edges[k + 1]])
                     held, size, begin = [], 0, k + 1
 
     return run
@@ -303,8 +300,8 @@ def _kept(names: list[str], text: str, runs: str, counts: tuple[str, str]):
             size, gone = _flat(batch, runs)
             first, last = (gone.field(n).to_numpy() for n in ("first", "last"))
             edges = np.cumsum([0, *size])
-            for k, body in enumerate(column(batch, text)):
-                words = body.encode("utf-8", "surrogatepass").split() if body else []
+            for k, body in enumerate(batch.column(at)):
+                words = body.as_py().encode("utf-8", "surrogatepass").split() if body.is_valid else []
                 out = words
                 if size[k]:
                     edge = np.zeros(len(words) + 1, np.int64)
