@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import flight_label, minutes_between
 from skyloom.functions.times import epoch_minute
 from skyloom.schema import MAX_LAYOVER, MIN_LAYOVER
+from skyloom.storage import stage
 
 
 def one_stop(
@@ -78,9 +79,10 @@ def one_stop_of(
 ) -> DataFrame:
     """``one_stop`` of every request (request_id, origin, dest, flightdate) at once.
 
-    Equal questions are answered once. A first leg meets the destinations asked for from its
-    origin on its date, then the second legs there; what is kept per question is cut to
-    ``limit`` rows before the shuffle.
+    Equal questions are answered once. First legs from asked origins meet second legs into asked
+    destinations in slots of time as wide as the layover window, at one airport and carrier; only
+    what makes a connection meets the questions. What is kept per question is cut to ``limit``
+    rows before the shuffle.
     """
     asked = requests.select("flightdate", "origin", "dest").distinct()
     minutes = F.col("scheduled_duration_minutes")
@@ -105,17 +107,17 @@ def one_stop_of(
         minutes.alias("second_block"),
     )
     layover = minutes_between("lands", "leaves")
-    # The dates on which a second leg within the window can leave.
-    landed = F.col("lands").cast("date")
-    dates = F.sequence(landed, F.date_add(landed, 1 + max_layover // 1440))
+    width = max(max_layover - min_layover + 1, 30)
+    slot = lambda column, plus: F.floor((epoch_minute(column) + plus) / width)
+    first = first.filter(F.col("lands").isNotNull()).join(asked.select("flightdate", "origin").distinct(), ["flightdate", "origin"], "left_semi")
+    first = first.withColumn("slot", F.explode(F.sequence(slot("lands", min_layover), slot("lands", max_layover))))
+    second = second.join(asked.select("dest").distinct(), "dest", "left_semi").withColumn("slot", slot("leaves", 0))
     today_or_next = F.col("second_date").between(F.col("flightdate"), F.date_add("flightdate", 1))
     options = (
-        first.join(asked, ["flightdate", "origin"])
-        .filter((F.col("via") != F.col("dest")) & F.col("lands").isNotNull())
-        .withColumn("second_date", F.explode(dates))
-        .filter(today_or_next)
-        .join(second, ["second_date", "via", "carrier", "dest"])
-        .filter((F.col("via") != F.col("origin")) & layover.between(min_layover, max_layover))
+        first.join(second, ["slot", "via", "carrier"])
+        .filter(today_or_next & layover.between(min_layover, max_layover))
+        .filter((F.col("via") != F.col("dest")) & (F.col("via") != F.col("origin")))
+        .join(asked, ["flightdate", "origin", "dest"])
         .select(
             "flightdate",
             "origin",
@@ -168,33 +170,42 @@ def _histogram(legs: DataFrame, hubs: list[str] | None = None) -> DataFrame:
     )
 
 
-def _meetings(histogram: DataFrame, key: list[str], low: int | None, high: int | None) -> DataFrame:
-    """Per date and hub: pairs whose departure is low..high minutes after the arrival; None
-    leaves that end open."""
-    low = Window.unboundedPreceding if low is None else low
-    high = Window.unboundedFollowing if high is None else high
-    ahead = Window.partitionBy(*key).orderBy("minute").rangeBetween(low, high)
-    met = F.col("landed") * F.coalesce(F.sum("left").over(ahead), F.lit(0))
-    return histogram.withColumn("met", met).groupBy("flightdate", "hub").agg(F.sum("met").alias("pairs"))
+#: A minute after all others.
+_LAST = 1 << 40
 
 
-def _pairs(histogram: DataFrame, low: int | None, high: int | None) -> DataFrame:
-    """All pairs at the hub, less those that lead back to where they began."""
-    hub_minutes = histogram.groupBy("flightdate", "hub", "minute").agg(
-        F.sum("landed").alias("landed"), F.sum("left").alias("left")
-    )
-    every = _meetings(hub_minutes, ["flightdate", "hub"], low, high)
-    back = _meetings(histogram, ["flightdate", "hub", "other"], low, high).withColumnRenamed("pairs", "back")
-    return every.join(back, ["flightdate", "hub"]).select(
-        "flightdate", "hub", (F.col("pairs") - F.col("back")).alias("pairs")
-    )
+def _pairs(histogram: DataFrame, windows: dict[str, tuple[int | None, int | None]]) -> DataFrame:
+    """Per date and hub, for each window (low, high): pairs whose departure is low..high minutes after
+    the arrival, less those that lead back to where they began; None leaves that end open.
+
+    A sweep: departures add to a running sum, at the hub and for each far end. An arrival reads it
+    where its window ends and, with a minus, just before the window begins. All windows share
+    one pass, one sort for the hub and one for the far ends.
+    """
+    marks = []
+    for name, (low, high) in windows.items():
+        ends = F.lit(_LAST) if high is None else F.col("minute") + high
+        marks.append(F.struct(ends.alias("minute"), F.lit(name).alias("name"), F.col("landed").alias("weight")))
+        if low is not None:
+            marks.append(F.struct((F.col("minute") + (low - 1)).alias("minute"), F.lit(name).alias("name"), (-F.col("landed")).alias("weight")))
+    where = ["flightdate", "hub", "other"]
+    leaving = histogram.filter(F.col("left") > 0).select(*where, "minute", "left", F.lit(0).alias("reads"))
+    arrivals = histogram.filter(F.col("landed") > 0).select(*where, F.explode(F.array(*marks)).alias("mark"))
+    reading = arrivals.select(*where, "mark.*", F.lit(0).alias("left"), F.lit(1).alias("reads"))
+    rows = leaving.unionByName(reading, allowMissingColumns=True)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    at_hub = Window.partitionBy("flightdate", "hub").orderBy("minute", "reads").rowsBetween(*upto)
+    back = Window.partitionBy(*where).orderBy("minute", "reads").rowsBetween(*upto)
+    seen = rows.withColumn("seen", F.sum("left").over(at_hub) - F.sum("left").over(back)).filter("reads = 1")
+    counts = [F.sum(F.when(F.col("name") == name, F.col("weight") * F.col("seen")).otherwise(0)).alias(name) for name in windows]
+    return seen.groupBy("flightdate", "hub").agg(*counts)
 
 
 def hub_pair_counts(
     legs: DataFrame, low: int | None = MIN_LAYOVER, high: int | None = MAX_LAYOVER, hubs: list[str] | None = None
 ) -> DataFrame:
     """Any-carrier pairs per date and hub, with different start and end airports."""
-    return _pairs(_histogram(legs, hubs), low, high)
+    return _pairs(_histogram(legs, hubs), {"pairs": (low, high)})
 
 
 def hub_connections(legs: DataFrame, low: int = MIN_LAYOVER, high: int = MAX_LAYOVER) -> DataFrame:
@@ -204,13 +215,8 @@ def hub_connections(legs: DataFrame, low: int = MIN_LAYOVER, high: int = MAX_LAY
 
 def negative_layovers(legs: DataFrame) -> DataFrame:
     """What the join yields without the time-order predicate: all pairs, and impossible ones."""
-    total = hub_pair_counts(legs, None, None).withColumnRenamed("pairs", "total")
-    negative = hub_pair_counts(legs, None, -1).withColumnRenamed("pairs", "negative")
-    return (
-        total.join(negative, ["flightdate", "hub"])
-        .groupBy("flightdate")
-        .agg(F.sum("negative").alias("negative"), F.sum("total").alias("total"))
-    )
+    counts = _pairs(_histogram(legs), {"negative": (None, -1), "total": (None, None)})
+    return counts.groupBy("flightdate").agg(F.sum("negative").alias("negative"), F.sum("total").alias("total"))
 
 
 def hub_layover_stats(legs: DataFrame, hubs: list[str], low: int = 45, high: int = 480) -> DataFrame:
@@ -221,12 +227,12 @@ def hub_layover_stats(legs: DataFrame, hubs: list[str], low: int = 45, high: int
     than that are enough: one of the two does not lead back to where the arrival came from.
     The longest layover is the same question on the reversed clock.
     """
-    histogram = _histogram(legs, hubs)
+    histogram = stage(_histogram(legs, hubs), "hub-minutes")  # read three times
     reversed_clock = histogram.withColumn("minute", -F.col("minute"))
     shortest = _shortest_gap(histogram, low, high).withColumnRenamed("gap", "min_layover")
     longest = _shortest_gap(reversed_clock, -high, -low).withColumn("max_layover", -F.col("gap")).drop("gap")
     key = ["flightdate", "hub"]
-    return shortest.join(longest, key).join(_pairs(histogram, low, high), key)
+    return shortest.join(longest, key).join(_pairs(histogram, {"pairs": (low, high)}), key)
 
 
 def _shortest_gap(histogram: DataFrame, low: int, high: int) -> DataFrame:
