@@ -37,41 +37,63 @@ def test_flight_numbers(spark):
 
 
 def test_cancellation_agreement(spark):
-    rows = [(0, "a", "b"), (1, None, None), (1, "a", None), (1, None, "b"), (1, "a", "b"), (0, None, "b"), (0, "a", None)]
-    got = check(spark, rows, "c int, d string, a string", q.cancelled_agrees("c", "d", "a"))
-    assert got == [True, True] + [False] * 5
-    assert check(spark, ["0", "1", "0.0", "2", "x", None], "c string", q.cancelled_flag("c")) == [True] * 3 + [False] * 3
+    rows = [(flag, d, a) for flag in (0, 1) for d in (None, "x") for a in (None, "x")]
+    want = [d is a is None if flag else None not in (d, a) for flag, d, a in rows]
+    assert check(spark, rows, "c int, d string, a string", q.cancelled_agrees("c", "d", "a")) == want
+    flags = {"0": True, "1": True, "0.0": True, "1.0": True, "-1": False, "7": False, "yes": False, "": False, None: False}
+    assert check(spark, list(flags), "c string", q.cancelled_flag("c")) == list(flags.values())
 
 
-def test_ranges(spark):
-    assert check(spark, [100.0, 5000.0, 0.0, -100.0, 15000.0, None], "d double", q.distance_range("d")) == [True, True] + [False] * 4
-    assert check(spark, [1.0, 0.0], "d double", q.distance_range("d", strict=False)) == [True, False]
-    assert check(spark, [0, 480, -10, None, -60, 1440], "d int", q.delay_range("d")) == [True] * 4 + [False] * 2
-    assert check(spark, [44, 45, 300, 301, -30], "d int", q.layover_range("d")) == [False, True, True, False, False]
-    assert check(spark, [105, 120, 600, 660], "d int", q.overnight_layover_range("d")) == [False, True, True, False]
-    assert check(spark, ["2024-02-29", "2023-02-29", "1986-01-01", "2031-01-01"], "d string", q.date_text_valid("d")) == [True, False, False, False]
-    assert check(spark, ["1430", "2400", "12:30"], "d string", q.hhmm_text("d")) == [True, False, False]
+def edges(low, high):
+    """Both limits of a closed range, the values just outside, the middle and a null."""
+    return {low - 1: False, low: True, (low + high) // 2: True, high: True, high + 1: False, None: False}
 
 
-def hm(text):
-    return text and dt.datetime(2024, 3, 1, int(text[:2]), int(text[2:]))
+def test_ranges(spark):
+    for rule, cases in (
+        (q.distance_range("v"), edges(50, 10_000)),
+        (q.distance_range("v", strict=False), {-1: False, 0: False, 1: True, None: False}),
+        (q.delay_range("v"), edges(-30, 720) | {None: True}),
+        (q.layover_range("v"), edges(45, 300)),
+        (q.overnight_layover_range("v"), edges(120, 600)),
+    ):
+        assert check(spark, list(cases), "v int", rule) == list(cases.values())
+    years = {f"{y}-{tail}": ok for y, ok in edges(1987, 2030).items() if y for tail in ("01-01", "12-31")}
+    years |= {"2028-02-29": True, "2027-02-29": False, "2027-00-10": False, "2027-4-1": False, "": False}
+    assert check(spark, list(years), "d string", q.date_text_valid("d")) == list(years.values())
+    clocks = {f"{h:02}{m:02}": h < 24 and m < 60 for h in (0, 9, 23, 24) for m in (0, 59, 60)} | {"7": False, "07:5": False, "075x": False}
+    assert check(spark, list(clocks), "d string", q.hhmm_text("d")) == list(clocks.values())
 
 
 def test_time_sequences(spark):
-    ddl = "d timestamp_ntz, a timestamp_ntz"
-    pair = lambda *ps: [(hm(a), hm(b)) for a, b in ps]
-    same = pair(("0800", "1200"), ("1400", "1600"), ("1600", "1400"), ("0100", "2300"))
-    assert check(spark, same, ddl, q.same_day_sequence("d", "a")) == [True, True, False, False]
-    assert check(spark, pair(("2200", "0200"), ("2300", "2330")), ddl, q.overnight_sequence("d", "a")) == [True, False]
-    long = pair(("0800", "1200"), ("1430", "1645"), ("1000", "1030"), ("0900", "0830"), ("2330", "0130"), ("1200", "2300")) + [(None, hm("1400"))]
-    assert check(spark, long, ddl, q.plausible_duration("d", "a")) == [True, True, False, False, True, False, False]
-    order = pair(("0800", "1200"), ("2200", "0100"), ("1200", "1000"), ("0000", "2359"), ("1500", "1500"))
-    assert check(spark, order, ddl, q.clock_order("d", "a")) == [True, True, False, True, False]
+    """Every quarter of an hour after 00:00, 07:50 and 23:40, judged by the minutes between."""
+    starts, steps = (0, 470, 1420), range(0, 1440, 15)
+    clock = lambda m: dt.datetime(2024, 3, 1) + dt.timedelta(minutes=m % 1440)
+    pairs = [(s, (s + k) % 1440) for s in starts for k in steps]
+    limits = [(s, (s + k) % 1440) for s in starts for k in (29, 30, 44, 45, 59, 60, 480, 481, 720, 721, 1079, 1080, 1081)]
+    rules = {
+        q.same_day_sequence: lambda d, a: 30 <= a - d <= 720,
+        q.overnight_sequence: lambda d, a: 60 <= (a - d) % 1440 <= 480,
+        q.plausible_duration: lambda d, a: 45 <= (a - d) % 1440 <= 480,
+        q.clock_order: lambda d, a: a > d or a < d and a - d + 1440 < 1080,
+    }
+    rows = [(clock(d), clock(a)) for d, a in pairs + limits] + [(None, clock(9)), (clock(9), None)]
+    for rule, ok in rules.items():
+        want = [ok(d, a) for d, a in pairs + limits] + [False, False]
+        assert check(spark, rows, "d timestamp_ntz, a timestamp_ntz", rule("d", "a")) == want
 
 
 def test_speed_by_band(spark):
-    rows = [(2475.0, 330.0), (337.0, 85.0), (187.0, 75.0), (200.0, 40.0), (2475.0, 200.0), (400.0, 300.0), (1500.0, 600.0), (100.0, 0.0)]
-    assert check(spark, rows, "m double, t double", q.speed_range("m", "t")) == [True] * 3 + [False] * 5
+    """On both sides of each band's border: least and greatest speed, least minutes."""
+    rows = {}
+    for miles in (299, 300, 499, 500, 999, 1000, 2000, 2001):
+        slowest = 100 if miles < 300 else 150 if miles < 1000 else 200
+        least = 240 if miles > 2000 else 45 if miles < 500 else 0
+        for minutes in (-1, 0, 44, 45, 239, 240, miles * 60 // 700, miles * 60 // 700 + 1, miles * 60 // slowest, miles * 60 // slowest + 1):
+            fits = minutes > 0 and slowest * minutes <= 60 * miles <= 700 * minutes and minutes >= least
+            rows[float(miles), float(minutes)] = fits
+    assert check(spark, list(rows), "m double, t double", q.speed_range("m", "t")) == list(rows.values())
+    assert {ok for ok in rows.values()} == {True, False}
 
 
 def test_numeric_text(spark):
@@ -83,10 +105,16 @@ def test_numeric_text(spark):
 
 
 def test_reference_rows(spark):
-    rows = [("LAX", "Los Angeles International", "Los Angeles", "CA", "USA"), ("LAX", "Short", "x", "CA", "USA"), ("lax", "Los Angeles International", "x", "CA", "USA"), ("LAX", "Los Angeles International", "", "CA", "USA")]
+    """A sound row, and each of its fields alone made unfit."""
+    sound = ("QQQ", "Quay Quarry Field", "Quill", "QL", "Quo")
+    rows = {sound: True} | {(code, *sound[1:]): False for code in ("QQ", "QQQQ", "qqq", "Q1Q", None)}
+    rows |= {(*sound[:at], bad, *sound[at + 1 :]): False for at in (1, 2, 3, 4) for bad in ("", "  ", None)}
     ddl = "code string, name string, city string, state string, country string"
-    assert check(spark, rows, ddl, q.airport_row()) == [True, False, False, False]
-    assert check(spark, [("AA", "American Airlines", "USA"), ("AA", "Air", "USA"), ("AA", "American", None)], "code string, name string, country string", q.airline_row()) == [True, False, False]
+    assert check(spark, list(rows), ddl, q.airport_row()) == list(rows.values())
+    sound = ("QQ", "Quay Airways", "Quo")
+    rows = {sound: True} | {(code, *sound[1:]): False for code in ("Q", "QQQ", "qq", None)}
+    rows |= {(*sound[:at], bad, *sound[at + 1 :]): False for at in (1, 2) for bad in ("", "  ", None)}
+    assert check(spark, list(rows), "code string, name string, country string", q.airline_row()) == list(rows.values())
 
 
 def validity_cases():
