@@ -1,6 +1,7 @@
 """The jobs a user runs, over tables in one folder:
 
     loaded/       legs as loaded, by date          airports/ carriers/ routes/
+    cancelled/    cancelled legs, by date
     offsets/      station offsets, by date         legs/     legs with UTC times, by date
     connections/  bookable connections, by date    built/    dates with connections, and how many
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import connections as conn
 from skyloom.operators import legs as leg
-from skyloom.operators import network, offsets
+from skyloom.operators import network, offsets, rotations
 from skyloom.operators.search import search
 from skyloom.schema import MAX_LAYOVER, MIN_LAYOVER
 from skyloom.sources import scan
@@ -45,13 +46,29 @@ def load(
     records = (
         scan.scan_strict(spark, source, file) if file else scan.scan_records(spark, source, allow_unreadable)
     )
-    touched = upsert_legs(leg.project_legs(leg.valid_legs(records, strict)), f"{root}/loaded")
-    for name in ("built", "connections", "legs", "offsets"):
-        drop_dates(spark, f"{root}/{name}", touched)
-    refresh(spark, root)
+    add_records(spark, records, root, strict)
     return {name: verify_written(spark, f"{root}/{name}") for name in ("loaded", *ENTITIES)}
 
 
+def retire(spark: SparkSession, root: str, dates: list[str], names=("built", "connections", "legs", "offsets")) -> None:
+    """Take what was solved and built for the dates out of service; ``built`` goes first, so that
+    a search refuses a date before anything else of it changes."""
+    for name in names:
+        drop_dates(spark, f"{root}/{name}", dates)
+
+
+def add_records(spark: SparkSession, records: DataFrame, root: str, strict: bool = False) -> list[str]:
+    """Merge typed records into the tables of the folder; the dates touched must be solved and
+    connected again. Cancelled legs go to a table of their own."""
+    touched = upsert_legs(
+        leg.project_legs(leg.valid_legs(records, strict)), f"{root}/loaded", before=lambda days: retire(spark, root, days)
+    )
+    upsert_legs(leg.project_legs(leg.cancelled_legs(records)), f"{root}/cancelled")
+    if touched:
+        refresh(spark, root)
+    return touched
+
+
 def refresh(spark: SparkSession, root: str) -> None:
     """Airports, carriers and routes of everything loaded, not of the last file alone."""
     loaded = table(spark, root, "loaded")
@@ -85,6 +102,7 @@ def solve_dates(spark: SparkSession, root: str, dates: list[str] | None = None)
     named = dates or [str(r.flightdate) for r in wanted.collect()]
     solution = offsets.solve_offsets(offsets.offset_deltas(loaded), dates=wanted)
     solved = stage(offsets.solved_dates(solution), "solved")
+    retire(spark, root, named, ("built", "connections"))  # they were built on the former times
     replace_dates(solved, f"{root}/offsets", named)
     good = loaded.join(solved.select("flightdate").distinct(), "flightdate", "left_semi")
     replace_dates(offsets.utc_times(good, solved), f"{root}/legs", named)
@@ -114,6 +132,21 @@ def connect_dates(
     replace_dates(conn.connections_per_date(edges), f"{root}/built", named)
 
 
+def rotation_links(spark: SparkSession, root: str, dates: list[str] | None = None) -> DataFrame:
+    """Every solved leg of an aircraft beside the one before it."""
+    return rotations.rotations(_of_dates(table(spark, root, "legs"), dates))
+
+
+def cancellations(spark: SparkSession, root: str, dates: list[str] | None = None) -> DataFrame:
+    """Cancel rates by what the aircraft did before, over the solved dates."""
+    legs = _of_dates(table(spark, root, "legs"), dates)
+    missed = legs.select(*table(spark, root, "loaded").columns).limit(0)
+    if path_exists(spark, f"{root}/cancelled"):
+        missed = _of_dates(table(spark, root, "cancelled"), dates)
+    missed = offsets.utc_times(missed, table(spark, root, "offsets"))
+    return rotations.cancellation_after_break(legs, missed)
+
+
 def built_dates(spark: SparkSession, root: str) -> DataFrame:
     """flightdate, connections: a row a date, written with the connections."""
     if path_exists(spark, f"{root}/built"):

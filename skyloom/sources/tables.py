@@ -18,12 +18,13 @@ def one_per_key(df: DataFrame, key=LEG_KEY) -> DataFrame:
     return picked.select(*[F.col(c) if c in key else F.col(f"row.{c}").alias(c) for c in df.columns])
 
 
-def upsert_legs(df: DataFrame, path: str, key=LEG_KEY) -> list[str]:
+def upsert_legs(df: DataFrame, path: str, key=LEG_KEY, before=None) -> list[str]:
     """Merge rows into the stored dates by key: a new row replaces the stored one, stored
     rows of the same dates stay, other dates are not touched.
 
     Dates are replaced whole, so a repeated load, or a retried task, changes nothing.
-    Returns the dates touched. The incoming rows are computed once.
+    Returns the dates touched. The incoming rows are computed once. ``before`` is called with the
+    dates when all is computed and nothing is written yet.
     """
     df = stage(one_per_key(df, key), "incoming")
     spark = df.sparkSession
@@ -34,7 +35,10 @@ def upsert_legs(df: DataFrame, path: str, key=LEG_KEY) -> list[str]:
         kept = stored.join(touched, "flightdate", "left_semi")
         kept = kept.join(df.select(*key), list(key), "left_anti")
         df = stage(df.unionByName(kept), "merge")  # the target is read, so write elsewhere first
-    replace_dates(df, path)
+    if before is not None:
+        before(days)
+    if days:
+        replace_dates(df, path)
     return days
 
 

@@ -118,3 +118,55 @@ def test_reload_takes_the_date_out_of_service(spark, tmp_path):
     jobs.connect_dates(spark, root, [str(DAY)])
     assert {r.status for r in jobs.search_table(spark, root, ask).collect()} <= {"ok", "empty"}
     assert [str(r.flightdate) for r in jobs.built_dates(spark, root).collect()] == [str(DAY)]
+
+
+CSV = ("FlightDate", "Reporting_Airline", "Flight_Number_Reporting_Airline", "DOT_ID_Reporting_Airline", "Origin", "Dest", "CRSDepTime",
+       "CRSArrTime", "DepTime", "ArrTime", "CRSElapsedTime", "ActualElapsedTime", "Distance", "Tail_Number", "DepDelay", "ArrDelay", "Cancelled")
+
+
+def text_row(row, tail="N1", cancelled=0):
+    r = record(row)
+    clock = lambda t: t.strftime("%H%M")
+    cells = (str(r[0].date()), r[1], r[2], 19805, r[3], r[4], clock(r[5]), clock(r[6]), clock(r[7]), clock(r[8]), r[9], r[10], r[11], tail, 0, 0, cancelled)
+    return ",".join(map(str, cells))
+
+
+def test_streamed_dates_and_solved_dates_are_refused_until_connected(spark, tmp_path):
+    from skyloom.streaming.monthly import keep_loaded
+
+    root, source = f"{tmp_path}/tables", tmp_path / "csv"
+    source.mkdir()
+    other = DAY + dt.timedelta(days=1)
+    base = [r for r in schedule(150, seed=7, days=2)]
+    base += [("AA", 9000 + i, "PHX", b, "09:00", 120, d) for d in (DAY, other) for i, b in enumerate(OFFSETS)]
+
+    def stream(name, rows):
+        (source / name).write_text("\n".join([",".join(CSV), *rows]) + "\n")
+        keep_loaded(spark, str(source), list(CSV), root, f"{tmp_path}/checkpoint")
+        spark.catalog.clearCache()
+
+    def states():
+        ask = [(str(d), "LGA", "DFW", str(d)) for d in (DAY, other)]
+        asked = spark.createDataFrame(ask, "request_id string, origin string, dest string, date string")
+        return {r.request_id: r.status == "not_built" for r in jobs.search_table(spark, root, asked).collect()}
+
+    stream("m1.csv", [text_row(r) for r in base] + [text_row(("AA", 5, "LGA", "ATL", "23:00", 90, DAY), cancelled=1)])
+    jobs.solve_dates(spark, root)
+    jobs.connect_dates(spark, root)
+    assert states() == {str(DAY): False, str(other): False}
+    assert jobs.table(spark, root, "cancelled").count() == 1
+    assert {r.rotation: r.cancelled for r in jobs.cancellations(spark, root).collect()}.keys() >= {"first"}
+    assert jobs.rotation_links(spark, root).count() == len(base)
+
+    stations = jobs.table(spark, root, "airports").count()
+    stream("m2.csv", [text_row(("AA", 7000, "PHX", "DEN", "10:00", 100, DAY)), text_row(("ZZ", 1, "PHX", "LGA", "11:00", 200, DAY))])
+    assert states() == {str(DAY): True, str(other): False}
+    assert jobs.table(spark, root, "airports").count() == stations
+    assert "ZZ" in {r.code for r in jobs.table(spark, root, "carriers").collect()}
+    jobs.solve_dates(spark, root, [str(DAY)])
+    assert states() == {str(DAY): True, str(other): False}
+    jobs.connect_dates(spark, root, [str(DAY)])
+    assert states() == {str(DAY): False, str(other): False}
+    jobs.solve_dates(spark, root, [str(other)])  # solved anew: what was built on its former times goes
+    spark.catalog.clearCache()
+    assert states() == {str(DAY): False, str(other): True}
