@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from skyloom.operators import quality, rotations
+from skyloom.operators import search as srch
 from skyloom.plans.registry import query
+from skyloom.plans.search_queries import RANK
+from skyloom.plans.sql import EDGES, LEGS, fam, path_ctes
 from skyloom.sources.order_records import CARRIERS, STATIONS
 
 
@@ -41,7 +44,7 @@ frec0 AS (
   FROM fend f JOIN station a ON a.i = oi JOIN station b ON b.i = di LEFT JOIN carrier_code cc ON cc.i = aircraft // 250),
 frec AS (
   SELECT *, dep_u + blk AS arr_u, dep_u + off_o AS dep_l, dep_u + blk + off_d AS arr_l, (dep_u + off_o) // 1440 AS dd,
-         car || '|' || CAST(num AS VARCHAR) || '|' || o || '|' || d AS lid, car || CAST(num AS VARCHAR) AS flight,
+         car || '|' || CAST(num AS VARCHAR) || '|' || o || '|' || d AS lid, car || CAST(num AS VARCHAR) AS flight, {fam("car")} AS fam,
          CASE WHEN flown THEN dd0 END AS dep_delay, CASE WHEN flown THEN ad0 END AS arr_delay,
          CASE WHEN flown THEN (dep_u + off_o + dd0 + 1440) % 1440 END AS real_dep,
          CASE WHEN flown THEN (dep_u + blk + off_d + ad0 + 1440) % 1440 END AS real_arr
@@ -52,6 +55,24 @@ leg AS (
 missed AS (
   SELECT * FROM frec WHERE NOT flown QUALIFY row_number() OVER (PARTITION BY dd, lid ORDER BY tail NULLS FIRST) = 1)"""
 
+FLEET_EDGES = FLEET + EDGES[len(LEGS) :]
+
+
+def fts(minutes: str) -> str:
+    return f"strftime(TIMESTAMP '2025-07-01' + to_minutes(CAST({minutes} AS BIGINT)), '%Y-%m-%dT%H:%M:%S')"
+
+
+def fleet_itineraries_sql(where: str = "true", max_stops: int = 2) -> str:
+    return f"""WITH {path_ctes(max_stops).replace(EDGES, FLEET_EDGES)},
+    pool AS (SELECT o AS code FROM leg GROUP BY o ORDER BY count(*) DESC, o LIMIT 60),
+    ask AS (SELECT a.code AS o, b.code AS d, dd FROM pool a, pool b, (SELECT DISTINCT dd FROM edge) WHERE a.code <> b.code),
+    hit AS (SELECT a.o || '-' || a.d || '-' || {fday("a.dd")} AS request_id, p.*, {RANK} AS rank
+            FROM ask a JOIN path p ON p.dd = a.dd AND p.start = a.o AND p.at = a.d WHERE {where})
+    SELECT request_id, rank, stops, flights, route, carriers, {fts("dep_l")} AS departs, {fts("arr_l")} AS arrives,
+           {fts("dep_u")} AS departs_utc, {fts("arr_u")} AS arrives_utc, air AS air_minutes, lays AS layover_minutes,
+           air + waits AS total_minutes FROM hit WHERE rank <= 20"""
+
+
 ROTATIONS = f"""{FLEET},
 turn AS (
   SELECT *, lag(lid) OVER w AS p_lid, lag(dd) OVER w AS p_dd, lag(car) OVER w AS p_car, lag(d) OVER w AS p_d, lag(arr_u) OVER w AS p_arr,
@@ -133,3 +154,41 @@ def fleet_repeats(t):
 
     repeats = quality.duplicate_keys(project_legs(valid_legs(t.fleet.records)))
     return repeats.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("extra_rows"))
+
+
+def _answers(df):
+    return df.filter(F.col("rank").isNotNull()).drop("status", "error", "searchable")
+
+
+@query("fleet_itineraries", fleet_itineraries_sql())
+def fleet_itineraries(t):
+    """All pairs on all 62 dates, up to two stops: a connection is the best answer to most pairs."""
+    return _answers(t.fleet.answers(max_stops=2))
+
+
+@query("fleet_itineraries_deadline", fleet_itineraries_sql("p.stops >= 1 AND p.arr_l < a.dd * 1440 + 900"))
+def fleet_itineraries_deadline(t):
+    return _answers(t.fleet.answers(min_stops=1, max_stops=2, arrive_before="15:00"))
+
+
+@query("fleet_itineraries_depart_after", fleet_itineraries_sql("p.dep_l >= a.dd * 1440 + 480"))
+def fleet_itineraries_depart_after(t):
+    return _answers(t.fleet.answers(max_stops=2, depart_after="08:00"))
+
+
+_FEW = "a.d IN ('MIA', 'LGA') AND a.dd < 62"
+
+
+@query("fleet_itineraries_to_few", fleet_itineraries_sql(_FEW))
+def fleet_itineraries_to_few(t):
+    """Requests to two airports only: hops away from them are not taken."""
+    asked = t.fleet.workload(max_stops=2).filter(F.col("dest").isin("MIA", "LGA") & (F.col("date") < "2025-09-01"))
+    return _answers(srch.search(asked, t.fleet.legs, t.fleet.connections, built=t.fleet.built))
+
+
+@query(
+    "fleet_connections",
+    f"""WITH {FLEET_EDGES} SELECT {fday()} AS flightdate, count(*) AS connections FROM edge GROUP BY dd""",
+)
+def fleet_connections(t):
+    return t.fleet.built
