@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,23 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+# Blocks of scripts that put no space between words (Thai, Lao, Burmese, Khmer, kana, Han).
+_BLOCKS = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF),
+)
+#: The same inside a character class, for Python and for Spark.
+UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for a, b in _BLOCKS)
+_UNSPACED = re.compile(f"[{UNSPACED}]")
+
+
+def tokens_of(text: str | None) -> list[bytes]:
+    """``words_of``, but each character of a script without spaces is a token."""
+    if text and not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return words_of(text)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -3,7 +3,8 @@
 Runs of ``MIN_MATCH`` equal tokens seed the pairs of documents and benchmark items. Each pair is
 tiled: the longest matches between unmarked tokens are found by Karp-Rabin hashing and marked,
 then shorter ones, down to ``MIN_MATCH``. Tiles may come in any order, so a reordered passage
-still covers its item. A document leaks an item whose tokens are covered to ``COVERAGE``.
+still covers its item. A document leaks an item whose tokens are covered to ``COVERAGE``. An item
+of fewer than ``MIN_MATCH`` tokens is leaked by a document that consists of it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skyloom.llm.common import carried, column, mixed, ordinary, schema_of, words_of
+from skyloom.llm.common import carried, column, mixed, ordinary, schema_of, tokens_of
 
 MIN_MATCH = 5
 COVERAGE = 0.6
@@ -31,14 +32,18 @@ class Block:
     def __init__(self, items: list[tuple]):
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple] = []
+        self.short: dict[tuple, list] = {}
         hashes, owners = [], []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if len(ids) >= MIN_MATCH:
-                seeds = np.unique(_seeds(np.array(ids, np.uint64)))
-                hashes.append(seeds)
-                owners.append(np.full(len(seeds), len(self.items)))
-                self.items.append((item, ids))
+            words = tokens_of(text)
+            if len(words) < MIN_MATCH:
+                self.short.setdefault(tuple(words), []).append(item)
+                continue
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
+            seeds = np.unique(_seeds(np.array(ids, np.uint64)))
+            hashes.append(seeds)
+            owners.append(np.full(len(seeds), len(self.items)))
+            self.items.append((item, ids))
         seeds = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(seeds, kind="stable")
         self.seeds = seeds[order]
@@ -46,8 +51,11 @@ class Block:
 
     def leaks(self, text: str | None, coverage: float) -> list[tuple]:
         """(item, covered share, matched tokens) of each item that the text covers."""
-        words = words_of(text)
-        if len(words) < MIN_MATCH or not len(self.seeds):
+        words = tokens_of(text)
+        if len(words) < MIN_MATCH:
+            same = self.short.get(tuple(words), ()) if words else ()
+            return sorted(((item, 1.0, len(words)) for item in same), key=lambda x: (x[0] is None, x[0]))
+        if not len(self.seeds):
             return []
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
@@ -196,9 +204,10 @@ def _keep(shared, coverage: float) -> Callable:
 def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage, matched: a row for each document and each item that it leaks.
 
-    Tokens are runs without white space, A-Z lower-cased. Null and empty texts leak nothing; an
-    item of fewer than ``MIN_MATCH`` tokens has no seed and is never leaked. Repeated documents
-    give repeated rows, repeated items one. An empty table on either side gives no rows.
+    Tokens are runs without white space, A-Z lower-cased; each character of a script without spaces
+    is one. Null and empty texts leak nothing, and an empty item is not leaked; an item of fewer than
+    ``MIN_MATCH`` tokens is leaked by a document of exactly these. Repeated documents give
+    repeated rows, repeated items one. An empty table on either side gives no rows.
 
     The benchmark goes to the tasks in blocks of bounded size, each against all documents in one
     scan without a shuffle; the tiling of a document happens where it was read.

@@ -179,6 +179,18 @@ def test_tiles_of_long_texts():
     assert tile([7] * 300, [[7] * 40, [7] * 4], 5) == 40
 
 
+def test_short_items_and_scripts_without_spaces():
+    rng = random.Random(1)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    item = han(40)
+    block = Block([(1, item), (2, "Yes or no"), (3, ""), (4, "yes  OR no"), (5, "ok 好")])
+    assert [x[0] for x in block.leaks(f"{han(60)}{item[:30]}。{han(50)}", COVERAGE)] == [1]
+    assert block.leaks(f"{han(60)}{item[:15]}{han(50)}", COVERAGE) == []
+    assert [x[0] for x in block.leaks(" yes or\tNO ", COVERAGE)] == [2, 4]
+    assert block.leaks("yes or no, she said to them", COVERAGE) == block.leaks("yes or", COVERAGE) == block.leaks("", COVERAGE) == []
+    assert block.leaks("OK好", COVERAGE) == [(5, 1.0, 2)]
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     items = [(i, " ".join(f"i{i}_{k}" for k in range(30))) for i in range(4)] + [(9, "too short"), (None, None), (0, None)]
@@ -195,10 +207,11 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = contaminated(docs, bench).collect()
     key = lambda r: str(r)
-    want = [(1, 0), (2, 0), (4, 0), (4, 1), (4, 0), (4, 1), (None, 2), (8, 3)]
+    # A short item is leaked by a document that is nothing else.
+    want = [(1, 0), (2, 0), (4, 0), (4, 1), (4, 0), (4, 1), (None, 2), (8, 3), (7, 9)]
     assert sorted([(r.doc_id, r.item_id) for r in got], key=key) == sorted(want, key=key)
     assert all(r.coverage >= COVERAGE for r in got)
-    assert sorted(str(r.doc_id) for r in decontaminate(docs, bench).collect()) == ["3", "5", "6", "7"]
+    assert sorted(str(r.doc_id) for r in decontaminate(docs, bench).collect()) == ["3", "5", "6"]
     assert contaminated(docs, bench.limit(0)).count() == 0 and contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate(docs, bench.limit(0)).count() == len(rows)
 
