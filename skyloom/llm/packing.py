@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import ordinary
+from skyloom.llm.common import UNSPACED, ordinary
 from skyloom.storage import stage
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -95,8 +95,9 @@ def _shard(capacities, overhead):
 
 
 def token_count(text: str = "text"):
-    """Runs without ASCII white space; 0 for a null text."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    """Runs without ASCII white space, and each character of a script without spaces; 0 for a null text."""
+    one = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(one)), F.lit(0))
 
 
 def pack_documents(documents: DataFrame, capacities=CAPACITIES, overhead: int = OVERHEAD) -> DataFrame:

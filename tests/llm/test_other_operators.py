@@ -457,3 +457,14 @@ def test_search_keeps_vectors_that_share_an_id(spark, monkeypatch):
         scores = [(-sum(a * b for a, b in zip(v, w)), i) for j, v in rows if j == q for i, w in rows if i != q]
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:7])]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_scripts_without_spaces_fill_their_bins(spark):
+    """Each character is a token: a text of 10,000 is cut and placed as one of as many words."""
+    rows = [(1, "漢" * 10_000), (2, "かな ab c"), (3, "ไทย"), (4, "a b")]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.n_tokens
+    assert sizes == {1: 10_000, 2: 4, 3: 3, 4: 2}
+    assert max(r.n_tokens for r in got) == max(CAPACITIES)
