@@ -130,16 +130,27 @@ def build_connections(
     )
 
 
-def require_built(connections: DataFrame, legs: DataFrame, dates: DataFrame) -> None:
-    """Raise where a requested date got no connections, saying why."""
+def unbuilt_dates(connections: DataFrame, legs: DataFrame, dates: DataFrame) -> DataFrame:
+    """flightdate, total, reason of the requested dates that got no connections though they could
+    not have had any: ``no_legs`` or ``no_utc``."""
     from skyloom.operators.offsets import utc_coverage
 
     built = connections.select("flightdate").distinct()
-    empty = utc_coverage(legs, dates).join(built, "flightdate", "left_anti").orderBy("flightdate")
-    for row in empty.filter((F.col("total") == 0) | (F.col("dep_utc") == 0)).take(1):
-        if row.total == 0:
-            raise BuildError(f"{row.flightdate}: no legs are loaded, nothing to connect")
-        raise BuildError(f"{row.flightdate}: {row.total} legs but no UTC times; solve the offsets first")
+    empty = utc_coverage(legs, dates).join(built, "flightdate", "left_anti")
+    reason = F.when(F.col("total") == 0, "no_legs").when(F.col("dep_utc") == 0, "no_utc")
+    return empty.select("flightdate", "total", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def require_built(connections: DataFrame, legs: DataFrame, dates: DataFrame) -> None:
+    """Raise where requested dates got no connections, naming all of them and why."""
+    said = []
+    for row in unbuilt_dates(connections, legs, dates).orderBy("flightdate").collect():  # a row a date
+        if row.reason == "no_legs":
+            said.append(f"{row.flightdate}: no legs are loaded, nothing to connect")
+        else:
+            said.append(f"{row.flightdate}: {row.total} legs but no UTC times; solve the offsets first")
+    if said:
+        raise BuildError("; ".join(said))
 
 
 def searchable_dates(connections: DataFrame) -> DataFrame:
