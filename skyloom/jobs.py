@@ -1,7 +1,7 @@
 """The jobs a user runs, over tables in one folder:
 
     loaded/       legs as loaded, by date          airports/ carriers/ routes/
-    cancelled/    cancelled legs, by date
+    cancelled/    cancelled legs, by date           daily/    flights per route and carrier, by date
     offsets/      station offsets, by date         legs/     legs with UTC times, by date
     connections/  bookable connections, by date    built/    dates with connections, and how many
 
@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import connections as conn
 from skyloom.operators import legs as leg
-from skyloom.operators import network, offsets, rotations
+from skyloom.operators import offsets, rotations
 from skyloom.operators.search import search
 from skyloom.schema import MAX_LAYOVER, MIN_LAYOVER
 from skyloom.sources import scan
 from skyloom.sources.tables import drop_dates, replace_dates, upsert_legs, verify_written
-from skyloom.storage import path_exists, stage
+from skyloom.storage import drop_path, path_exists, stage
 
 ENTITIES = ("airports", "carriers", "routes")
 
@@ -65,19 +65,31 @@ def add_records(spark: SparkSession, records: DataFrame, root: str, strict: bool
     )
     upsert_legs(leg.project_legs(leg.cancelled_legs(records)), f"{root}/cancelled")
     if touched:
-        refresh(spark, root)
+        refresh(spark, root, touched)
     return touched
 
 
-def refresh(spark: SparkSession, root: str) -> None:
-    """Airports, carriers and routes of everything loaded, not of the last file alone."""
-    loaded = table(spark, root, "loaded")
-    derived = {
-        "airports": leg.airports(loaded),
-        "carriers": leg.carriers(loaded),
-        "routes": network.routes(loaded),
-    }
-    for name, df in derived.items():
+def refresh(spark: SparkSession, root: str, dates: list[str] | None = None) -> None:
+    """Airports, carriers and routes of everything loaded, not of the last file alone.
+
+    They come from ``daily``, flights per date, route and carrier; of that only the named dates are
+    counted anew (all dates if none are named or nothing is counted yet).
+    """
+    counted = path_exists(spark, f"{root}/daily")
+    dates = dates if counted else None
+    loaded = _of_dates(table(spark, root, "loaded"), dates)
+    daily = loaded.groupBy("flightdate", "origin", "dest", "reporting_airline").agg(F.count("*").alias("flights"))
+    if dates is None:
+        drop_path(spark, f"{root}/daily")
+    replace_dates(daily, f"{root}/daily", dates)
+    daily = spark.read.schema(daily.schema).parquet(f"{root}/daily")
+    routes = daily.groupBy("origin", "dest").agg(
+        F.sum("flights").alias("flights"),
+        F.count_distinct("reporting_airline").alias("carriers"),
+        F.min("flightdate").alias("first_date"),
+        F.max("flightdate").alias("last_date"),
+    )
+    for name, df in {"airports": leg.airports(daily), "carriers": leg.carriers(daily), "routes": routes}.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 

@@ -47,7 +47,7 @@ def connections_per_date(t):
 
 @query("searchable_dates", f"WITH {EDGES} SELECT DISTINCT {day()} AS flightdate FROM edge")
 def searchable_dates(t):
-    return conn.searchable_dates(t.connections)
+    return conn.searchable_dates(t.built)
 
 
 @query("readiness", f"WITH {EDGES} SELECT count(*) AS connections, count(*) > 0 AS ready FROM edge")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.schema import LEG_KEY
-from skyloom.storage import drop_path, path_exists, stage
+from skyloom.storage import drop_path, folders, move_path, path_exists, stage
 
 
 def one_per_key(df: DataFrame, key=LEG_KEY) -> DataFrame:
@@ -50,18 +52,20 @@ def drop_dates(spark: SparkSession, path: str, days: list[str]) -> None:
 def replace_dates(df: DataFrame, path: str, dates: list[str] | None = None) -> None:
     """Write a table so that its dates are rebuilt whole.
 
-    ``dates`` names what is being rebuilt. Their old rows go first, because a partition
-    overwrite alone would leave those of a date that comes out empty. ``df`` must not read
-    from ``path``. If the job dies in between, the date is absent, not half old.
+    ``dates`` names what is being rebuilt; those that come out empty lose their old rows. ``df``
+    must not read from ``path``. The new rows are written beside the table and moved in date by
+    date when all are there: a write that fails leaves every date as it was.
     """
-    drop_dates(df.sparkSession, path, dates or [])
-    (
-        df.hint("rebalance", "flightdate")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("flightdate")
-        .parquet(path)
-    )
+    spark = df.sparkSession
+    beside = f"{path.rstrip('/')}__{uuid.uuid4().hex[:12]}"
+    try:
+        df.hint("rebalance", "flightdate").write.partitionBy("flightdate").parquet(beside)
+        made = folders(spark, beside)
+        drop_dates(spark, path, [d for d in dates or [] if f"flightdate={d}" not in made])
+        for folder in made:
+            move_path(spark, f"{beside}/{folder}", f"{path}/{folder}")
+    finally:
+        drop_path(spark, beside)
 
 
 def verify_written(spark: SparkSession, path: str) -> int:

@@ -63,6 +63,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename; an existing ``target`` is replaced."""
+    drop_path(spark, target)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    old, new = hadoop.Path(source), hadoop.Path(target)
+    store = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(new.getParent())
+    if not store.rename(old, new):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the partition folders of a stored table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted(s.getPath().getName() for s in found if s.isDirectory() and "=" in s.getPath().getName())
+
+
 def list_files(spark: SparkSession, path: str, pattern: str = "*.parquet") -> list[str]:
     """Names of the data files, from the file listing only; no data is read."""
     hadoop = spark._jvm.org.apache.hadoop.fs

@@ -170,3 +170,44 @@ def test_streamed_dates_and_solved_dates_are_refused_until_connected(spark, tmp_
     jobs.solve_dates(spark, root, [str(other)])  # solved anew: what was built on its former times goes
     spark.catalog.clearCache()
     assert states() == {str(DAY): False, str(other): True}
+
+
+def test_a_failing_write_leaves_the_dates_as_they_were(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from skyloom.sources.tables import replace_dates
+
+    path = f"{tmp_path}/t"
+    ddl = "flightdate date, n int"
+    days = [DAY, DAY + dt.timedelta(days=1), DAY + dt.timedelta(days=2)]
+    replace_dates(spark.createDataFrame([(d, i) for i, d in enumerate(days)], ddl), path)
+    bad = spark.createDataFrame([(d, 10 + i) for i, d in enumerate(days)], ddl).repartition(3)
+    with pytest.raises(Exception, match="no such row"):
+        replace_dates(bad.withColumn("n", F.when(F.col("n") == 12, F.raise_error(F.lit("no such row"))).otherwise(F.col("n"))), path, [str(d) for d in days])
+    read = lambda: {(str(r.flightdate), r.n) for r in spark.read.schema(ddl).parquet(path).collect()}
+    assert read() == {(str(d), i) for i, d in enumerate(days)}
+    # One date is new, one comes out empty, the third is not asked for.
+    replace_dates(spark.createDataFrame([(days[0], 5), (days[0], 6)], ddl), path, [str(days[0]), str(days[1])])
+    spark.catalog.clearCache()
+    assert read() == {(str(days[0]), 5), (str(days[0]), 6), (str(days[2]), 2)}
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_a_load_counts_its_own_dates_only(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/tables"
+    rows = schedule(120, seed=9, days=3)
+    day = lambda r: r[6]
+    days = sorted({day(r) for r in rows})
+    frames = [spark.createDataFrame([record(r) for r in rows if day(r) == d], RECORD) for d in days]
+    for frame in frames[:2]:
+        jobs.add_records(spark, frame, root)
+    seen = []
+    whole = jobs.replace_dates
+    monkeypatch.setattr(jobs, "replace_dates", lambda df, path, dates=None: (seen.append((path.rsplit("/", 1)[-1], dates)), whole(df, path, dates)))
+    jobs.add_records(spark, frames[2], root)
+    assert seen == [("daily", [str(days[2])])]
+    spark.catalog.clearCache()
+    from skyloom.operators import network
+
+    stored = {tuple(r) for r in jobs.table(spark, root, "routes").collect()}
+    assert stored == {tuple(r) for r in network.routes(jobs.table(spark, root, "loaded")).collect()}
