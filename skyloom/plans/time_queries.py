@@ -182,10 +182,15 @@ def offset_changes(t):
 
 @query(
     "airports_without_offset",
-    f"""WITH {LEGS}, a AS (SELECT dd, o AS code, blk FROM loaded UNION ALL SELECT dd, d, blk FROM loaded)
-    SELECT {day()} AS flightdate, code FROM a GROUP BY dd, code HAVING dd >= 3 OR count(blk) = 0""",
+    f"""WITH {LEGS}, a AS (SELECT dd, o AS code, blk, dd >= 3 AND 'HNL' IN (o, d) AS cut FROM loaded
+      UNION ALL SELECT dd, d, blk, dd >= 3 AND 'HNL' IN (o, d) FROM loaded)
+    SELECT {day()} AS flightdate, code FROM a GROUP BY dd, code HAVING count(blk) FILTER (NOT cut) = 0""",
 )
 def airports_without_offset(t):
-    """With only the first three dates solved, every airport of the others lacks one."""
-    solved = t.offsets.filter(F.col("flightdate") < F.lit("2025-07-17").cast("date"))
-    return offsets.airports_without_offset(t.loaded, solved)
+    """From the fourth date on no leg of one station states its block time."""
+    late = F.col("flightdate") >= F.lit("2025-07-17").cast("date")
+    unknown = late & ((F.col("origin") == "HNL") | (F.col("dest") == "HNL"))
+    block = "scheduled_duration_minutes"
+    legs = t.loaded.withColumn(block, F.when(~unknown, F.col(block)))
+    solution = offsets.solve_offsets(offsets.offset_deltas(legs), dates=t.dates)
+    return offsets.airports_without_offset(t.loaded, offsets.require_solved(solution))

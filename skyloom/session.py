@@ -17,9 +17,6 @@ SEMANTIC_CONF = {
 # broadcasts through the driver what it had better shuffle.
 SCALE_CONF = {
     "spark.sql.sources.fileCompressionFactor": "8.0",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 

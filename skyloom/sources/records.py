@@ -113,7 +113,7 @@ def conversion_losses(text_df: DataFrame) -> DataFrame:
 def declared_only(df: DataFrame) -> DataFrame:
     """Keep the declared columns that are present, in declared order and stored type."""
     schema = record_schema([c for c in df.columns if c in RECORD_TYPES])
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def widen_types(df: DataFrame) -> DataFrame:
