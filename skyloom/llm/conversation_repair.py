@@ -177,31 +177,30 @@ def damage(conversations: DataFrame) -> DataFrame:
     )
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows with ``message``, the digest of role and text, which stands for them in all but the last pass."""
+    whole = F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")
+    return rows.select("conv_id", "turn", "role", "text", "copies", F.unhex(F.sha2(whole.cast("binary"), 256)).alias("message"))
+
+
 def marked(rows: DataFrame) -> DataFrame:
-    """Distinct (conv_id, turn, role, text) with ``copies`` and the first copy's ``fault``, stored.
+    """conv_id, turn, role, message, copies, fault of ``keyed`` rows, stored, without their texts.
 
-    Equal rows are counted first, so that one that a conversation repeats is one row here. A
-    message's first turn is an aggregate by (conversation, digest of the message), which a
-    conversation of many rows is spread over.
+    A message's first turn is an aggregate by (conversation, digest), which a conversation of many
+    rows is spread over. Of rows that are equal the first is told from the others in ``audits``.
     """
-    message = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"), 256)
-    once = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies")).withColumn("message", message)
-    once = stage(once, "conversation-rows")
+    body = F.rtrim("text", F.lit(BLANKS))
+    state = F.when(F.length(body) == 0, 1).when(~F.substring(body, -1, 1).isin(".", "!", "?"), 3).otherwise(0)
+    slim = stage(rows.select("conv_id", "turn", "role", "message", "copies", state.alias("state")), "conversation-rows")
     place = F.struct(F.col("turn").isNotNull(), "turn")
     first = (
-        once.filter("copies > 0").groupBy("conv_id", "message").agg(F.min(place).alias("first"))
+        slim.filter("copies > 0").groupBy("conv_id", "message").agg(F.min(place).alias("first"))
         .select(F.col("conv_id").alias("of"), F.col("message").alias("first_message"), "first")
     )
-    body = F.rtrim("text", F.lit(BLANKS))
-    fault = (
-        F.when(F.length(body) == 0, 1)
-        .when(F.col("first") < place, 2)
-        .when(~F.substring(body, -1, 1).isin(".", "!", "?"), 3)
-        .otherwise(0)
-    )
+    fault = F.when(F.col("state") == 1, 1).when(F.col("first") < place, 2).otherwise(F.col("state"))
     same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("message") == F.col("first_message"))
-    found = once.join(first, same, "left")
-    return stage(found.select("conv_id", "turn", "role", "text", "copies", fault.alias("fault")), "conversation-faults")
+    found = slim.join(first, same, "left")
+    return stage(found.select("conv_id", "turn", "role", "message", "copies", fault.alias("fault")), "conversation-faults")
 
 
 _AUDIT = (("gaps", pa.int64()), ("blank", pa.int64()), ("duplicate", pa.int64()), ("truncated", pa.int64()),
@@ -212,10 +211,14 @@ class _Conversation:
     def __init__(self, conv_id):
         self.conv_id, self.symbols, self.faults, self.illegal = conv_id, bytearray(), [0] * 4, 0
         self.last, self.low, self.high, self.turns = None, None, None, 0
+        self.before = None
 
-    def add(self, turn, initial, fault, copies):
+    def add(self, turn, initial, message, fault, copies):
         if not copies:
             return
+        if (turn, message) == self.before and fault != 1:
+            fault = 2  # equal rows lie beside each other
+        self.before = turn, message
         if turn is not None and turn != self.high:
             self.low = turn if self.low is None else self.low
             self.high = turn
@@ -248,7 +251,7 @@ def _audits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, ids, rows, size, kind = None, [], [], 0, None
     for batch in batches:
         kind = _id_type(batch)
-        fields = (column(batch, n) for n in ("conv_id", "turn", "initial", "fault", "copies"))
+        fields = (column(batch, n) for n in ("conv_id", "turn", "initial", "message", "fault", "copies"))
         for conv_id, *row in zip(*fields, strict=True):
             if now is None or now.conv_id != conv_id:
                 if now is not None:
@@ -268,8 +271,8 @@ def audits(faults: DataFrame) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit of each conversation of
     ``marked`` rows."""
     kind = faults.schema["conv_id"].dataType.simpleString()
-    ordered = faults.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    fields = ordered.select("conv_id", "turn", F.substring("role", 1, 1).alias("initial"), "fault", "copies")
+    ordered = faults.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "message")
+    fields = ordered.select("conv_id", "turn", F.substring("role", 1, 1).alias("initial"), "message", "fault", "copies")
     schema = f"conv_id {kind}, " + ", ".join(f"{n} {'string' if n == 'audit' else 'long'}" for n, _ in _AUDIT)
     return fields.mapInArrow(_audits, schema)
 
@@ -298,14 +301,15 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 yield kind, conv_id, new, text, edit
 
 
-def _led(faults: DataFrame, found: DataFrame) -> DataFrame:
-    """Each conversation's text of edits, then its rows in order."""
-    rows = faults.select("conv_id", F.lit(True).alias("is_row"), "turn", "role", "text", "copies")
-    none = lambda name: F.lit(None).cast(faults.schema[name].dataType).alias(name)
+def _led(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Each conversation's text of edits, then its rows in order. This alone shuffles texts."""
+    every = rows.select("conv_id", F.lit(True).alias("is_row"), "turn", "role", "message", "text", "copies")
+    none = lambda name: F.lit(None).cast(rows.schema[name].dataType).alias(name)
     lead = found.select(
-        "conv_id", F.lit(False).alias("is_row"), none("turn"), none("role"), F.col("audit").alias("text"), F.lit(0).cast("long").alias("copies")
-    )
-    return rows.unionByName(lead).repartition("conv_id").sortWithinPartitions("conv_id", "is_row", "turn", "role", "text")
+        "conv_id", F.lit(False).alias("is_row"), none("turn"), none("role"), none("message"), F.col("audit").alias("text"),
+        F.lit(0).cast("long").alias("copies"),
+    )
+    return every.unionByName(lead).repartition("conv_id").sortWithinPartitions("conv_id", "is_row", "turn", "role", "message")
 
 
 _ROWS = (("place", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("edit", pa.string()))
@@ -346,33 +350,34 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _flushed(kind, ids, [("repaired_sha256", pa.string())], [*rows, (now.hexdigest(),)])
 
 
-def repaired_rows(faults: DataFrame, found: DataFrame) -> DataFrame:
+def repaired_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
     """conv_id, place, role, text, edit (K, R or I) of the rows of the repaired conversations."""
-    kind = faults.schema["conv_id"].dataType.simpleString()
-    return _led(faults, found).mapInArrow(_repaired, f"conv_id {kind}, place long, role string, text string, edit string")
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    return _led(rows, found).mapInArrow(_repaired, f"conv_id {kind}, place long, role string, text string, edit string")
 
 
-def digests(faults: DataFrame, found: DataFrame) -> DataFrame:
+def digests(rows: DataFrame, found: DataFrame) -> DataFrame:
     """conv_id, repaired_sha256: hash of the repaired rows as ``role:text``, joined by newlines."""
-    kind = faults.schema["conv_id"].dataType.simpleString()
-    return _led(faults, found).mapInArrow(_digests, f"conv_id {kind}, repaired_sha256 string")
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    return _led(rows, found).mapInArrow(_digests, f"conv_id {kind}, repaired_sha256 string")
 
 
 def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``marked`` rows, their ``audits``) of rows with conv_id, turn, role, text, copies.
-
-    Rows of a conversation go by turn (nulls first), then role and text. A conversation whose
-    rows have no copies has zeros and an empty audit. A null conv_id is a conversation as well.
-    Role and text must not be null (``damage`` makes them a space); an empty role has no initial
-    and is never legal. Very long conversations and texts pass through row by row; an audit is
-    one text and so has the length that one value may have. Columns of other names are ignored.
+    """(``keyed`` rows, their ``audits``) of rows with conv_id, turn, role, text, copies.
+
+    Rows of a conversation go by turn (nulls first), then role, then the digest of role and text. A
+    conversation whose rows have no copies has zeros and an empty audit. A null conv_id is a
+    conversation as well. Role and text must not be null (``damage`` makes them a space); an empty
+    role has no initial and is never legal. Very long conversations and texts pass through row by
+    row; an audit is one text and so has the length that one value may have. Columns of other
+    names are ignored.
     """
-    faults = marked(rows)
-    return faults, stage(audits(faults), "conversation-audits")
+    rows = keyed(rows)
+    return rows, stage(audits(marked(rows)), "conversation-audits")
 
 
 def repair_report(conversations: DataFrame) -> DataFrame:
     """The audit and the repaired conversation's digest for every conversation, after damage."""
-    faults, found = repair(damage(conversations))
-    hashed = digests(faults, found).withColumnRenamed("conv_id", "of")
+    rows, found = repair(damage(conversations))
+    hashed = digests(rows, found).withColumnRenamed("conv_id", "of")
     return found.join(hashed, found["conv_id"].eqNullSafe(hashed["of"])).drop("of")

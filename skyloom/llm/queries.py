@@ -213,7 +213,7 @@ WITH RECURSIVE {CRC_TABLE}, numbered AS (
     SELECT *, row_number() OVER w AS i, left(role, 1) AS initial, lag(left(role, 1)) OVER w AS before,
            row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
            rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
-    FROM damaged WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy)
+    FROM damaged WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(len(role) || ':' || role || text), copy)
 ), faults AS (
     SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
                    WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
