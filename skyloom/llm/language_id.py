@@ -27,6 +27,8 @@ KINDS = 64
 UNKNOWN = "und"
 #: Standard deviations of a text's mean that are not yet a reason to reject it.
 DEVIATIONS = 6.0
+#: How fast the score falls where a text fits no language.
+STEEP = 8.0
 
 RESULT = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "accepted": "boolean"}
 
@@ -206,9 +208,14 @@ class Model:
         for row, i in enumerate(full):
             n, total = sizes[i], sums[row]
             best = int(np.argmin(total))
-            score = 1.0 / np.exp(np.maximum(total[best] - total, -700.0)).sum()
+            share = 1.0 / np.exp(np.maximum(total[best] - total, -700.0)).sum()
             entropy = total[best] / n
-            limit = self.mean[best] + DEVIATIONS * self.spread[best] / np.sqrt(n) + self.slack[best]
+            room = DEVIATIONS * self.spread[best] / np.sqrt(n) + self.slack[best]
+            limit = self.mean[best] + room
+            # The share among the languages, times how well the text fits the best one at all: about
+            # one at the language's mean, a half at the limit, none far beyond.
+            beyond = (entropy - limit) / room if room > 0 else 0.0
+            score = share / (1.0 + np.exp(np.clip(STEEP * beyond, -700.0, 700.0)))
             out[i] = (self.languages[best], float(score), float(entropy), bool(entropy <= limit))
         return out
 

@@ -468,3 +468,16 @@ def test_scripts_without_spaces_fill_their_bins(spark):
         sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.n_tokens
     assert sizes == {1: 10_000, 2: 4, 3: 3, 4: 2}
     assert max(r.n_tokens for r in got) == max(CAPACITIES)
+
+
+def test_scores_follow_rejection(spark):
+    """A text in no learned language has a low score, however clearly one language is the least bad."""
+    rng = random.Random(12)
+    words = {"en": "the house of stone and water under green hills".split(), "de": "das haus aus stein und wasser unter hügeln".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang) for lang in words for i in range(40)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    own = model.judge([r[1] for r in rows])
+    odd = model.judge(["пятнадцать человек на сундук мертвеца и бутылка рома " * 3, "zzxq qqzx xxqz zqxj vvkq " * 9])
+    assert all(accepted and score > 0.9 for _, score, _, accepted in own)
+    assert all(not accepted and score < 0.5 for _, score, _, accepted in odd)
+    assert all((score >= 0.5) <= accepted for _, score, _, accepted in own + odd)
