@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.schema import CRITICAL_COLUMNS
 from skyloom.sources.records import declared_only, union_by_name
-from skyloom.storage import as_uri, file_table, list_files
+from skyloom.storage import as_uri, file_table, list_files, stage
 
 
 class NoReadableFile(RuntimeError):
@@ -49,16 +49,33 @@ def _read_footers(batches):
         for file in batch["file"]:
             try:
                 store, where = fs.FileSystem.from_uri(as_uri(file))
-                rows += [(file, f.name, str(f.type), None) for f in pq.read_schema(where, filesystem=store)]
+                with store.open_input_file(where) as stream:
+                    footer = pq.ParquetFile(stream)
+                    nulls = _null_counts(footer.metadata)
+                    rows += [(file, f.name, str(f.type), None, nulls.get(f.name)) for f in footer.schema_arrow]
             except Exception as error:  # an unreadable file is a finding, not a failure
-                rows.append((file, None, None, str(error)))
-        yield pd.DataFrame(rows, columns=["file", "column", "type", "error"])
+                rows.append((file, None, None, str(error), None))
+        found = pd.DataFrame(rows, columns=["file", "column", "type", "error", "null_count"])
+        yield found.astype({"null_count": "Int64"})
+
+
+def _null_counts(metadata) -> dict[str, int]:
+    """Nulls of each plain column of a file, where all its row groups state them."""
+    counts: dict[str, int | None] = {}
+    for group in range(metadata.num_row_groups):
+        for at in range(metadata.num_columns):
+            chunk = metadata.row_group(group).column(at)
+            stated = chunk.statistics.null_count if chunk.is_stats_set and chunk.statistics.has_null_count else None
+            before = counts.get(chunk.path_in_schema, 0)
+            counts[chunk.path_in_schema] = None if stated is None or before is None else before + stated
+    return {name: n for name, n in counts.items() if n is not None}
 
 
 def footers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, column, type, error), read by the executors, one row per file and column."""
+    """(file, column, type, error, null_count), read by the executors, one row per file and column.
+    Null counts come from the statistics of the row groups; null where a file has none."""
     return file_table(spark, list_files(spark, path)).mapInPandas(
-        _read_footers, "file string, column string, type string, error string"
+        _read_footers, "file string, column string, type string, error string, null_count long"
     )
 
 
@@ -111,23 +128,27 @@ def schema_report(spark: SparkSession, path: str, columns=CRITICAL_COLUMNS) -> D
     found = footers(spark, path)
     name = F.regexp_extract("file", r"([^/]+)$", 1).alias("file")
     typed = found.filter(F.col("column").isin(*columns) | F.col("error").isNotNull())
-    typed = typed.select(name, "column", "type", "error")
+    typed = stage(typed.select(F.col("file").alias("path"), name, "column", "type", "error", "null_count"), "footers")
     first = typed.filter("error is null").groupBy("column").agg(F.min_by("type", "file").alias("expected"))
-
+    out = typed.join(first, "column", "left").withColumn(
+        "consistent", F.col("error").isNull() & (F.col("type") == F.col("expected"))
+    )
+    columns_out = ["column", "file", "type", "error", "expected", "null_count", "consistent"]
+    if typed.filter("error is null and null_count is null").isEmpty():
+        return out.select(*columns_out)
+    # Files without statistics have their nulls counted; the others are not read.
     df = scan_each(spark, path)[0]
     present = [c for c in columns if c in df.columns]
-    file_name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file")
-    nulls = (
-        df.select(file_name, *present)
+    lacking = typed.filter("error is null and null_count is null").select("file").distinct()
+    counted = (
+        df.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), *present)
+        .join(lacking, "file", "left_semi")
         .groupBy("file")
         .agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in present])
-        .unpivot("file", present, "column", "null_count")
-    )
-    return (
-        typed.join(first, "column", "left")
-        .join(nulls, ["file", "column"], "left")
-        .withColumn("consistent", F.col("error").isNull() & (F.col("type") == F.col("expected")))
+        .unpivot("file", present, "column", "counted")
     )
+    out = out.join(counted, ["file", "column"], "left")
+    return out.withColumn("null_count", F.coalesce("null_count", "counted")).select(*columns_out)
 
 
 def dataset_summary(records: DataFrame) -> DataFrame:
