@@ -139,10 +139,15 @@ def write_records(df: DataFrame, path: str, declared: bool = True, mode: str = "
 
 
 def new_months(records: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Rows of (year, month) groups that the stored table does not hold yet."""
+    """Rows of (year, month) groups that the stored table does not hold yet.
+
+    The stored months are a row for each month of the calendar and go to the tasks: dealt out by
+    month, all records of a month would meet in one task.
+    """
     if stored is None:
         return records
-    return records.join(stored.select("year", "month").distinct(), ["year", "month"], "left_anti")
+    months = stored.select("year", "month").distinct()
+    return records.join(F.broadcast(months), ["year", "month"], "left_anti")
 
 
 def append_new_months(records: DataFrame, path: str) -> None:

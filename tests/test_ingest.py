@@ -194,3 +194,19 @@ def test_csv_month_load(spark, tmp_path):
     load_new_files(spark, str(source), columns, target, mark)
     rows = {(str(r.flightdate), r.flight_number_reporting_airline): r.departure_delay_minutes for r in spark.read.parquet(target).collect()}
     assert rows == {("2025-07-18", 1): 9, ("2025-07-18", 4): 1, ("2025-07-19", 3): 1}
+
+
+def test_new_months_are_not_dealt_out_by_month(spark, tmp_path):
+    """All records of a month would meet in one task; only the list of months may move."""
+    path = str(tmp_path / "stored")
+    rows = spark.range(1000).selectExpr("2025 as year", "cast(id % 2 + 7 as int) as month", "id as flight_number_reporting_airline")
+    rows.filter("month = 7").write.partitionBy("year", "month").parquet(path)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = rec.new_months(rows, spark.read.parquet(path))
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r.month for r in fresh.collect()} == {8}
