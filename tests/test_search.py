@@ -243,3 +243,47 @@ def test_workload_repeats(spark, world):
     three = [r.request_id for r in req.request_workload(legs, dates, sample=7, seed=2).collect()]
     assert sorted(one) == sorted(two) != sorted(three)
     assert req.busiest_origins(legs, DAY, top=2).count() == 2
+
+
+@pytest.mark.parametrize("max_stops", [1, 2, 3])
+def test_bounds_change_no_answer(spark, world, monkeypatch, max_stops):
+    """Answers found with bounds equal those without; requests of other stops, limits and times share starts."""
+    legs, connections = world
+    pool = sorted(r[0] for r in legs.select("origin").distinct().collect())
+    asked = [(f"{o}{d}", o, d, str(DAY)) for o in pool for d in pool if o != d]
+    asked += [(f"late-{o}{d}", o, d, str(DAY), "09:00", "23:00", max_stops, 1, 2) for o in pool[:4] for d in pool if o != d]
+    table = requests(spark, [(*r, *([None, None, max_stops, 0, 3] if len(r) == 4 else [])) for r in asked])
+    plain = sorted(map(str, srch.search(table, legs, connections).collect()))
+    monkeypatch.setattr(srch, "BOUNDED_FROM", 0)
+    monkeypatch.setattr(srch, "BOUND_SHARE", 2)
+    bounded = sorted(map(str, srch.search(table, legs, connections).collect()))
+    assert bounded == plain and len(plain) > len(pool)
+
+
+def test_bounds_cut_paths_before_they_are_ranked(spark, world):
+    """With a bound on every pair fewer paths are grown, and those within it are all there."""
+    legs, connections = world
+    starts = legs.select("flightdate", "origin").distinct().selectExpr("*", "cast(null as timestamp_ntz) as earliest", "2 as deepest")
+    wanted = legs.select("flightdate", "dest").distinct()
+    whole = srch.chains(starts, wanted, legs, connections, 2, mixed=False)
+    pairs = starts.join(wanted, "flightdate").selectExpr("flightdate", "origin as start", "dest", "400 as bound").filter("start <> dest")
+    limits = srch.Limits(pairs, connections, 2)
+    cut = srch.chains(starts, wanted, legs, connections, 2, False, limits)
+    for stops in (1, 2):
+        short = lambda level: sorted(r[0] for r in level.filter("air_minutes + waiting <= 400").select("legs").collect())
+        assert short(cut[stops]) == short(whole[stops])
+        assert cut[stops].count() < whole[stops].count()
+
+
+@pytest.mark.parametrize("max_stops", [1, 2, 3])
+def test_counted_itineraries_equal_listed_ones(world, max_stops):
+    legs, connections = world
+    starts = legs.select("flightdate", "origin").distinct().selectExpr("*", "cast(null as timestamp_ntz) as earliest", f"{max_stops} as deepest")
+    wanted = legs.select("flightdate", "dest").distinct()
+    found = {}
+    for stops, level in enumerate(srch.chains(starts, wanted, legs, connections, max_stops, mixed=False)):
+        for r in level.selectExpr("flightdate", "start", "at", "air_minutes + waiting as m").collect():
+            n, best = found.get((r[0], r[1], r[2], stops), (0, None))
+            found[r[0], r[1], r[2], stops] = n + 1, r[3] if best is None or (r[3] is not None and r[3] < best) else best
+    rows = srch.itinerary_counts(legs, connections, max_stops).collect()
+    assert {(r.flightdate, r.origin, r.dest, r.stops): (r.itineraries, r.best_minutes) for r in rows} == found
