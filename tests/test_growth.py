@@ -20,6 +20,15 @@ from skyloom.storage import stage
 LINES = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_returnflag string"
 
 
+def test_one_per_key_sorts_after_the_shuffle_only(spark):
+    df = spark.range(100).selectExpr("id % 7 as k", "cast(id as string) as v")
+    lines = plan(one_per_key(df, ["k"])).splitlines()
+    shuffles = [i for i, line in enumerate(lines) if "Exchange" in line]
+    assert len(shuffles) == 1
+    assert not any("Sort" in line for line in lines[shuffles[0] :])
+    assert {(r.k, r.v) for r in one_per_key(df, ["k"]).collect()} == {(k, min(str(i) for i in range(k, 100, 7))) for k in range(7)}
+
+
 def test_deadlines_bound_the_paths(spark, world, rows, monkeypatch):  # noqa: F811
     """Answers are those of all paths, and what lands too late is not written."""
     legs, edges = world
