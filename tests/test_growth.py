@@ -20,6 +20,63 @@ from skyloom.storage import stage
 LINES = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_returnflag string"
 
 
+@pytest.fixture
+def orders(spark, tmp_path):
+    """Lines that repeat, lack a number or belong to orders of one line; flags beside A and R."""
+    rng = random.Random(3)
+    lines = [
+        (i // 3, rng.choice([1, 2, 2, 5, None]), 100 + i % 90, i % 8, float(rng.choice([1, 2, 3, 20, 50])), rng.choice(["", "A", "B", "N", "R", "Z", None]))
+        for i in range(600)
+    ]
+    lines += [(None, 1, 1, 1, 5.0, "A"), (500, 4, 1, 1, 5.0, "R"), (500, 4, 2, 1, 7.0, "R"), (501, 1, 1, 1, 5.0, "R")]
+    spark.createDataFrame(lines, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(600).selectExpr("id as o_orderkey", "id % 7 as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(8).selectExpr("id as s_suppkey", "id as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(7).selectExpr("id as c_custkey", "id + 9 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    return str(tmp_path), lines
+
+
+def test_records_are_made_without_sorting_every_line(spark, orders):
+    """Minima and sets of text or lists are kept by sorting; those of numbers in a hash table."""
+    for records in (order_records, fleet_records):
+        text = plan(records(spark, orders[0]))
+        assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
+
+
+def test_flags_keep_their_order(spark, orders):
+    """A line is cancelled by its smallest flag, whatever other flags there are."""
+    least = {}
+    for ok, ln, _, _, qty, flag in orders[1]:
+        if ok is not None:
+            x = least.setdefault((ok * 10 + ln if ln else None, ok), [None, None])
+            for i, v in enumerate((qty, flag)):
+                x[i] = v if x[i] is None else x[i] if v is None else min(x[i], v)
+    want = [(k[0] or -1, 1.0 if q == 50 else None if q == 1 and f == "A" else 0.0, q == 2 and f == "R") for k, (q, f) in least.items()]
+    got = order_records(spark, orders[0]).collect()
+    key = lambda x: (x[0], str(x[1:]))
+    assert sorted(((r.flight_number_reporting_airline or -1, r.cancelled, r.crselapsedtime is None) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_fleet_lines_are_numbered_by_distinct_line(spark, orders):
+    lines = {}
+    for ok, ln, *_ in orders[1]:
+        lines.setdefault(ok, set()).add(ln)
+    got = fleet_records(spark, orders[0]).filter("flight_number_reporting_airline is not null").collect()
+    assert len(got) == sum(ok is not None and ln is not None for ok, ln, *_ in orders[1])
+    start = dt.datetime(2025, 7, 1)
+    for r in got:
+        ok, ln = divmod(r.flight_number_reporting_airline, 10)
+        k = sorted(x for x in lines[ok] if x).index(ln)
+        base = 5 * ((ok // 62) % 5)
+        minute = (ok % 62) * 1440 + 300 + 60 * (3 + base % 7) + k * 180 + (ok * 13 + ln * 7) % 60
+        clock = r.crsdeptime.hour * 60 + r.crsdeptime.minute
+        days = (r.flightdate - start).days * 1440
+        assert (days + clock - minute) % 60 == 0 and abs(days + clock - minute) <= 540
+        away = len(lines.get(ok - 1, set()) - {None}) == 1 and ok % 62 > 0 and k == 0
+        qty = {q for o, n, _, _, q, _ in orders[1] if (o, n) == (ok, ln)}
+        assert r.cancelled in {1.0 if q == 50 or (away and q <= 20) else 0.0 for q in qty}
+
+
 def test_one_per_key_sorts_after_the_shuffle_only(spark):
     df = spark.range(100).selectExpr("id % 7 as k", "cast(id as string) as v")
     lines = plan(one_per_key(df, ["k"])).splitlines()
