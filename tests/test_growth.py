@@ -86,6 +86,35 @@ def test_one_per_key_sorts_after_the_shuffle_only(spark):
     assert {(r.k, r.v) for r in one_per_key(df, ["k"]).collect()} == {(k, min(str(i) for i in range(k, 100, 7))) for k in range(7)}
 
 
+def test_rotations_deal_out_each_leg_once(spark):
+    """One window along an aircraft; neither the leg's text nor a copy of the row is shuffled."""
+    from skyloom.operators.ordered import with_previous
+
+    df = spark.range(50).selectExpr("id", "id % 3 as key", "timestamp_ntz'2025-07-14' as at")
+    lines = plan(with_previous(df, "key", "at", ["id"], ["id", "at"])).splitlines()
+    shuffles = [i for i, line in enumerate(lines) if "Exchange" in line]
+    assert len(shuffles) == 1
+    assert not any("struct" in line for line in lines[shuffles[0] : shuffles[0] + 3])
+
+
+@pytest.mark.parametrize("hot_rows", [1, 60, 10_000])
+def test_delays_of_hot_aircraft(spark, hot_rows):
+    legs = random_legs(300)
+    linked = rot.rotations(spark.createDataFrame(legs, LEGS), hot_rows=hot_rows)
+    got = rot.propagated_delay(linked, hot_rows=hot_rows).collect()
+    assert {int(r.leg.split("|")[1]): (r.own, r.handed_on, r.total) for r in got} == brute_delays(legs, rot.MIN_TURN)
+    assert len(got) == len(brute_delays(legs, rot.MIN_TURN))
+
+
+def test_delays_are_handed_on_without_rounds(spark, monkeypatch):
+    """Rounds wrote every leg once for each doubling of the longest chain."""
+    linked = rot.rotations(spark.createDataFrame(random_legs(100), LEGS))
+    written = []
+    monkeypatch.setattr(rot, "stage", lambda df, name, *a: written.append(name) or stage(df, name, *a))
+    rot.propagated_delay(linked).count()
+    assert written == []
+
+
 def test_deadlines_bound_the_paths(spark, world, rows, monkeypatch):  # noqa: F811
     """Answers are those of all paths, and what lands too late is not written."""
     legs, edges = world
